@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, simhash
+from . import langid, linededup, mixing, packing, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,9 +14,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_simhash_near_dedup": simhash.query,
+        "op2_source_mixing": mixing.query,
+        "op5_best_fit_packing": packing.query,
         "op7_language_id": langid.query,
+        "op9_line_dedup": linededup.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_line_dedup": linededup.ORACLE_SQL}
