@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, linededup, mixing, packing, simhash
+from . import ann, ctw, itq, langid, licenses, linededup, mixing, packing, secrets, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,9 +15,14 @@ def queries() -> dict[str, Query]:
     return {
         "op1_simhash_near_dedup": simhash.query,
         "op2_source_mixing": mixing.query,
+        "op3_nearest_neighbours": ann.query,
+        "op4_secret_scan": secrets.query,
         "op5_best_fit_packing": packing.query,
+        "op6_license_scan": licenses.query,
         "op7_language_id": langid.query,
+        "op8_embedding_near_dedup": itq.query,
         "op9_line_dedup": linededup.query,
+        "op10_lm_scoring": ctw.query,
     }
 
 
