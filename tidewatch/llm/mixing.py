@@ -20,11 +20,9 @@ from . import common
 
 #: Expected number of labelled documents that the classifier is fitted on, and of tokens it looks at.
 SAMPLE_DOCS = 20_000
-MARKERS = 192
+MARKERS = 64
 MAX_DOMAINS = 64
 STEPS, TOLERANCE = 40, 1e-7
-#: How many markers count as one independent piece of evidence, so that posteriors stay soft.
-TEMPERATURE = 2.0
 #: Target shares of the expected tokens for the domains that :func:`label_domains` names.
 TARGETS = {"high": 0.85, "low": 0.10, "toxic": 0.05}
 
@@ -67,7 +65,9 @@ def _marks(text: Column, words: Column) -> Column:
 
 
 def fit(docs: DataFrame, labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, markers: int = MARKERS) -> Classifier:
-    """Bernoulli naive Bayes on the tokens that tell most about the domain (mutual information).
+    """Naive Bayes on the presence of the tokens that tell most about the domain (mutual information).
+
+    A token that is absent tells nothing, so short texts do not drift to a domain of short texts.
 
     ``labelled`` is (doc_id, domain); of several labels of a document the smallest counts. Fitted on
     about ``sample_docs`` labelled documents at most, picked by a hash of the id.
@@ -95,9 +95,9 @@ def fit(docs: DataFrame, labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, ma
 
     information = sum((gain(columns[d], df, held[d]) + gain(held[d] - columns[d], total - df, held[d]) for d in domains), F.lit(0.0))
     best = counts.withColumn("_gain", information).filter(df >= 5).orderBy(F.desc("_gain"), "token").limit(markers).collect()
-    p = {d: [(r[d] + 0.5) / (held[d] + 1.0) for r in best] for d in domains}
-    bias = [math.log(held[d] / total) + sum(math.log(1 - x) for x in p[d]) / TEMPERATURE for d in domains]
-    weights = [[(math.log(x) - math.log(1 - x)) / TEMPERATURE for x in p[d]] for d in domains]
+    whole = [(sum(r[d] for d in domains) + 0.5) / (total + 1.0) for r in best]
+    bias = [math.log(held[d] / total) for d in domains]
+    weights = [[math.log((r[d] + 0.5) / (held[d] + 1.0) / w) for r, w in zip(best, whole, strict=True)] for d in domains]
     return Classifier(domains, bias, [r["token"] for r in best], weights)
 
 
