@@ -19,10 +19,12 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Expected number of labelled documents that the classifier is fitted on, and of tokens it looks at.
-SAMPLE_DOCS = 20_000
-MARKERS = 64
+SAMPLE_DOCS = 10_000
+MARKERS = 48
+#: Words in more than this share of the documents tell a text's length rather than its domain.
+MAX_SHARE = 0.2
 MAX_DOMAINS = 64
-STEPS, TOLERANCE = 40, 1e-7
+STEPS, TOLERANCE, LEAST_GAIN = 30, 1e-7, 1e-3
 #: Target shares of the expected tokens for the domains that :func:`label_domains` names.
 TARGETS = {"high": 0.85, "low": 0.10, "toxic": 0.05}
 
@@ -49,25 +51,28 @@ def _band(name: str, x: Column, edges: list[float]) -> Column:
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(common.ascii_lower(F.coalesce(text, F.lit(""))), "[\\x09-\\x0D ]+"), lambda w: w != "")
+    trimmed = F.btrim(F.lower(F.coalesce(text, F.lit(""))), F.lit(" \t\n\x0b\f\r"))
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, "[\\x09-\\x0D ]+"))
 
 
-def _marks(text: Column, words: Column) -> Column:
-    """Bands of whole-text figures, as tokens no word can equal."""
-    text, n = F.coalesce(text, F.lit("")), F.greatest(F.size(words), F.lit(1))
-    return F.array(
+def _with_tokens(docs: DataFrame) -> DataFrame:
+    """``docs`` with _tokens, the number of words, and _types: distinct words, and bands of whole-text figures as tokens no word can equal."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    found = docs.withColumn("_words", _words(F.col("text")))
+    found = found.withColumn("_tokens", F.size("_words").cast("double")).withColumn("_types", F.array_distinct("_words")).drop("_words")
+    n = F.greatest(F.col("_tokens"), F.lit(1.0))
+    marks = F.array(
         _band("symbols", F.regexp_count(text, F.lit("[!#$%&*|]{2,}|\\|")) / n, [0.001, 0.02, 0.2]),
         _band("capitals", F.regexp_count(text, F.lit("[A-Z]{4,}")) / n, [0.001, 0.02, 0.2]),
-        _band("distinct", F.size(F.array_distinct(words)) / n, [0.2, 0.4, 0.6, 0.8]),
+        _band("distinct", F.size("_types") / n, [0.2, 0.4, 0.6, 0.8]),
         _band("length", F.length(text) / n, [4.0, 6.0, 8.0, 12.0]),
-        _band("words", n.cast("double"), [20.0, 100.0, 500.0, 2000.0]),
+        _band("words", n, [20.0, 100.0, 500.0, 2000.0]),
     )
+    return found.withColumn("_marks", marks)
 
 
 def fit(docs: DataFrame, labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, markers: int = MARKERS) -> Classifier:
-    """Naive Bayes on the presence of the tokens that tell most about the domain (mutual information).
-
-    A token that is absent tells nothing, so short texts do not drift to a domain of short texts.
+    """Bernoulli naive Bayes on the tokens that tell most about the domain (mutual information).
 
     ``labelled`` is (doc_id, domain); of several labels of a document the smallest counts. Fitted on
     about ``sample_docs`` labelled documents at most, picked by a hash of the id.
@@ -79,14 +84,13 @@ def fit(docs: DataFrame, labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, ma
     share = min(1.0, sample_docs / max(1, sum(sizes.values())))
     draw = F.xxhash64(F.col("doc_id").cast("string")).bitwiseAND(0x7FFFFFFF)
     sample = labelled.filter(draw < int(share * (1 << 31)))
-    rows = docs.select(F.col("doc_id").alias("_id"), "text").join(sample, F.col("_id") == F.col("doc_id"))
-    rows = rows.select("domain", "text", _words(F.col("text")).alias("words"))
-    rows = common.stored(rows.select("domain", F.array_distinct(F.concat("words", _marks(F.col("text"), F.col("words")))).alias("tokens")), "sample")
+    rows = docs.select(F.col("doc_id").alias("_id"), "text").join(F.broadcast(sample), F.col("_id") == F.col("doc_id"))
+    rows = common.stored(_with_tokens(rows).select("domain", F.concat("_types", "_marks").alias("tokens")), "sample")
     held = {r["domain"]: r["count"] for r in rows.groupBy("domain").count().collect()}
     domains, total = sorted(held), sum(held.values())
     if not domains:
         return Classifier([], [], [], [])
-    counts = rows.select("domain", F.explode("tokens").alias("token")).groupBy("token").pivot("domain", domains).count().na.fill(0)
+    counts = rows.select("domain", F.explode("tokens").alias("token")).groupBy("token").agg(*(F.count_if(F.col("domain") == d).alias(d) for d in domains))
     columns = {d: F.col(f"`{d}`") for d in domains}
     df = sum(columns.values(), F.lit(0))
 
@@ -94,19 +98,17 @@ def fit(docs: DataFrame, labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, ma
         return F.when(joint > 0, joint / total * F.ln(joint * total / (side * size))).otherwise(0.0)
 
     information = sum((gain(columns[d], df, held[d]) + gain(held[d] - columns[d], total - df, held[d]) for d in domains), F.lit(0.0))
-    best = counts.withColumn("_gain", information).filter(df >= 5).orderBy(F.desc("_gain"), "token").limit(markers).collect()
-    whole = [(sum(r[d] for d in domains) + 0.5) / (total + 1.0) for r in best]
-    bias = [math.log(held[d] / total) for d in domains]
-    weights = [[math.log((r[d] + 0.5) / (held[d] + 1.0) / w) for r, w in zip(best, whole, strict=True)] for d in domains]
+    best = counts.withColumn("_gain", information).filter((df >= 5) & ((df <= MAX_SHARE * total) | F.startswith("token", F.lit("\x01")))).orderBy(F.desc("_gain"), "token").limit(markers).collect()
+    p = {d: [(r[d] + 0.5) / (held[d] + 1.0) for r in best] for d in domains}
+    bias = [math.log(held[d] / total) + sum(math.log(1 - x) for x in p[d]) for d in domains]
+    weights = [[math.log(x) - math.log(1 - x) for x in p[d]] for d in domains]
     return Classifier(domains, bias, [r["token"] for r in best], weights)
 
 
 def posteriors(docs: DataFrame, model: Classifier, prefix: str = "_p") -> DataFrame:
     """``docs`` with _tokens (words of the text) and _p0, _p1, ...: the posterior of each domain. A narrow projection."""
-    found = docs.withColumn("_words", _words(F.col("text")))
     markers = F.array(*(F.lit(x) for x in model.markers)) if model.markers else F.array().cast("array<string>")
-    found = found.withColumn("_seen", F.array_intersect(F.concat("_words", _marks(F.col("text"), F.col("_words"))), markers))
-    found = found.withColumn("_tokens", F.size("_words").cast("double")).drop("_words")
+    found = _with_tokens(docs).withColumn("_seen", F.concat(F.array_intersect("_types", markers), F.array_intersect("_marks", markers))).drop("_types", "_marks")
     k = len(model.domains)
     table = F.create_map(*(x for i, m in enumerate(model.markers) for x in (F.lit(m), F.array(*(F.lit(float(w[i])) for w in model.weights))))) if model.markers else None
     start = F.array(*(F.lit(float(b)) for b in model.bias))
@@ -122,10 +124,14 @@ def posteriors(docs: DataFrame, model: Classifier, prefix: str = "_p") -> DataFr
 
 def _rate(steps: list[np.ndarray], k: int, prefix: str = "_p") -> Column:
     """Rates after the given steps: rate = max(0, rate - p . step), from 1."""
-    rate = F.lit(1.0)
-    for step in steps:
-        rate = F.greatest(F.lit(0.0), rate - sum((F.col(f"{prefix}{i}") * float(step[i]) for i in range(k)), F.lit(0.0)))
-    return rate
+    if not steps:
+        return F.lit(1.0)
+    moves = F.array(*(F.struct(*(F.lit(float(x)).alias(f"s{i}") for i, x in enumerate(step))) for step in steps))
+
+    def move(rate: Column, step: Column) -> Column:
+        return F.greatest(F.lit(0.0), rate - sum((F.col(f"{prefix}{i}") * step[f"s{i}"] for i in range(k)), F.lit(0.0)))
+
+    return F.aggregate(moves, F.lit(1.0), move)
 
 
 def fit_rates(features: DataFrame, domains: list[str], targets: Mapping[str, float]) -> list[np.ndarray]:
@@ -152,28 +158,31 @@ def fit_rates(features: DataFrame, domains: list[str], targets: Mapping[str, flo
         rate = _rate(steps, k)
         now = np.array(features.agg(*(F.sum(rate * t * x) for x in p)).first(), dtype=float)
         error = float((now - goal) @ inverse @ (now - goal))
-        if np.abs(now - goal).max() <= TOLERANCE * goal.sum() or error >= last * (1 - 1e-6):
+        if np.abs(now - goal).max() <= TOLERANCE * goal.sum() or error >= last * (1 - LEAST_GAIN):
             break
         last = error
         steps.append(inverse @ (now - goal))
     return steps
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], sample_docs: int = SAMPLE_DOCS) -> tuple[DataFrame, Classifier]:
-    """``docs`` with _tokens, _p0..., _rate and _copies, and the classifier.
+def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], sample_docs: int = SAMPLE_DOCS, carry: list[str] | None = None) -> tuple[DataFrame, Classifier]:
+    """The ``carry`` columns of ``docs`` (all by default) with _tokens, _p0..., _rate and _copies; and the classifier.
 
     _copies is the rate rounded down or up by a hash of id and text, so that its expectation is the
     rate. Null and empty texts have no tokens, prior-like posteriors and the rate those imply; repeated
     rows get equal rates; without labels every rate is 1; an empty table gives no rows; other columns
-    pass through (their names must not start with an underscore).
+    pass through (their names must not start with an underscore). Texts are read once: what the fit
+    and the result need is stored in the shared folder.
     """
+    carry = docs.columns if carry is None else carry
     model = fit(docs, labelled, sample_docs)
     k = len(model.domains)
-    scored = posteriors(docs, model)
-    features = common.stored(scored.select("_tokens", *(f"_p{i}" for i in range(k))), "features")
-    rate = _rate(fit_rates(features, model.domains, targets) if k else [], k)
     draw = F.xxhash64(F.lit(17), docs["doc_id"], docs["text"]).bitwiseAND(0x7FFFFFFF) / F.lit(float(1 << 31))
-    return scored.withColumn("_rate", rate).withColumn("_copies", F.floor(F.col("_rate") + draw).cast("long")), model
+    scored = posteriors(docs.withColumn("_draw", draw), model)
+    scored = common.stored(scored.select(*carry, "_draw", "_tokens", *(f"_p{i}" for i in range(k))), "features")
+    rate = _rate(fit_rates(scored, model.domains, targets) if k else [], k)
+    mixed = scored.withColumn("_rate", rate).withColumn("_copies", F.floor(F.col("_rate") + F.col("_draw")).cast("long"))
+    return mixed.drop("_draw"), model
 
 
 def resample(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float] = TARGETS) -> DataFrame:
@@ -184,6 +193,6 @@ def resample(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float]
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    mixed, model = mix(docs, label_domains(common.read_table(spark, sf_dir, "labels")), TARGETS)
+    mixed, model = mix(docs, label_domains(common.read_table(spark, sf_dir, "labels")), TARGETS, carry=["doc_id"])
     shares = [F.col(f"_p{i}").alias(f"p_{d}") for i, d in enumerate(model.domains)]
     return mixed.select("doc_id", F.col("_tokens").cast("long").alias("n_tokens"), *shares, F.col("_rate").alias("rate"), F.col("_copies").alias("copies"))
