@@ -19,6 +19,9 @@ LEADING = 3
 MIN_TOKENS = 5
 MIN_CONSTANT = 0.6
 WILDCARD = "<*>"
+#: Bits of a filter that tells before a shuffle which keys can't match; 64 of them share a row, so the
+#: filter is a table of 2 ** (FILTER_BITS - 6) rows at most and may be broadcast.
+FILTER_BITS = 24
 
 
 def _squeezed(line: Column) -> Column:
@@ -40,6 +43,28 @@ def _lines(docs: DataFrame, leading: int) -> DataFrame:
     return rows.withColumn("leaf", F.xxhash64("n", F.substring_index("masked", " ", leading))).select("doc_id", "text_hash", "pos", "n", "leaf", "masked")
 
 
+def _slot(key: Column) -> tuple[Column, Column]:
+    """Row of the filter, and the bit there."""
+    h = F.xxhash64(key).bitwiseAND((1 << FILTER_BITS) - 1)
+    return F.shiftright(h, 6).cast("int"), h.bitwiseAND(63).cast("int")
+
+
+def key_filter(keys: DataFrame, key: str) -> DataFrame:
+    """(_row, _bits): the filter of the given keys. With very many keys it lets everything pass, and joins decide alone."""
+    row, bit = _slot(F.col(key))
+    marks = keys.select(row.alias("_row"), bit.alias("_bit")).distinct()
+    return common.stored(marks.groupBy("_row").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_bit"))).alias("_bits")), "filter")
+
+
+def _marked(rows: DataFrame, found: DataFrame, key: Column) -> DataFrame:
+    """``rows`` with _may: whether the key can be among the filter's."""
+    row, bit = _slot(key)
+    wide = rows.withColumns({"_slot_row": row, "_slot_bit": bit})
+    joined = wide.join(F.broadcast(found), F.col("_slot_row") == F.col("_row"), "left")
+    may = F.coalesce(F.getbit("_bits", F.col("_slot_bit")) == 1, F.lit(False))
+    return joined.withColumn("_may", may).drop("_slot_row", "_slot_bit", "_row", "_bits")
+
+
 def dropped_lines(docs: DataFrame, leading: int = LEADING, min_tokens: int = MIN_TOKENS, min_constant: float = MIN_CONSTANT) -> DataFrame:
     """doc_id, text_hash, drop: for documents that lose lines, a flag for each line in order."""
     lines = _lines(docs, leading)
@@ -49,7 +74,8 @@ def dropped_lines(docs: DataFrame, leading: int = LEADING, min_tokens: int = MIN
     leaves = own.groupBy("leaf").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("line_hash").alias("a"), F.max("line_hash").alias("b"))
     mixed = common.stored(leaves.filter("lo < hi and a <> b").select("leaf"), "leaves")
     # leaves that hold different lines: which of their tokens are constant?
-    texts = lines.filter(F.col("n") >= min_tokens).join(mixed, "leaf", "left_semi")
+    texts = _marked(lines.filter(F.col("n") >= min_tokens), key_filter(mixed, "leaf"), F.col("leaf")).filter("_may").drop("_may")
+    texts = texts.join(mixed, "leaf", "left_semi")
     texts = common.stored(texts.groupBy("leaf", F.xxhash64("masked").alias("line_hash")).agg(F.first("masked").alias("masked"), F.first("n").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")), "texts")
     tokens = texts.select("leaf", "line_hash", "n", "lo", "hi", F.posexplode(F.split("masked", " ")).alias("at", "token")).filter((F.col("at") >= leading) & (F.col("token") != WILDCARD))
     constant = tokens.groupBy("leaf", "at", "token").agg(F.min("lo").alias("first"), F.max("hi").alias("last")).filter("first < last").select("leaf", "at", "token")
@@ -79,13 +105,17 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """
     total, gone = common.free_name(docs.columns, "line_count"), common.free_name(docs.columns, "dropped_count")
     flags = dropped_lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    flags = flags.select(F.col("doc_id").alias("_flag_id"), F.col("text_hash").alias("_flag_hash"), F.col("drop").alias("_flags"))
-    both = docs.join(flags, (docs["doc_id"] == F.col("_flag_id")) & (F.xxhash64(docs["text"]) == F.col("_flag_hash")), "left")
+    flags = flags.select(F.col("doc_id").alias("_flag_id"), F.col("text_hash").alias("_flag_hash"), F.col("drop").alias("_flags"), F.xxhash64("doc_id", "text_hash").alias("_flag_key"))
+    flags = common.stored(flags, "flags")
+    # documents that lose nothing need not move
+    marked = _marked(docs, key_filter(flags, "_flag_key"), F.xxhash64(docs["doc_id"].cast("long"), F.xxhash64(docs["text"])))
+    moved = marked.filter("_may").drop("_may").join(flags, (F.col("doc_id") == F.col("_flag_id")) & (F.xxhash64("text") == F.col("_flag_hash")), "left").select(*docs.columns, "_flags")
+    both = marked.filter("not _may").drop("_may").withColumn("_flags", F.lit(None).cast("array<boolean>")).unionByName(moved)
     split = F.split("text", "\n")
     kept = F.filter(F.zip_with(split, F.col("_flags"), lambda line, drop: F.when(~drop, line)), lambda line: line.isNotNull())
     new = F.when(F.col("_flags").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     dropped = F.when(F.col("_flags").isNull(), 0).otherwise(F.size(F.filter("_flags", lambda x: x)))
-    columns = [new.alias("text") if c == "text" else docs[c] for c in docs.columns]
+    columns = [new.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
     return both.select(*columns, F.coalesce(F.size(split), F.lit(0)).cast("long").alias(total), dropped.cast("long").alias(gone))
 
 
