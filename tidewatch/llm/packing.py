@@ -11,7 +11,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
@@ -25,13 +25,13 @@ from . import common
 SEQUENCE_TOKENS = 2048
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 0
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_200_000
 #: Rounds of solving and rounding, and price updates in each.
 ROUNDS, UPDATES = 6, 40
 
 #: Unicode white space, without x1C-x1F, at which str.split() also splits.
 _WHITE = re.compile("[\t-\r \x85\xa0  -     　]+")
-_SEPARATORS = re.compile("[\x1c-\x1f]")
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
 _WIDE = re.compile("[^\x00-ɏ]")
 
 
@@ -49,10 +49,10 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
 
-    def _learn(self, words: Iterable[str]) -> None:
+    def _learn(self, words: set[str]) -> None:
         if len(self.known) > CACHE_WORDS:
             self.known = {}
-        fresh = {w for w in words if w not in self.known}
+        fresh = words.difference(self.known)
         if not fresh:
             return
         ended = {w for w in fresh if w[-1] in ".," and w[:-1].isalpha() and not _WIDE.search(w)}
@@ -66,10 +66,10 @@ class WordTokenizer:
         split = []
         for text in texts:
             text = text or ""
-            if not _WIDE.search(text):
+            if text.isascii() or not _WIDE.search(text):
                 text = text.lower()  # for these characters Python and the tokenizer agree; it lowers the others itself
-            split.append([w for w in _WHITE.split(text) if w] if _SEPARATORS.search(text) else text.split())
-        self._learn(w for words in split for w in words)
+            split.append([w for w in _WHITE.split(text) if w] if any(c in text for c in _SEPARATORS) else text.split())
+        self._learn(set().union(*split))
         known = self.known
         return [b"".join([known[w] for w in words]) for words in split]
 
