@@ -7,7 +7,7 @@ on all 64 bits.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -197,13 +197,13 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents with one of each near-duplicate group: the one with the smallest doc_id.
+def keep_one(docs: DataFrame, find: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
+    """The documents with one of each group that ``find`` tells by component_id: the one with the smallest doc_id.
 
     Rows with a null doc_id stay unless their group has a row with an id; of rows that share the kept
     doc_id one stays.
     """
-    found = common.stored(near_duplicates(docs), "near")
+    found = common.stored(find(docs), "near")
     kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id")).distinct()
     left = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
     if not found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
