@@ -1,14 +1,15 @@
 """Mixing to target weights with soft memberships, in DataFrame functions only.
 
 A naive Bayes classifier, fitted on a labelled table, gives each document a posterior over domains. A
-projected-gradient least-squares fit then finds nonnegative document rates whose expected domain token
-totals match the targets. The rates of a step follow from those of the step before by one vector of
-multipliers, so the driver holds a short list of such vectors and no rates.
+least-squares fit then finds nonnegative document rates whose expected domain token totals match the
+targets. It is solved in its dual: the rates follow from one vector of multipliers, so the driver holds
+such a vector and no rates.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Mapping
 from dataclasses import dataclass
 
@@ -19,12 +20,14 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Expected number of labelled documents that the classifier is fitted on, and of tokens it looks at.
-SAMPLE_DOCS = 10_000
-MARKERS = 48
+SAMPLE_DOCS = 20_000
+MARKERS = 64
 #: Words in more than this share of the documents tell a text's length rather than its domain.
 MAX_SHARE = 0.2
 MAX_DOMAINS = 64
-STEPS, TOLERANCE, LEAST_GAIN = 30, 1e-7, 1e-3
+STEPS, TOLERANCE = 40, 1e-7
+#: The fit's pull towards a rate of 1, from step to step, and its Newton steps at each.
+RIDGES, NEWTON_STEPS = (1e-2, 1e-4, 1e-6, 1e-8, 1e-10), STEPS
 #: Target shares of the expected tokens for the domains that :func:`label_domains` names.
 TARGETS = {"high": 0.85, "low": 0.10, "toxic": 0.05}
 
@@ -135,34 +138,71 @@ def _rate(steps: list[np.ndarray], k: int, prefix: str = "_p") -> Column:
 
 
 def fit_rates(features: DataFrame, domains: list[str], targets: Mapping[str, float]) -> list[np.ndarray]:
-    """Multiplier vectors of the projected-gradient steps.
-
-    Minimises |G^(-1/2) (A r - b)|^2 over r >= 0, where A r are the expected tokens by domain, b the
-    targets, and G = sum of tokens x p p'; in that metric a step of 1 is safe, and equal posteriors
-    always get equal rates. Each step is one aggregate of a few sums.
+    """One multiplier vector m, for rates max(0, 1 - p . m).
+
+    Minimises |G^(-1/2) (A r - b)|^2 + e |r - 1|^2 over r >= 0, where A r are the expected tokens by
+    domain, b the targets, G = sum of tokens x p p', and the last norm is weighted by tokens. The
+    dual has one variable a domain, and Newton steps with a line search solve it; e falls until the
+    targets are met, or ends at the last of RIDGES, where no rate is further from the optimum of the
+    first term than e |r - 1| by its gradient. Totals further than TOLERANCE from the targets get a
+    warning with the gaps.
     """
     k = len(domains)
     t, p = F.col("_tokens"), [F.col(f"_p{i}") for i in range(k)]
     sums = features.agg(F.sum(t), *(F.sum(t * p[i] * p[j]) for i in range(k) for j in range(k))).first()
     if not sums[0]:
         return []
-    gram = np.array(sums[1:], dtype=float).reshape(k, k)
+    total = float(sums[0])
+    gram = np.array(sums[1:], dtype=float).reshape(k, k) / total
     weights = np.array([max(0.0, float(targets.get(d, 0.0))) for d in domains])
     if weights.sum() <= 0:
         raise ValueError("no target weight falls on a domain of the labelled table")
-    goal = weights / weights.sum() * float(sums[0])
-    inverse = np.linalg.pinv(gram, rcond=1e-12)
-    steps: list[np.ndarray] = []
-    last = math.inf
-    for _ in range(STEPS):
-        rate = _rate(steps, k)
-        now = np.array(features.agg(*(F.sum(rate * t * x) for x in p)).first(), dtype=float)
-        error = float((now - goal) @ inverse @ (now - goal))
-        if np.abs(now - goal).max() <= TOLERANCE * goal.sum() or error >= last * (1 - LEAST_GAIN):
+    goal = weights / weights.sum()
+
+    def value(m: np.ndarray, half_square: float, ridge: float) -> float:
+        return half_square + float(goal @ m) + ridge / 2 * float(m @ gram @ m)
+
+    def look(m: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Half the sum of squared rates, the domains' totals, and the Gram matrix of documents with a rate."""
+        rate = _rate([m], k)
+        held = F.when(rate > 0, t).otherwise(0.0)
+        seen = features.select(t, *p, rate.alias("_r"), held.alias("_held"))
+        found = seen.agg(
+            F.sum(t * F.col("_r") * F.col("_r")),
+            *(F.sum(t * F.col("_r") * x) for x in p),
+            *(F.sum(F.col("_held") * p[i] * p[j]) for i in range(k) for j in range(k)),
+        ).first()
+        found = np.array(found, dtype=float) / total
+        return found[0] / 2, found[1 : k + 1], found[k + 1 :].reshape(k, k)
+
+    def squares(ms: list[np.ndarray]) -> np.ndarray:
+        return np.array(features.agg(*(F.sum(t * _rate([m], k) * _rate([m], k)) for m in ms)).first(), dtype=float) / total / 2
+
+    m = np.zeros(k)
+    now = look(m)
+    for ridge in RIDGES:
+        for _ in range(NEWTON_STEPS):
+            slope = goal - now[1] + ridge * gram @ m
+            if np.abs(slope).max() <= TOLERANCE / 10:
+                break
+            step = -np.linalg.lstsq(now[2] + ridge * gram, slope, rcond=1e-15)[0]
+            least = value(m, now[0], ridge) + 1e-4 * float(slope @ step)
+            after = look(m + step)
+            if value(m + step, after[0], ridge) > least:
+                tried = [m + step / 2**i for i in range(1, 21)]
+                values = [value(x, h, ridge) for x, h in zip(tried, squares(tried), strict=True)]
+                best = int(np.argmin(values))
+                if values[best] >= value(m, now[0], ridge):
+                    break
+                step = tried[best] - m
+                after = look(tried[best])
+            m, now = m + step, after
+        if np.abs(now[1] - goal).max() <= TOLERANCE:
             break
-        last = error
-        steps.append(inverse @ (now - goal))
-    return steps
+    else:
+        gaps = {d: float(x) for d, x in zip(domains, now[1] - goal, strict=True)}
+        warnings.warn(f"the rates do not meet the target shares; remaining gaps in tokens over all tokens: {gaps}", stacklevel=2)
+    return [m]
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], sample_docs: int = SAMPLE_DOCS, carry: list[str] | None = None) -> tuple[DataFrame, Classifier]:
