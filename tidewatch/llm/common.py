@@ -10,15 +10,23 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 
+#: What the two bounds are where a session sets none.
+_BATCH_DEFAULTS = ("10000", "67108864b")
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Rows that one Arrow batch may hold: whole texts can be long, so batches are short.
 BATCH_ROWS = 1000
+#: Bytes after which a batch is sent however few its rows are.
+BATCH_BYTES = 8 << 20
 
 
 def short_batches(spark: SparkSession) -> None:
-    """Send the package to the workers, and keep Arrow batches small, so that very long texts do not pile up."""
+    """Send the package to the workers, and bound the session's Arrow batches by rows and bytes, so that
+    very long texts do not pile up. A bound that the session has set itself stays."""
     ship_package(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    for name, wanted in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        if spark.conf.get(key) in _BATCH_DEFAULTS:
+            spark.conf.set(key, str(wanted))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +66,11 @@ def free_name(taken: Iterable[str], wanted: str) -> str:
     return wanted
 
 
+def whole_row(df: DataFrame, columns: list[str] | None = None) -> Column:
+    """The given columns (all by default) as one struct, ``row``: inside it no name can clash with a helper column."""
+    return F.struct(*(F.col(f"`{c}`").alias(c) for c in (df.columns if columns is None else columns))).alias("row")
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every node that has an edge; root is the smallest node of its component.
 
