@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -112,6 +113,15 @@ def test_thresholds_have_the_pigeonhole_sum():
     assert simhash.allocate(costs, 0) in ([1, -1, 0], [0, -1, 1]) and sum(simhash.allocate(costs, 0)) == 0
 
 
+def test_one_of_each_group_stays_whatever_the_names(spark):
+    text = sentences(1, 5)[0]
+    rows = [(3, text, 1, "a"), (1, text, 2, "b"), (1, text, 3, "c"), (2, "other words here entirely now", 4, "d"), (None, text, 5, "e"), (None, "", 6, "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept_id int, `row.id` string")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and sorted((r["doc_id"] or 0, len(r["text"]) > 0) for r in kept.collect()) == [(0, False), (0, True), (1, True), (2, True)]
+    assert simhash.keep_one(docs.filter("1 = 0")).count() == 0
+
+
 # --- line dedup --------------------------------------------------------------------------------
 
 
@@ -122,10 +132,39 @@ def test_recurring_lines_go(spark):
     rows = [(1, f"{own[0]}\n{shared}\n{varied[0]}"), (2, f"{own[1]}\n{shared.replace('12', '99')}"), (3, f"{own[2]}\n{varied[1]}\nshort line"), (4, "short line"), (5, shared), (None, shared)]
     cut = {r["doc_id"]: r for r in linededup.dedup_lines(frame(spark, rows)).collect()}
     assert cut[1]["text"] == rows[0][1] and cut[1]["dropped_count"] == 0
-    assert cut[2]["text"] == own[1] and cut[3]["text"] == f"{own[2]}\nshort line" and cut[4]["text"] == "short line"
+    assert cut[2]["text"] == own[1] and cut[3]["text"] == f"{own[2]}\nshort line" and cut[4]["text"] == ""
     assert cut[5]["text"] == "" and cut[None]["text"] == shared
     kept = linededup.keep_fresh(frame(spark, rows))
-    assert {r["doc_id"]: r["n_chars"] for r in kept.collect()} == {1: len(rows[0][1]), 2: len(own[1]), 3: len(own[2]) + 11, 4: 10, None: len(shared)}
+    assert {r["doc_id"]: r["n_chars"] for r in kept.collect()} == {1: len(rows[0][1]), 2: len(own[1]), 3: len(own[2]) + 11, None: len(shared)}
+
+
+def test_short_lines_go_only_as_they_stand(spark):
+    texts = ["All rights reserved.\nfirst text of its own here\n41", "second text, of its own, there\nAll  rights reserved.\n42", "All rights reserved."]
+    found = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(frame(spark, list(enumerate(texts)))).collect()}
+    assert found == {0: texts[0], 1: "second text, of its own, there\n42", 2: ""}
+
+
+def test_line_dedup_with_clashing_names_and_common_lines(spark, monkeypatch):
+    names = "doc_id long, text string, flags long, row string, _may string, `a.b` int, line_count string"
+    rows = [(i, f"the very same line of words\nown{i} text{i}a of this {'x' * i} document\n" * (1 + i % 70), i, "r", "m", 1, "c") for i in range(90)]
+    docs = spark.createDataFrame(rows, names)
+    found = linededup.dedup_lines(docs)
+    assert found.columns == [*docs.columns, "line_count_", "dropped_count"]
+    for r in found.collect():
+        assert ("the very same line" in r["text"]) == (r["doc_id"] == 0) and (r["flags"], r["row"], r["a.b"]) == (r["doc_id"], "r", 1)
+        assert r["dropped_count"] + len(r["text"].split("\n")) >= r["line_count_"]
+    monkeypatch.setattr(linededup, "HOT_LINES", 0)
+    assert sorted(map(tuple, linededup.dedup_lines(docs).collect())) == sorted(map(tuple, found.collect()))
+    assert linededup.keep_fresh(docs).columns == docs.columns
+
+
+def test_long_tokens_are_masked_in_linear_time(spark):
+    import time
+
+    text = "a line with 1 " + "x" * 400_000 + " end\nother"
+    began = time.perf_counter()
+    assert linededup.dedup_lines(frame(spark, [(1, text), (2, "short")])).count() == 2
+    assert time.perf_counter() - began < 30
 
 
 def test_line_dedup_of_odd_rows(odd):
@@ -191,6 +230,21 @@ def test_mixing_odd_rows(odd, spark):
     assert mixing.mix(odd.select("doc_id", "text").filter("1 = 0"), labels, {"a": 1.0})[0].count() == 0
 
 
+def test_mixing_with_clashing_names_and_odd_targets(spark):
+    rows = [(i, f"{'alpha beta' if i % 2 else 'gamma delta'} words {i}", 1, 2, "x", "y", "z") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _tokens int, _p0 int, row string, `a.b` string, token string")
+    labels = spark.createDataFrame([(i, "token" if i % 2 else "row") for i in range(40)], "doc_id long, domain string")
+    with pytest.warns(UserWarning, match="nowhere"):
+        taken = mixing.resample(docs, labels, {"token": 0.4, "row": 0.1, "nowhere": 0.5})
+    assert taken.columns == docs.columns and {r["a.b"] for r in taken.collect()} == {"y"}
+    with pytest.warns(UserWarning):
+        assert mixing.resample(docs, labels, {"nowhere": 1.0}).count() == 60
+    many = spark.createDataFrame([(i, f"d{i % 30}" if i >= 60 else f"e{i}") for i in range(700)], "doc_id long, domain string")
+    with pytest.warns(UserWarning, match="domains"):
+        model = mixing.fit(docs, many)
+    assert len(model.domains) <= mixing.MAX_DOMAINS
+
+
 # --- packing -----------------------------------------------------------------------------------
 
 
@@ -230,6 +284,40 @@ def test_packing_odd_rows(odd):
     assert packing.pack(odd.filter("1 = 0")).count() == 0
 
 
+def test_token_ids_are_those_of_whole_texts():
+    import public_tokenizers
+
+    words = packing.WordTokenizer(str(public_tokenizers.path(packing.TOKENIZER)))
+    assert words.by_word
+    odd_parts = ["abcXYZ", "İ", "ALİ,", "İ.", "ı", "ſ", "Ⱥ", "ǅ", "Σ", "σς", "é", "e\u0301", "ﬁ", "²", "½", "中文", "😀", "'s", "'ll", "<|endoftext|>", "<|EndOfText|>", "<|"]
+    odd_parts += ["º", "\u0308", "한", "ΐ", "\u180e", "\ufeff", "Å", "ẞ", "1", "_", "-", ".", ",", "“", "–", " ", " ", " ", "\t", "\n", "\x0b", "\x1c", "\x1f", "\x85", "\xa0", "\u3000", "\u200b"]
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(odd_parts) for _ in range(rng.randint(0, 25))) for _ in range(20_000)] + ["ALİ, – x", "VELİ. “söz”", "ALİ, x", None]
+    for at in range(0, len(texts), 1000):
+        for text, found in zip(texts[at : at + 1000], words.encode(texts[at : at + 1000]), strict=True):
+            assert np.frombuffer(found, dtype="<u4").tolist() == words.tokenizer.encode(text or "", add_special_tokens=False).ids, repr(text)
+
+
+def test_tokenizers_of_other_shapes_get_whole_texts():
+    import public_tokenizers
+
+    whole = packing.WordTokenizer(str(public_tokenizers.path("byte_bpe_50k.json")))
+    texts = ["two words  and\nlines", "", "İ, – x"]
+    assert not whole.by_word
+    assert [np.frombuffer(x, dtype="<u4").tolist() for x in whole.encode(texts)] == [whole.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_full_word_table_makes_room(monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(packing, "CACHE_WORDS", 5)
+    words = packing.WordTokenizer(str(public_tokenizers.path(packing.TOKENIZER)))
+    for k in range(30):
+        text = f"always here and word{k} new{k}, often{k % 7}"
+        assert np.frombuffer(words.encode([text])[0], dtype="<u4").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(words.known) < 40
+
+
 def test_histogram_plans():
     rng = np.random.default_rng(8)
     for lengths in (rng.integers(1, 65, 300), np.array([64] * 9 + [33] * 5 + [31] * 5 + [1]), rng.integers(20, 45, 200), np.array([7])):
@@ -304,6 +392,29 @@ def test_pipeline_keeps_documents_with_letters(spark):
     assert {r["doc_id"] for r in langid.keep_identified(frame(spark, rows)).collect()} == set(range(30))
 
 
+def test_numerals_and_letters(spark, model):
+    label = langid.Labeller(model)
+    names, scores = label(["x²", "m² km²", "² ½", "12", ""])
+    assert all(n != "und" for n in names[:2]) and all(s > 0 for s in scores[:2]) and names[2:] == ["und"] * 3
+    assert langid.words_of("x² ² ½ é") == ["x²", "é"]
+
+
+def test_long_texts_and_rare_languages_are_learned(spark):
+    long = " ".join(sentences(1, 3, 8000, "de"))
+    rows = [(i, long, "de", "s", 1) for i in range(8)] + [(100 + i, f"mot{i} autre", f"l{i}", "s", 1) for i in range(205)]
+    sample = langid.labelled_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
+    own = [t for lang, t in sample if lang == "de"]
+    assert own and all(t in long and 0 < len(t) <= langid.SAMPLE_MAX_CHARS for t in own)
+    kept = sum(zlib.crc32(str(100 + i).encode()) % 4 != 2 for i in range(205))
+    assert len({lang for lang, _ in sample}) == 1 + kept
+
+
+def test_without_labels_all_letters_stay(spark):
+    rows = [(1, "some words", None), (2, "12 34", None), (3, None, None), (4, "é", None), (5, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in langid.keep_identified(docs).collect()} == {1, 4}
+
+
 # --- secrets -----------------------------------------------------------------------------------
 
 KEY = "q7Zp0XvT4mLk9RbWc2Yd8HsN"

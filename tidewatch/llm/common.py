@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
 
+T = TypeVar("T")
 #: What the two bounds are where a session sets none.
 _BATCH_DEFAULTS = ("10000", "67108864b")
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -29,6 +32,25 @@ def short_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(wanted))
 
 
+_kept: dict[str, object] = {}
+
+
+def worker_cache(name: str, make: Callable[[], T]) -> T:
+    """What a Python worker keeps from task to task, made by ``make`` at first. A worker keeps one such thing
+    at a time, so that the next operator's tasks do not add to the memory of the last one's."""
+    if name not in _kept:
+        drop_worker_cache()
+        _kept[name] = make()
+    return _kept[name]  # type: ignore[return-value]
+
+
+def drop_worker_cache() -> None:
+    """Called in tasks that keep nothing."""
+    if _kept:
+        _kept.clear()
+        gc.collect()
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -66,9 +88,15 @@ def free_name(taken: Iterable[str], wanted: str) -> str:
     return wanted
 
 
+def plain(columns: Iterable[str]) -> list[Column]:
+    """The columns of these names, whatever characters they hold."""
+    return [F.col(f"`{c}`") for c in columns]
+
+
 def whole_row(df: DataFrame, columns: list[str] | None = None) -> Column:
     """The given columns (all by default) as one struct, ``row``: inside it no name can clash with a helper column."""
-    return F.struct(*(F.col(f"`{c}`").alias(c) for c in (df.columns if columns is None else columns))).alias("row")
+    names = df.columns if columns is None else columns
+    return F.struct(*(x.alias(c) for x, c in zip(plain(names), names, strict=True))).alias("row")
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:

@@ -8,6 +8,7 @@ by word. A document's language is the one with the largest mean posterior over i
 from __future__ import annotations
 
 import re
+import warnings
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -18,17 +19,21 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from . import common
 
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 HASH_BITS = 15
-#: Bounds of the labelled sample that the model is fitted on.
-SAMPLE_DOCS_PER_LANG = 200
-SAMPLE_MAX_CHARS = 20_000
+#: Bounds of the labelled sample that the model is fitted on: documents of a language and of all, characters of
+#: a document (a window of a longer one, at a place that follows from its id) and of all.
+SAMPLE_DOCS_PER_LANG, SAMPLE_DOCS = 200, 20_000
+SAMPLE_MAX_CHARS, SAMPLE_CHARS = 20_000, 20_000_000
+#: Languages that the model can tell apart; of more, the most frequent are learned, with a warning.
+MAX_LANGS = 250
 #: Words whose scores a worker keeps; the table starts afresh when full.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 #: Words that go through forward-backward at a time (one longer document goes alone).
 BLOCK_WORDS = 200_000
 
@@ -42,7 +47,11 @@ class Model:
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+    """Lower-case words that hold a letter (the pattern also matches numerals such as a superscript two)."""
+    if not text:
+        return []
+    found = WORD.findall(text.lower())
+    return found if text.isascii() else [w for w in found if w.isalpha() or any(map(str.isalpha, w))]
 
 
 def features(word: str, lexicon: dict[str, int]) -> list[int]:
@@ -178,7 +187,7 @@ class Labeller:
 
     def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-        docs = [(i, words) for i, x in enumerate(texts) if (words := words_of(x)) and any(map(str.isalpha, words))]
+        docs = [(i, words) for i, x in enumerate(texts) if (words := words_of(x))]
         docs.sort(key=lambda d: -len(d[1]))
         at = 0
         while at < len(docs):
@@ -216,14 +225,26 @@ def training_rows(docs: DataFrame) -> Column:
 
 
 def labelled_sample(docs: DataFrame, per_lang: int = SAMPLE_DOCS_PER_LANG) -> list[tuple[str, str]]:
-    """(lang, text) of at most ``per_lang`` training documents of each language, picked by a hash of the id."""
-    rows = docs.filter(training_rows(docs)).filter(F.length("text").between(1, SAMPLE_MAX_CHARS))
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(200).collect()}
+    """(lang, text) of at most ``per_lang`` training documents of each language, picked by a hash of the id.
+
+    All languages are learned, up to MAX_LANGS; with many of them each gets fewer documents and shorter
+    windows, so that the driver holds about SAMPLE_CHARS characters at most.
+    """
+    rows = docs.filter(training_rows(docs)).filter(F.length("text") > 0)
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS + 1).collect()}
     if not sizes:
         return []
-    draw = (F.xxhash64(F.col("doc_id").cast("string")).bitwiseAND(0x7FFFFFFF) / F.lit(float(1 << 31)))
+    if len(sizes) > MAX_LANGS:
+        warnings.warn(f"more than {MAX_LANGS} languages; only the most frequent are learned", stacklevel=2)
+        sizes = dict(list(sizes.items())[:MAX_LANGS])
+    per_lang = min(per_lang, SAMPLE_DOCS // len(sizes))
+    window = min(SAMPLE_MAX_CHARS, SAMPLE_CHARS // (2 * per_lang * len(sizes)))
+    mark = F.xxhash64(F.col("doc_id").cast("string"))
+    draw = mark.bitwiseAND(0x7FFFFFFF) / F.lit(float(1 << 31))
     odds = F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, 2.0 * per_lang / n))))
-    picked = rows.select("lang", "text", draw.alias("draw")).filter(F.col("draw") < odds[F.col("lang")]).collect()
+    spare = F.greatest(F.length("text") - window, F.lit(0)) + 1
+    part = F.col("text").substr((F.pmod(F.shiftright(mark, 31), spare) + 1).cast("int"), F.lit(window))
+    picked = rows.select("lang", part.alias("text"), draw.alias("draw")).filter(F.col("draw") < odds[F.col("lang")]).collect()
     by: dict[str, list] = {}
     for r in sorted(picked, key=lambda r: (r["lang"], r["draw"], r["text"])):
         by.setdefault(r["lang"], []).append((r["lang"], r["text"]))
@@ -234,8 +255,9 @@ def identify(docs: DataFrame, model: Model, prediction: str = "lang_pred", score
     """``docs`` with two more columns: the predicted language of ``text`` and its mean word posterior.
 
     Null texts and texts without a letter are ``und`` with score 0; ties go to the label that sorts
-    first; repeated rows get equal results; a model without labels calls everything ``und``; other
-    columns pass through, and a clashing name gets an underscore.
+    first; repeated rows get equal results; a very long text is labelled alone, whole; a model without
+    labels calls everything ``und``; an empty table gives no rows; other columns pass through, and a
+    clashing name gets an underscore.
     """
     spark = docs.sparkSession
     common.short_batches(spark)
@@ -245,6 +267,7 @@ def identify(docs: DataFrame, model: Model, prediction: str = "lang_pred", score
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.drop_worker_cache()
         model = Model(*shared.value)
         label = Labeller(model)
         for b in batches:
@@ -252,7 +275,7 @@ def identify(docs: DataFrame, model: Model, prediction: str = "lang_pred", score
             found, scores = label(texts) if model.labels else ([UNKNOWN] * len(texts), [0.0] * len(texts))
             yield pa.record_batch([*b.columns, pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=names)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{prediction}` string, `{score}` double"
+    schema = StructType([*docs.schema.fields, StructField(prediction, StringType()), StructField(score, DoubleType())])
     return docs.mapInArrow(run, schema)
 
 
@@ -262,10 +285,15 @@ def train(docs: DataFrame, per_lang: int = SAMPLE_DOCS_PER_LANG) -> Model:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The documents whose language can be told; texts without a letter go."""
+    """The documents whose language can be told; null texts and texts without a letter go.
+
+    Where no row is labelled there is nothing to tell, and every text with a letter stays.
+    """
     model = train(docs)
+    if not model.labels:
+        return docs.filter(F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)))
     tagged = identify(docs, model)
-    return tagged.filter(F.col(tagged.columns[-2]) != UNKNOWN).select(*docs.columns)
+    return tagged.filter(F.col(tagged.columns[-2]) != UNKNOWN).select(*common.plain(docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -136,7 +136,7 @@ def keep_fresh(docs: DataFrame) -> DataFrame:
     left = cut.filter((F.col(gone) == 0) | F.col("text").rlike("[^\\x09-\\x0D ]"))
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return left.select(*docs.columns)
+    return left.select(*common.plain(docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

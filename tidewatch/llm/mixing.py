@@ -77,13 +77,16 @@ def _with_tokens(docs: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, markers: int = MARKERS) -> Classifier:
     """Bernoulli naive Bayes on the tokens that tell most about the domain (mutual information).
 
-    ``labelled`` is (doc_id, domain); of several labels of a document the smallest counts. Fitted on
-    about ``sample_docs`` labelled documents at most, picked by a hash of the id.
+    ``labelled`` is (doc_id, domain); of several labels of a document the smallest counts; of more than
+    MAX_DOMAINS domains the most frequent are learned, with a warning. Fitted on about ``sample_docs``
+    labelled documents at most, picked by a hash of the id.
     """
     labelled = labelled.filter("doc_id is not null and domain is not null").groupBy("doc_id").agg(F.min("domain").alias("domain"))
     sizes = {r["domain"]: r["count"] for r in labelled.groupBy("domain").count().orderBy(F.desc("count"), "domain").limit(MAX_DOMAINS + 1).collect()}
     if len(sizes) > MAX_DOMAINS:
-        raise ValueError(f"more than {MAX_DOMAINS} domains")
+        warnings.warn(f"more than {MAX_DOMAINS} domains; documents of all but the most frequent count as unlabelled", stacklevel=2)
+        sizes = dict(list(sizes.items())[:MAX_DOMAINS])
+        labelled = labelled.filter(F.col("domain").isin(*sizes))
     share = min(1.0, sample_docs / max(1, sum(sizes.values())))
     draw = F.xxhash64(F.col("doc_id").cast("string")).bitwiseAND(0x7FFFFFFF)
     sample = labelled.filter(draw < int(share * (1 << 31)))
@@ -93,8 +96,8 @@ def fit(docs: DataFrame, labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, ma
     domains, total = sorted(held), sum(held.values())
     if not domains:
         return Classifier([], [], [], [])
-    counts = rows.select("domain", F.explode("tokens").alias("token")).groupBy("token").agg(*(F.count_if(F.col("domain") == d).alias(d) for d in domains))
-    columns = {d: F.col(f"`{d}`") for d in domains}
+    counts = rows.select("domain", F.explode("tokens").alias("token")).groupBy("token").agg(*(F.count_if(F.col("domain") == d).alias(f"d{i}") for i, d in enumerate(domains)))
+    columns = {d: F.col(f"d{i}") for i, d in enumerate(domains)}
     df = sum(columns.values(), F.lit(0))
 
     def gain(joint: Column, side: Column, size: int) -> Column:
@@ -102,7 +105,7 @@ def fit(docs: DataFrame, labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, ma
 
     information = sum((gain(columns[d], df, held[d]) + gain(held[d] - columns[d], total - df, held[d]) for d in domains), F.lit(0.0))
     best = counts.withColumn("_gain", information).filter((df >= 5) & ((df <= MAX_SHARE * total) | F.startswith("token", F.lit("\x01")))).orderBy(F.desc("_gain"), "token").limit(markers).collect()
-    p = {d: [(r[d] + 0.5) / (held[d] + 1.0) for r in best] for d in domains}
+    p = {d: [(r[f"d{i}"] + 0.5) / (held[d] + 1.0) for r in best] for i, d in enumerate(domains)}
     bias = [math.log(held[d] / total) + sum(math.log(1 - x) for x in p[d]) for d in domains]
     weights = [[math.log(x) - math.log(1 - x) for x in p[d]] for d in domains]
     return Classifier(domains, bias, [r["token"] for r in best], weights)
@@ -206,21 +209,27 @@ def fit_rates(features: DataFrame, domains: list[str], targets: Mapping[str, flo
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], sample_docs: int = SAMPLE_DOCS, carry: list[str] | None = None) -> tuple[DataFrame, Classifier]:
-    """The ``carry`` columns of ``docs`` (all by default) with _tokens, _p0..., _rate and _copies; and the classifier.
+    """row (the ``carry`` columns of ``docs``, all by default), _tokens, _p0..., _rate and _copies; and the classifier.
 
     _copies is the rate rounded down or up by a hash of id and text, so that its expectation is the
     rate. Null and empty texts have no tokens, prior-like posteriors and the rate those imply; repeated
-    rows get equal rates; without labels every rate is 1; an empty table gives no rows; other columns
-    pass through (their names must not start with an underscore). Texts are read once: what the fit
-    and the result need is stored in the shared folder.
+    rows get equal rates; without labels, or where no target falls on a domain that the labelled sample
+    holds, every rate is 1; the tokens of a domain without a target go to nothing, and a target whose
+    domain is absent from the sample can't be met: the others are scaled up to one, with a warning that
+    names it. An empty table gives no rows; a very long text is one row like any other. The carried
+    columns travel in one struct, ``row``, so none of their names can clash. Texts are read once: what
+    the fit and the result need is stored in the shared folder.
     """
-    carry = docs.columns if carry is None else carry
     model = fit(docs, labelled, sample_docs)
     k = len(model.domains)
-    draw = F.xxhash64(F.lit(17), docs["doc_id"], docs["text"]).bitwiseAND(0x7FFFFFFF) / F.lit(float(1 << 31))
-    scored = posteriors(docs.withColumn("_draw", draw), model)
-    scored = common.stored(scored.select(*carry, "_draw", "_tokens", *(f"_p{i}" for i in range(k))), "features")
-    rate = _rate(fit_rates(scored, model.domains, targets) if k else [], k)
+    draw = F.xxhash64(F.lit(17), "doc_id", "text").bitwiseAND(0x7FFFFFFF) / F.lit(float(1 << 31))
+    scored = posteriors(docs.select(common.whole_row(docs, carry), "text", draw.alias("_draw")), model)
+    scored = common.stored(scored.select("row", "_draw", "_tokens", *(f"_p{i}" for i in range(k))), "features")
+    absent = sorted(d for d, x in targets.items() if x > 0 and d not in model.domains)
+    if absent:
+        warnings.warn(f"no labelled document of the sample belongs to {absent}; the other targets are scaled up", stacklevel=2)
+    reachable = any(targets.get(d, 0) > 0 for d in model.domains)
+    rate = _rate(fit_rates(scored, model.domains, targets) if reachable else [], k)
     mixed = scored.withColumn("_rate", rate).withColumn("_copies", F.floor(F.col("_rate") + F.col("_draw")).cast("long"))
     return mixed.drop("_draw"), model
 
@@ -228,11 +237,12 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], samp
 def resample(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float] = TARGETS) -> DataFrame:
     """Each document as many times as the mixture takes it; columns as in ``docs``."""
     mixed, _ = mix(docs, labelled, targets)
-    return mixed.filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    copies = mixed.filter("_copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+    return copies.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read_table(spark, sf_dir, "documents").select("doc_id", "text")
     mixed, model = mix(docs, label_domains(common.read_table(spark, sf_dir, "labels")), TARGETS, carry=["doc_id"])
     shares = [F.col(f"_p{i}").alias(f"p_{d}") for i, d in enumerate(model.domains)]
-    return mixed.select("doc_id", F.col("_tokens").cast("long").alias("n_tokens"), *shares, F.col("_rate").alias("rate"), F.col("_copies").alias("copies"))
+    return mixed.select(F.col("row.doc_id").alias("doc_id"), F.col("_tokens").cast("long").alias("n_tokens"), *shares, F.col("_rate").alias("rate"), F.col("_copies").alias("copies"))

@@ -8,10 +8,13 @@ placed best fit. The programme's size depends on the sequence length alone, not
 
 from __future__ import annotations
 
+import gc
+import json
 import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate, chain, pairwise
 from pathlib import Path
 
 import numpy as np
@@ -25,7 +28,8 @@ from . import common
 SEQUENCE_TOKENS = 2048
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 0
-CACHE_WORDS = 1_200_000
+#: A worker keeps the ids of up to twice as many words.
+CACHE_WORDS = 400_000
 #: Rounds of solving and rounding, and price updates in each.
 ROUNDS, UPDATES = 6, 40
 
@@ -38,8 +42,10 @@ _WIDE = re.compile("[^\x00-ɏ]")
 class WordTokenizer:
     """Token ids of texts, as little-endian unsigned 32-bit bytes.
 
-    This tokenizer's tokens never cross white space, so each word is encoded once and looked up from
-    then on; the ids are those of encoding the whole text.
+    Where the tokenizer splits at white space (:func:`splits_at_blanks`), each word is encoded once and
+    looked up from then on, and the ids are those of encoding the whole text. When the table of words is
+    full, it becomes the older one of two; words that are met again move on, the others go with it. Any
+    other tokenizer gets whole texts.
     """
 
     def __init__(self, path: str) -> None:
@@ -47,46 +53,78 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_word = splits_at_blanks(json.loads(self.tokenizer.to_str()))
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        flat = np.fromiter(chain.from_iterable(ids), dtype="<u4").tobytes()
+        ends = [4 * n for n in accumulate(map(len, ids), initial=0)]
+        return [flat[a:b] for a, b in pairwise(ends)]
 
     def _learn(self, words: set[str]) -> None:
+        """Put the ids of all words into the table."""
         if len(self.known) > CACHE_WORDS:
-            self.known = {}
-        fresh = words.difference(self.known)
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        fresh = words.difference(known)
+        again = older.keys() & fresh
+        known.update(zip(again, map(older.__getitem__, again), strict=True))
+        fresh -= again
         if not fresh:
             return
-        ended = {w for w in fresh if w[-1] in ".," and w[:-1].isalpha() and not _WIDE.search(w)}
-        plain = sorted((fresh - ended) | {x for w in ended for x in (w[:-1], w[-1]) if x not in self.known})
-        for w, e in zip(plain, self.tokenizer.encode_batch_fast(plain, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
+        # a word of plain lower-case letters and a stop is a token run for each: no normalisation can join them
+        ended = {w for w in fresh if w[-1] in ".," and w[:-1].isalpha() and not _WIDE.search(w) and w == w.lower()}
+        plain = sorted((fresh - ended) | {x for w in ended for x in (w[:-1], w[-1]) if x not in known})
+        known.update(zip(plain, self._encode(plain), strict=True))
         for w in ended:
-            self.known[w] = self.known[w[:-1]] + self.known[w[-1]]
+            known[w] = known[w[:-1]] + known[w[-1]]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        if not self.by_word:
+            return self._encode([x or "" for x in texts])
         split = []
         for text in texts:
             text = text or ""
-            if text.isascii() or not _WIDE.search(text):
-                text = text.lower()  # for these characters Python and the tokenizer agree; it lowers the others itself
+            # for these characters Python and the tokenizer lower alike; it lowers the others itself, and finds special tokens before
+            if "<|" not in text and (text.isascii() or not _WIDE.search(text)):
+                text = text.lower()
             split.append([w for w in _WHITE.split(text) if w] if any(c in text for c in _SEPARATORS) else text.split())
-        self._learn(set().union(*split))
-        known = self.known
-        return [b"".join([known[w] for w in words]) for words in split]
-
-
-_loaded: dict[str, WordTokenizer] = {}
+        gc.disable()  # nothing here makes cycles, and the table's many objects make collections slow
+        try:
+            self._learn(set().union(*split))
+            known = self.known
+            return [b"".join([known[w] for w in words]) for words in split]
+        finally:
+            gc.enable()
+
+
+def splits_at_blanks(shape: dict) -> bool:
+    """Whether no token of this tokenizer crosses white space, and none depends on the words around."""
+    split = shape.get("pre_tokenizer") or {}
+    steps = split.get("pretokenizers", [split])
+    words = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+    first = bool(steps) and steps[0].get("type") == "Split" and steps[0].get("pattern") == {"Regex": words} and steps[0].get("behavior") == "Removed" and steps[0].get("invert") is True
+    rest = all(x.get("type") == "ByteLevel" and not x.get("add_prefix_space") and not x.get("use_regex") for x in steps[1:])
+    normal = shape.get("normalizer") or {}
+    kinds = [x.get("type") for x in normal.get("normalizers", [normal])]
+    added = all(not any(t[k] for k in ("lstrip", "rstrip", "normalized")) and t["content"].startswith("<|") and not any(c.isspace() for c in t["content"]) for t in shape.get("added_tokens", []))
+    return first and rest and kinds == ["NFC", "Replace", "Lowercase"] and added and shape.get("post_processor") is None
 
 
 def tokenizer(path: str) -> WordTokenizer:
     """One tokenizer for each worker process; a bare file name is looked up among the public tokenizers."""
-    if path not in _loaded:
+
+    def load() -> WordTokenizer:
         where = path
         if not Path(path).is_absolute():
             import public_tokenizers
 
             where = str(public_tokenizers.path(path))
-        _loaded[path] = WordTokenizer(where)
-    return _loaded[path]
+        return WordTokenizer(where)
+
+    return common.worker_cache(f"tokenizer {path}", load)
 
 
 def pieces(docs: DataFrame, size: int = SEQUENCE_TOKENS, path: str = TOKENIZER) -> DataFrame:

@@ -54,6 +54,7 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
     common.short_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.drop_worker_cache()
         for b in batches:
             found = [simhash(x or b"", size) for x in b.column(1).cast(pa.binary()).to_pylist()]
             yield pa.record_batch([b.column(0), pa.array(found, pa.int64())], names=["doc_id", "fp"])
@@ -200,16 +201,17 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
 def keep_one(docs: DataFrame, find: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
     """The documents with one of each group that ``find`` tells by component_id: the one with the smallest doc_id.
 
-    Rows with a null doc_id stay unless their group has a row with an id; of rows that share the kept
-    doc_id one stays.
+    Rows with a null doc_id stay, for nothing could name the ones to go; of rows that share the kept
+    doc_id one stays; other columns pass through, whatever their names.
     """
-    found = common.stored(find(docs), "near")
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id")).distinct()
-    left = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
-    if not found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        nulls = left.filter("doc_id is null")
-        left = left.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(nulls)
-    return left.select(*docs.columns)
+    rows = docs.select(common.whole_row(docs), F.col("doc_id").cast("long").alias("id"))
+    found = common.stored(find(docs.select("doc_id", "text").filter("doc_id is not null")), "near")
+    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    left = rows.join(kept, F.col("id") == F.col("kept_id"), "left_semi")
+    if not found.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        left = left.dropDuplicates(["id"])
+    left = left.unionByName(rows.filter("id is null"))
+    return left.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
