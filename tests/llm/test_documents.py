@@ -199,7 +199,7 @@ def test_rates_meet_the_targets(mixture):
     share = (rate * t) @ p / t.sum()
     assert np.allclose(share, [targets[d] for d in model.domains], atol=2e-3)
     truth = np.array(["en", "de", "fr"]).repeat(150)
-    assert (np.array(model.domains)[p.argmax(1)] == truth[[r["doc_id"] for r in rows]]).mean() > 0.95
+    assert (np.array(model.domains)[p.argmax(1)] == truth[[r["row"]["doc_id"] for r in rows]]).mean() > 0.95
     copies = np.array([r["_copies"] for r in rows])
     assert (np.abs(copies - rate) < 1).all()
     taken = mixing.resample(docs, labels, targets)

@@ -276,7 +276,7 @@ def identify(docs: DataFrame, model: Model, prediction: str = "lang_pred", score
             yield pa.record_batch([*b.columns, pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=names)
 
     schema = StructType([*docs.schema.fields, StructField(prediction, StringType()), StructField(score, DoubleType())])
-    return docs.mapInArrow(run, schema)
+    return docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).mapInArrow(run, schema)  # names there must not hold dots
 
 
 def train(docs: DataFrame, per_lang: int = SAMPLE_DOCS_PER_LANG) -> Model:
