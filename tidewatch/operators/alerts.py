@@ -29,20 +29,18 @@ def alerts(values: DataFrame, thresholds: AlertThresholds | None = None) -> Data
         )
         return F.when(broken, fields)
 
-    def below(what: str, x: Column, limit: float) -> Column:
-        return F.format_string(f"{what} (%.4f) below minimum ({limit:.2f})", x)
+    def told(what: str, observed: Column, limit: float) -> Column:
+        return F.format_string(f"{what}: observed %.4f, limit {limit:.4f}", observed)
 
-    drop_text = F.format_string(
-        f"AUROC dropped %.1f%% from baseline (%.4f to %.4f); threshold: {100 * t.max_auroc_drop_relative:.1f}%%", drop * 100, base, now
-    )
+    fall = F.format_string(f"Relative fall of AUROC since the reference: observed %.4f (now %.4f, then %.4f), limit {t.max_auroc_drop_relative:.4f}", drop, now, base)
     rules = F.array(
-        rule(1, "critical", "min_auroc", now < t.min_auroc, now, t.min_auroc, below("AUROC", now, t.min_auroc)),
-        rule(2, "critical", "max_auroc_drop_relative", drop > t.max_auroc_drop_relative, drop, t.max_auroc_drop_relative, drop_text),
-        rule(3, "critical", "min_sensitivity", sens < t.min_sensitivity, sens, t.min_sensitivity, below("Sensitivity", sens, t.min_sensitivity)),
-        rule(4, "critical", "min_specificity", spec < t.min_specificity, spec, t.min_specificity, below("Specificity", spec, t.min_specificity)),
-        rule(5, "critical", "psi_major", psi >= t.psi_major, psi, t.psi_major, F.format_string(f"PSI (%.4f) indicates major drift (threshold: {t.psi_major:.2f})", psi)),
-        rule(5, "warning", "psi_minor", (psi >= t.psi_minor) & (psi < t.psi_major), psi, t.psi_minor, F.format_string(f"PSI (%.4f) indicates minor drift (threshold: {t.psi_minor:.2f})", psi)),
-        rule(6, "warning", "max_subgroup_sens_gap", gap > t.max_subgroup_sens_gap, gap, t.max_subgroup_sens_gap, F.format_string(f"Subgroup sensitivity gap (%.4f) exceeds threshold ({t.max_subgroup_sens_gap:.2f})", gap)),
+        rule(1, "critical", "min_auroc", now < t.min_auroc, now, t.min_auroc, told("AUROC is too low", now, t.min_auroc)),
+        rule(2, "critical", "max_auroc_drop_relative", drop > t.max_auroc_drop_relative, drop, t.max_auroc_drop_relative, fall),
+        rule(3, "critical", "min_sensitivity", sens < t.min_sensitivity, sens, t.min_sensitivity, told("Sensitivity is too low", sens, t.min_sensitivity)),
+        rule(4, "critical", "min_specificity", spec < t.min_specificity, spec, t.min_specificity, told("Specificity is too low", spec, t.min_specificity)),
+        rule(5, "critical", "psi_major", psi >= t.psi_major, psi, t.psi_major, told("Scores have shifted strongly (PSI)", psi, t.psi_major)),
+        rule(5, "warning", "psi_minor", (psi >= t.psi_minor) & (psi < t.psi_major), psi, t.psi_minor, told("Scores have shifted somewhat (PSI)", psi, t.psi_minor)),
+        rule(6, "warning", "max_subgroup_sens_gap", gap > t.max_subgroup_sens_gap, gap, t.max_subgroup_sens_gap, told("Sensitivity differs too much between subgroups", gap, t.max_subgroup_sens_gap)),
     )
     return values.select(F.inline(F.filter(rules, lambda r: r.isNotNull())))
 

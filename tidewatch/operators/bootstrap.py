@@ -1,8 +1,7 @@
 """BCa bootstrap intervals for AUROC, AUPRC and the Brier score.
 
 Rows with equal score and label are interchangeable, so a replicate draws counts for these groups, and
-the jackknife has a value per group. Groups are numbered on a grid of scores, so their number is bounded
-however many rows there are.
+the jackknife has a value per group. The estimates are always those of the exact scores.
 """
 
 from __future__ import annotations
@@ -16,10 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import BOOTSTRAP_RESAMPLES, CONFIDENCE, SEED
+from . import ranking
 
 STATISTICS = ("auroc", "auprc", "brier")
-#: Scores are rounded to this many steps for the replicates if there are more distinct ones.
-GRID = 50_000
 
 
 def _statistic(name: str, score: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> np.ndarray:
@@ -77,15 +75,16 @@ def bca_interval(point: float, replicates: np.ndarray, left_out: np.ndarray, wei
     return bounds[0], bounds[1]
 
 
-def intervals(df: DataFrame, names: tuple[str, ...] = STATISTICS, resamples: int = BOOTSTRAP_RESAMPLES, confidence: float = CONFIDENCE, seed: int = SEED) -> list[dict]:
+def intervals(df: DataFrame, names: tuple[str, ...] = STATISTICS, resamples: int = BOOTSTRAP_RESAMPLES, confidence: float = CONFIDENCE, seed: int = SEED, grid: int | None = None) -> list[dict]:
     """metric, estimate, ci_lower, ci_upper, n_valid for each statistic.
 
-    The score groups (at most 2 x GRID numbers) go to the driver and from there to every task; the
-    replicates are spread over the executors, each with a seed of its own.
+    The counts by distinct score (24 bytes each) go to the driver and from there to every task; the
+    replicates are spread over the executors, each with a seed of its own. For tables with more distinct
+    scores than a task's memory holds, ``grid`` rounds the scores of the intervals, and of nothing else,
+    to so many steps.
     """
     rows = df.filter("y_pred_proba is not null and y_true is not null")
-    exact = rows.select("y_pred_proba").distinct().limit(GRID + 1).count() <= GRID
-    score = F.col("y_pred_proba") if exact else F.round(F.col("y_pred_proba") * GRID) / GRID
+    score = F.round(F.col("y_pred_proba") * grid) / grid if grid else F.col("y_pred_proba")
     y = F.col("y_true")
     groups = rows.groupBy(score.alias("score")).agg(F.count_if(y == 1).alias("np"), F.count_if(y == 0).alias("nn")).orderBy("score").toPandas()
     s, pos, neg = groups["score"].to_numpy(dtype=float), groups["np"].to_numpy(dtype=float), groups["nn"].to_numpy(dtype=float)
@@ -105,13 +104,20 @@ def intervals(df: DataFrame, names: tuple[str, ...] = STATISTICS, resamples: int
                 values = [float(statistic(m, own, w[:, : len(p)], w[:, len(p) :])[0]) for m in names]
                 yield pd.DataFrame({"id": i, "metric": list(names), "value": values})
 
+    points = _points(rows) if grid else {m: float(statistic(m, s, pos[None, :], neg[None, :])[0]) for m in names}
     drawn = spark.range(resamples, numPartitions=min(resamples, 64)).mapInPandas(draw, "id long, metric string, value double").toPandas()
     found = []
     for name in names:
-        point = float(statistic(name, s, pos[None, :], neg[None, :])[0])
+        point = points[name]
         values = drawn.loc[drawn["metric"] == name, "value"].dropna().to_numpy()
         low = high = None
         if np.isfinite(point) and len(values) and total > 1:
             low, high = (point, point) if np.ptp(values) == 0 else bca_interval(point, values, *jackknife(name, s, pos, neg), confidence)
         found.append({"metric": name, "estimate": point if np.isfinite(point) else None, "ci_lower": low, "ci_upper": high, "n_valid": len(values)})
     return found
+
+
+def _points(rows: DataFrame) -> dict[str, float]:
+    """The statistics of the exact scores, NaN where undefined."""
+    found = {"auroc": ranking.auroc(rows).first()["auroc"], "auprc": ranking.auprc(rows).first()["auprc"], "brier": ranking.brier(rows).first()["brier"]}
+    return {k: float("nan") if v is None else float(v) for k, v in found.items()}

@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..config import CALIBRATION_BINS, REFERENCE_FRACTION, SITE_MIN_N
 from ..functions import stats
+from ..functions.ordered import cumulated
+from ..session import stored
 from .split import with_phase
 
 RIDGE = 1e-6
 CLIP = 1e-6
+MAX_STEPS = 200
 
 
 def calibration_bins(df: DataFrame, bins: int = CALIBRATION_BINS, keys: list[str] | None = None) -> DataFrame:
@@ -36,65 +38,92 @@ def reliability_curve(df: DataFrame, bins: int = CALIBRATION_BINS, strategy: str
         found = calibration_bins(df, bins)
     elif strategy == "quantile":
         rows = df.filter("y_pred_proba is not null and y_true is not null")
-        cuts = rows.agg(F.percentile("y_pred_proba", F.array(*(F.lit(i / bins) for i in range(1, bins)))).alias("cuts"))
-        own = rows.select("y_true", "y_pred_proba").crossJoin(F.broadcast(cuts))
-        index = F.size(F.filter("cuts", lambda c: c <= F.col("y_pred_proba")))
-        found = own.groupBy(index.alias("bin")).agg(F.count("*").alias("n"), F.avg(F.col("y_true").cast("double")).alias("observed"), F.avg("y_pred_proba").alias("predicted"))
+        groups = stored(rows.groupBy(F.col("y_pred_proba").alias("score")).agg(F.count("*").alias("n"), F.sum("y_true").alias("pos")), "scores")
+        cuts = [F.lit(c) for c in _quantiles(groups, [i / bins for i in range(1, bins)])]
+        index = sum((F.when(F.col("score") >= c, 1).otherwise(0) for c in cuts), F.lit(0))
+        n = F.sum("n")
+        found = groups.groupBy(index.alias("bin")).agg(n.alias("n"), (F.sum("pos").cast("double") / n).alias("observed"), (F.sum(F.col("score") * F.col("n")) / n).alias("predicted"))
     else:
         raise ValueError("strategy is uniform or quantile")
     return found.select("bin", "n", F.col("observed").alias("prob_true"), F.col("predicted").alias("prob_pred"))
 
 
-def newton_logistic(x: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> tuple[float, float] | None:
-    """Intercept and slope that minimise the ridged logistic loss over weighted logits; None where undefined."""
-    n, p = (pos + neg).sum(), 1 / (1 + np.exp(-x))
-    mean = ((pos + neg) * p).sum() / max(n, 1)
-    if n < 3 or pos.sum() == 0 or neg.sum() == 0 or ((pos + neg) * (p - mean) ** 2).sum() / n < 1e-24:
-        return None
-    basis, at = np.stack([np.ones_like(x), x]), np.array([0.0, 1.0])
-
-    def loss(b: np.ndarray) -> float:
-        eta = b @ basis
-        return float((pos * np.logaddexp(0, -eta) + neg * np.logaddexp(0, eta)).sum() + RIDGE * (b @ b))
-
-    for _ in range(200):
-        q = 1 / (1 + np.exp(-(at @ basis)))
-        slope = basis @ ((pos + neg) * q - pos) + 2 * RIDGE * at
-        curve = (basis * ((pos + neg) * q * (1 - q))) @ basis.T + 2 * RIDGE * np.eye(2)
-        step, size, now = np.linalg.solve(curve, slope), 1.0, loss(at)
-        while size > 1e-10 and loss(at - size * step) > now + 1e-12 * abs(now):
-            size /= 2
-        at = at - size * step
-        if np.abs(size * step).max() < 1e-12 * (1 + np.abs(at).max()):
-            break
-    return (float(at[0]), float(at[1])) if np.isfinite(at).all() else None
-
-
-def intercept_slope(df: DataFrame, keys: list[str] | None = None, grid: int = 100_000) -> DataFrame:
-    """keys, intercept, slope of the outcome's logistic fit on the score's logit.
-
-    The fit needs only counts of both outcomes by score; a key's counts go to one task. Scores are
-    gathered on a grid of ``grid`` steps first, with each step's mean score, so a task never holds
-    more rows than that.
+def _quantiles(groups: DataFrame, shares: list[float]) -> list[float]:
+    """Quantiles with linear interpolation, from counts n by distinct score."""
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    if not total:
+        return []
+    ranks = sorted({r for q in shares for r in (math.floor(q * (total - 1)), math.ceil(q * (total - 1)))})
+    below = F.col("before_n")
+    hit = F.filter(F.array(*map(F.lit, ranks)), lambda r: (r >= below) & (r < below + F.col("n")))
+    value = {r["rank"]: r["score"] for r in cumulated(groups, ["n"]).select("score", F.explode(hit).alias("rank")).collect()}
+    found = []
+    for q in shares:
+        at = q * (total - 1)
+        low, high = value[math.floor(at)], value[math.ceil(at)]
+        found.append(low + (high - low) * (at - math.floor(at)))
+    return found
+
+
+def intercept_slope(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """keys, intercept, slope of the outcome's logistic fit on the score's logit; NULL with fewer than 3 rows, one class or one score.
+
+    Newton's method on the ridged loss: rows are counted by score once, and each step is one aggregate
+    of these counts; the driver holds two numbers for each key.
     """
     keys = keys or []
     p = stats.clip(F.col("y_pred_proba"), CLIP, 1 - CLIP)
     rows = df.filter("y_pred_proba is not null and y_true is not null")
-    own = rows.groupBy(*keys, F.floor(F.col("y_pred_proba") * grid).alias("_step")).agg(
-        F.avg(p).alias("p"), F.sum("y_true").cast("double").alias("pos"), F.sum(1 - F.col("y_true")).cast("double").alias("neg")
-    )
-    fields = {f.name: f.dataType.simpleString() for f in df.schema}
-    schema = ", ".join([*(f"{k} {fields[k]}" for k in keys), "intercept double", "slope double"])
-
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        q = group["p"].to_numpy(dtype=float)
-        found = newton_logistic(np.log(q) - np.log1p(-q), group["pos"].to_numpy(dtype=float), group["neg"].to_numpy(dtype=float))
-        head = {k: [group[k].iloc[0]] for k in keys}
-        return pd.DataFrame(head | {"intercept": [found[0] if found else None], "slope": [found[1] if found else None]})
-
-    if keys:
-        return own.groupBy(*keys).applyInPandas(fit, schema)
-    return own.groupBy(F.lit(1).alias("_all")).applyInPandas(fit, schema)
+    counted = rows.groupBy(*keys, p.alias("p")).agg(F.sum("y_true").cast("double").alias("pos"), F.sum(1 - F.col("y_true")).cast("double").alias("neg"))
+    groups = stored(counted.withColumn("x", F.ln("p") - F.log1p(-F.col("p"))), "logits")
+    spark = df.sparkSession
+    kinds = [df.schema[k] for k in keys]
+    fitted = StructType([*kinds, StructField("a", DoubleType()), StructField("b", DoubleType())])
+    sized = groups.groupBy(*keys).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), (F.max("p") - F.min("p")).alias("spread")).collect()
+    every = [tuple(r[k] for k in keys) for r in sized]
+    wanted = {tuple(r[k] for k in keys) for r in sized if r["pos"] and r["neg"] and r["pos"] + r["neg"] >= 3 and r["spread"] > 1e-12}
+
+    def look(points: dict[tuple, tuple[float, float]]) -> dict[tuple, tuple[float, ...]]:
+        """Loss, its slope and its curvature at a point for each key."""
+        at = spark.createDataFrame([(*k, *ab) for k, ab in points.items()], fitted)
+        same = [groups[k].eqNullSafe(at[k]) for k in keys]
+        near = groups.join(F.broadcast(at), same) if same else groups.crossJoin(F.broadcast(at))
+        head = [groups[k] for k in keys]
+        eta, x, n = F.col("a") + F.col("b") * F.col("x"), F.col("x"), F.col("pos") + F.col("neg")
+        q = 1 / (1 + F.exp(-eta))
+        soft = lambda e: F.greatest(e, F.lit(0.0)) + F.log1p(F.exp(-F.abs(e)))
+        off, bend = n * q - F.col("pos"), n * q * (1 - q)
+        loss = F.sum(F.col("pos") * soft(-eta) + F.col("neg") * soft(eta))
+        found = near.groupBy(*head).agg(loss.alias("loss"), F.sum(off).alias("g0"), F.sum(off * x).alias("g1"), F.sum(bend).alias("h0"), F.sum(bend * x).alias("h1"), F.sum(bend * x * x).alias("h2"))
+        out = {}
+        for r in found.collect():
+            k = tuple(r[c] for c in keys)
+            a, b = points[k]
+            out[k] = (r["loss"] + RIDGE * (a * a + b * b), r["g0"] + 2 * RIDGE * a, r["g1"] + 2 * RIDGE * b, r["h0"] + 2 * RIDGE, r["h1"], r["h2"] + 2 * RIDGE)
+        return out
+
+    at = dict.fromkeys(wanted, (0.0, 1.0))
+    here = look(at) if at else {}
+    moving, shrink = set(wanted), dict.fromkeys(wanted, 1.0)
+    for _ in range(MAX_STEPS):
+        if not moving:
+            break
+        tried, size = {}, {}
+        for k in moving:
+            _, g0, g1, h0, h1, h2 = here[k]
+            det = h0 * h2 - h1 * h1
+            step = ((h2 * g0 - h1 * g1) / det, (h0 * g1 - h1 * g0) / det)
+            tried[k] = tuple(c - shrink[k] * s for c, s in zip(at[k], step, strict=True))
+            size[k] = max(abs(shrink[k] * s) for s in step)
+        for k, seen in look(tried).items():
+            if seen[0] > here[k][0] + 1e-12 * abs(here[k][0]) and shrink[k] > 1e-10:
+                shrink[k] /= 2
+                continue
+            at[k], here[k], shrink[k] = tried[k], seen, 1.0
+            if size[k] < 1e-10 * (1 + max(map(abs, at[k]))):
+                moving.discard(k)
+    done = [(*k, *(at[k] if k in at and all(map(math.isfinite, at[k])) else (None, None))) for k in every]
+    return spark.createDataFrame(done, StructType([*kinds, StructField("intercept", DoubleType()), StructField("slope", DoubleType())]))
 
 
 def summary(df: DataFrame, bins: int = CALIBRATION_BINS) -> DataFrame:

@@ -8,28 +8,29 @@ from pyspark.sql import functions as F
 from ..config import CUSUM_THRESHOLD, HISTOGRAM_BINS, REFERENCE_FRACTION, ROLLING_MIN_SAMPLES, ROLLING_WINDOW_DAYS, AlertThresholds
 from ..functions import stats
 from ..functions.ordered import cumulated
-from .ranking import auroc
+from ..session import stored
+from .ranking import grouped_auroc
 from .split import with_phase
 
 PSI_FLOOR = 1e-6
 KL_FLOOR = 1e-10
 
 
-def histogram(phased: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFrame:
-    """bin, reference, current: counts in left-closed bins of equal width, for every bin."""
-    p = F.col("phase")
+def histogram(phased: DataFrame, bins: int = HISTOGRAM_BINS, weight: str | None = None) -> DataFrame:
+    """bin, reference, current: counts in left-closed bins of equal width, for every bin; ``weight`` names a column that counts rows."""
+    p, w = F.col("phase"), F.col(weight) if weight else F.lit(1)
     own = phased.groupBy(stats.left_closed_bin(F.col("y_pred_proba"), bins).alias("bin")).agg(
-        F.count_if(p == "reference").alias("reference"), F.count_if(p == "current").alias("current")
+        *(F.sum(F.when(p == x, w).otherwise(0)).alias(x) for x in ("reference", "current"))
     )
     spine = phased.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     return spine.join(own, "bin", "left").na.fill(0, ["reference", "current"])
 
 
-def score_drift(phased: DataFrame, bins: int = HISTOGRAM_BINS, minor: float | None = None, major: float | None = None) -> DataFrame:
+def score_drift(phased: DataFrame, bins: int = HISTOGRAM_BINS, minor: float | None = None, major: float | None = None, weight: str | None = None) -> DataFrame:
     """reference_n, current_n, psi, psi_level, kl_divergence in one row."""
     limits = AlertThresholds()
     minor, major = (limits.psi_minor if minor is None else minor), (limits.psi_major if major is None else major)
-    h = histogram(phased, bins)
+    h = histogram(phased, bins, weight)
     totals = h.agg(F.sum("reference").alias("rn"), F.sum("current").alias("cn"))
     share = lambda c, n: F.coalesce(F.try_divide(F.col(c).cast("double"), F.col(n)), F.lit(0.0))
     both = h.crossJoin(F.broadcast(totals)).select("rn", "cn", share("reference", "rn").alias("r"), share("current", "cn").alias("c"))
@@ -68,27 +69,32 @@ def drift_report(df: DataFrame, fraction: float = REFERENCE_FRACTION, bins: int
 def rolling_auroc(df: DataFrame, window_days: int = ROLLING_WINDOW_DAYS, min_samples: int = ROLLING_MIN_SAMPLES) -> DataFrame:
     """window, center, n, auroc for every window; NULL with fewer than ``min_samples`` rows or one class.
 
-    Window i begins i * window_days // 2 days after the first study. Each row is copied into the two or
-    three windows that hold it, so that no window scans the table by itself.
+    Window i begins i * window_days // 2 days after the first study. Rows are counted by day and score
+    first, and these counts are copied into the two or three windows that hold them.
     """
     step = window_days // 2
     if step < 1:
         raise ValueError("window_days must be 2 at least")
-    bounds = df.agg(F.min("study_date").alias("_first"), F.max("study_date").alias("_last"))
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     per_day = 86_400_000_000
-    spans = bounds.select("_first", F.floor((micros("_last") - micros("_first")) / per_day).alias("_days"))
-    spans = spans.select("_first", F.greatest(F.lit(1), F.floor(F.col("_days") / step) + 1).alias("_windows"))
+    days = F.floor((micros("last") - micros("first")) / per_day)
+    span = df.agg(F.min("study_date").alias("first"), F.max("study_date").alias("last"))
+    span = span.select("first", micros("first").alias("micros"), F.greatest(F.lit(1), F.floor(days / step) + 1).alias("windows")).first()
+    spark = df.sparkSession
+    count = int(span["windows"] or 1) if span["micros"] is not None else 1
     starts = lambda i: F.floor(i * window_days / 2)
-    rows = df.select("study_date", "y_true", "y_pred_proba").crossJoin(F.broadcast(spans))
-    age = (micros("study_date") - micros("_first")) / per_day
-    low = F.greatest(F.lit(0), F.floor((age - window_days) * 2 / window_days).cast("long"))
-    high = F.least(F.col("_windows") - 1, F.ceil(age * 2 / window_days).cast("long"))
-    rows = rows.withColumn("_age", age).withColumn("window", F.explode(F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<long>"))))
-    rows = rows.filter((F.col("_age") >= starts(F.col("window"))) & (F.col("_age") < starts(F.col("window")) + window_days))
-    own = auroc(rows, ["window"]).withColumn("n", F.col("n_pos") + F.col("n_neg"))
-    spine = spans.select("_first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_windows") - 1)).alias("window"))
-    center = F.col("_first") + F.make_dt_interval((starts(F.col("window")) + step).cast("int"))
+    age = F.floor((micros("study_date") - F.lit(span["micros"]).cast("long")) / per_day)
+    scored = df.filter("y_pred_proba is not null and y_true is not null and study_date is not null")
+    y = F.col("y_true")
+    groups = scored.groupBy(age.alias("_age"), F.col("y_pred_proba").alias("score")).agg(F.count_if(y == 1).alias("np"), F.count_if(y == 0).alias("nn"))
+    low = F.greatest(F.lit(0), F.floor((F.col("_age") - window_days) * 2 / window_days).cast("long"))
+    high = F.least(F.lit(count - 1).cast("long"), F.ceil(F.col("_age") * 2 / window_days).cast("long"))
+    copies = groups.withColumn("window", F.explode(F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<long>"))))
+    copies = copies.filter((F.col("_age") >= starts(F.col("window"))) & (F.col("_age") < starts(F.col("window")) + window_days))
+    counts = stored(copies.groupBy("window", "score").agg(F.sum("np").alias("np"), F.sum("nn").alias("nn")), "windows")
+    own = grouped_auroc(counts, ["window"]).withColumn("n", F.col("n_pos") + F.col("n_neg"))
+    spine = spark.range(count).withColumnRenamed("id", "window")
+    center = F.lit(span["first"]).cast(df.schema["study_date"].dataType) + F.make_dt_interval((starts(F.col("window")) + step).cast("int"))
     joined = spine.join(own, "window", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return joined.select("window", center.alias("center"), "n", F.when(F.col("n") >= min_samples, F.col("auroc")).alias("auroc"))
 

@@ -17,8 +17,13 @@ def score_groups(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 def auroc(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """keys, n_pos, n_neg, auroc: ties count half; NULL with a single class."""
+    return grouped_auroc(score_groups(df, keys), keys)
+
+
+def grouped_auroc(groups: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """The same from counts (keys, score, np, nn)."""
     keys = keys or []
-    ranked = cumulated(score_groups(df, keys), ["nn"], keys)
+    ranked = cumulated(groups, ["nn"], keys)
     won = F.sum(F.col("np") * (F.col("before_nn") + F.col("nn") / 2.0))
     found = ranked.groupBy(*keys).agg(F.coalesce(F.sum("np"), F.lit(0)).alias("n_pos"), F.coalesce(F.sum("nn"), F.lit(0)).alias("n_neg"), won.alias("won"))
     return found.select(*keys, "n_pos", "n_neg", F.try_divide("won", F.col("n_pos").cast("double") * F.col("n_neg")).alias("auroc"))

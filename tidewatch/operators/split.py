@@ -2,36 +2,97 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import REFERENCE_FRACTION, TOTAL_ORDER
 
 
-def cut(n: Column, fraction: float, kind: str) -> Column:
+def cut(n: int, fraction: float, kind: str) -> int:
     """Rows in the reference: ``drift`` takes at least 10, ``baseline`` at least 1 and never all."""
-    part = F.floor(n * F.lit(fraction))
+    part = int(n * fraction)
     if kind == "drift":
-        return F.greatest(part, F.lit(10))
+        return max(part, 10)
     if kind == "baseline":
-        return F.greatest(F.least(part, n - 1), F.lit(1))
+        return max(min(part, n - 1), 1)
     raise ValueError("kind is drift or baseline")
 
 
-def with_phase(df: DataFrame, fraction: float = REFERENCE_FRACTION, kind: str = "drift") -> DataFrame:
-    """``df`` with phase: ``reference`` for the first rows in time, ``current`` for the others.
+@dataclass(frozen=True)
+class Boundary:
+    """Where the reference ends: the last row's values in order (as text), and how many of several equal rows still belong to it."""
+
+    last: dict[str, str | None] | None  # None: every row belongs to the reference
+    equal: int = 0
+    taken: int = 0
+
+
+def _order(df: DataFrame) -> list[str]:
+    return [c for c in TOTAL_ORDER if c in df.columns]
+
+
+def boundaries(df: DataFrame, cuts: list[tuple[float, str]]) -> list[Boundary]:
+    """The boundary of each (fraction, kind). Rows are counted by day; then only a boundary's own day is looked at, in its monitored columns."""
+    day = F.date_trunc("day", F.col("study_date")).cast("string")
+    days = sorted(((r["day"], r["n"]) for r in df.groupBy(day.alias("day")).agg(F.count("*").alias("n")).collect()), key=lambda d: d[0] or "")
+    total, order = sum(n for _, n in days), _order(df)
+    found = []
+    for fraction, kind in cuts:
+        left = cut(total, fraction, kind)
+        at = next((i for i in range(len(days)) if left <= sum(n for _, n in days[: i + 1])), None)
+        if at is None:
+            found.append(Boundary(None))
+            continue
+        left -= sum(n for _, n in days[:at])
+        own = F.lit(days[at][0]).cast(df.schema["study_date"].dataType)
+        inside = (F.col("study_date") >= own) & (F.col("study_date") < own + F.expr("interval 1 day")) if days[at][0] else F.col("study_date").isNull()
+        groups = df.filter(inside).groupBy(*order).agg(F.count("*").alias("_rows"))
+        upto = Window.orderBy(*(F.col(c).asc_nulls_first() for c in order)).rowsBetween(Window.unboundedPreceding, 0)
+        reached = groups.withColumn("_upto", F.sum("_rows").over(upto)).filter(F.col("_upto") >= left)
+        last = reached.select(*(F.col(c).cast("string").alias(c) for c in order), "_rows", "_upto").orderBy("_upto").first()
+        found.append(Boundary({c: last[c] for c in order}, last["_rows"], left - (last["_upto"] - last["_rows"])))
+    return found
+
+
+def _compared(df: DataFrame, last: dict[str, str | None]) -> tuple[Column, Column]:
+    """Whether a row comes before the boundary's last row, and whether it equals it, in the order with nulls first."""
 
-    Days are counted first, and running totals over days (few rows) give each day's offset; only rows
-    of one day are ranked together, by all monitored columns.
+    def value(c: str) -> Column:
+        return F.lit(last[c]).cast(df.schema[c].dataType)
+
+    def below(c: str) -> Column:
+        return F.lit(False) if last[c] is None else F.col(c).isNull() | (F.col(c) < value(c))
+
+    same = [F.col(c).eqNullSafe(value(c)) for c in last]
+    before = reduce(lambda rest, c: below(c) | (F.col(c).eqNullSafe(value(c)) & rest), reversed(last), F.lit(False))
+    return before, reduce(Column.__and__, same)
+
+
+def with_phases(df: DataFrame, phases: dict[str, tuple[float, str]]) -> DataFrame:
+    """``df`` with a column of ``reference`` and ``current`` for each name: (fraction, kind).
+
+    The boundaries are found first, so a phase is a comparison with constants: no shuffle, no sort.
     """
-    day = F.date_trunc("day", F.col("study_date"))
-    days = df.groupBy(day.alias("_day")).agg(F.count("*").alias("_rows"))
-    earlier = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy()
-    days = days.select("_day", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"), F.sum("_rows").over(whole).alias("_n"))
-    order = [F.col(c).asc_nulls_first() for c in TOTAL_ORDER if c in df.columns]
-    ranked = df.withColumn("_day", day).withColumn("_nth", F.row_number().over(Window.partitionBy("_day").orderBy(*order)))
-    place = F.col("_before") + F.col("_nth")
-    phase = F.when(place <= cut(F.col("_n"), fraction, kind), "reference").otherwise("current")
-    joined = ranked.join(days.withColumnRenamed("_day", "_of"), F.col("_day").eqNullSafe(F.col("_of")))
-    return joined.select(*df.columns, phase.alias("phase"))
+    found = df
+    for name, b in zip(phases, boundaries(df, list(phases.values())), strict=True):
+        if b.last is None:
+            found = found.withColumn(name, F.lit("reference"))
+            continue
+        before, equal = _compared(df, b.last)
+        phase = lambda x: F.when(F.coalesce(x, F.lit(False)), "reference").otherwise("current")
+        if b.taken == b.equal:
+            found = found.withColumn(name, phase(before | equal))
+        else:  # of rows that are equal in all monitored columns only some belong to the reference
+            nth = F.row_number().over(Window.orderBy(F.lit(1)))
+            ties = found.filter(equal).withColumn(name, phase(nth <= b.taken))
+            found = found.filter(~equal).withColumn(name, phase(before)).unionByName(ties)
+    return found
+
+
+def with_phase(df: DataFrame, fraction: float = REFERENCE_FRACTION, kind: str = "drift") -> DataFrame:
+    """``df`` with phase: ``reference`` for the first rows in time, ``current`` for the others; rows of one
+    time are ordered by all monitored columns, with nulls first."""
+    return with_phases(df, {"phase": (fraction, kind)})

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import CONFIDENCE, PAIRED_MIN_N
 from ..functions import stats
 from ..functions.ordered import cumulated
+from ..session import stored
 
 
 def paired(df: DataFrame) -> DataFrame:
@@ -19,21 +20,16 @@ def paired(df: DataFrame) -> DataFrame:
     return side("a").join(side("b"), "patient_id").filter("version_a < version_b")
 
 
-def pair_summary(df: DataFrame) -> DataFrame:
-    """version_a, version_b, n_pairs, n_patients, labels_agree, comparable: enough pairs whose labels all agree."""
-    own = paired(df).groupBy("version_a", "version_b").agg(
+def _summed(pairs: DataFrame) -> DataFrame:
+    own = pairs.groupBy("version_a", "version_b").agg(
         F.count("*").alias("n_pairs"), F.countDistinct("patient_id").alias("n_patients"), F.bool_and(F.col("y_a") == F.col("y_b")).alias("labels_agree")
     )
     return own.withColumn("comparable", (F.col("n_pairs") >= PAIRED_MIN_N) & (F.col("n_patients") >= PAIRED_MIN_N) & F.col("labels_agree"))
 
 
-def _placements(pairs: DataFrame, side: str) -> DataFrame:
-    """Score groups of a side with positives above, negatives at or above, and all totals."""
-    keys = ["version_a", "version_b"]
-    y = F.col("y_a")
-    groups = pairs.groupBy(*keys, F.col(f"score_{side}").alias("score")).agg(F.count_if(y == 1).alias("np"), F.count_if(y == 0).alias("nn"))
-    down = cumulated(groups, ["np", "nn"], keys, descending=True)
-    return down.select(*keys, F.col("score").alias(f"score_{side}"), F.col("before_np").alias(f"above_{side}"), (F.col("before_nn") + F.col("nn")).alias(f"reached_{side}"))
+def pair_summary(df: DataFrame) -> DataFrame:
+    """version_a, version_b, n_pairs, n_patients, labels_agree, comparable: enough pairs whose labels all agree."""
+    return _summed(paired(df))
 
 
 def delong(df: DataFrame, method: str = "placement") -> DataFrame:
@@ -41,50 +37,55 @@ def delong(df: DataFrame, method: str = "placement") -> DataFrame:
 
     ``placement`` weighs each positive by its place in the ranking, with variance over the positives
     divided by the negatives; ``delong1988`` has the textbook variance with both classes. Ties in score
-    and label are ordered by patient.
+    and label are ordered by patient. The table is read for the pairs alone, which are stored; all else
+    comes from them and from counts by side and score.
     """
-    keys = ["version_a", "version_b"]
-    pairs = paired(df).join(pair_summary(df).filter("comparable").select(*keys), keys)
-    totals = pairs.groupBy(*keys).agg(F.count_if(F.col("y_a") == 1).alias("n_pos"), F.count_if(F.col("y_a") == 0).alias("n_neg"))
-    if method == "delong1988":
-        return _delong1988(pairs, totals, keys)
-    if method != "placement":
+    if method not in ("placement", "delong1988"):
         raise ValueError("method is placement or delong1988")
-    rows = pairs.filter("y_a = 1")
-    for side in ("a", "b"):
-        ties = Window.partitionBy(*keys, f"score_{side}").orderBy("patient_id", "score_a", "score_b")
-        rows = rows.withColumn(f"tie_{side}", F.row_number().over(ties)).join(_placements(pairs, side), [*keys, f"score_{side}"])
-    rows = rows.join(totals, keys)
-    for side in ("a", "b"):
-        value = (F.col(f"above_{side}") + F.col(f"tie_{side}")) / F.col("n_pos") - F.col(f"reached_{side}") / F.col("n_neg")
-        rows = rows.withColumn(f"v_{side}", value)
-    auc = lambda s: (1 - F.avg((F.col(f"reached_{s}") - F.col(f"at_{s}") / 2.0) / F.col("n_neg")))
-    negatives = pairs.filter("y_a = 0")
-    for side in ("a", "b"):
-        at = negatives.groupBy(*keys, f"score_{side}").agg(F.count("*").alias(f"at_{side}"))
-        rows = rows.join(at, [*keys, f"score_{side}"], "left").na.fill(0, [f"at_{side}"])
-    found = rows.groupBy(*keys).agg(
-        F.max("n_pos").alias("n_pos"), F.max("n_neg").alias("n_neg"), auc("a").alias("auroc_a"), auc("b").alias("auroc_b"),
-        (F.var_samp("v_a") / F.max("n_neg")).alias("var_a"), (F.var_samp("v_b") / F.max("n_neg")).alias("var_b"), (F.covar_pop("v_a", "v_b") / F.max("n_neg")).alias("cov_ab"),
+    keys = ["version_a", "version_b"]
+    pairs = stored(paired(df).select(*keys, "patient_id", "y_a", "y_b", "score_a", "score_b"), "pairs")
+    pairs = pairs.join(F.broadcast(_summed(pairs).filter("comparable").select(*keys)), keys).drop("y_b")
+    y = F.col("y_a")
+    sides = pairs.select(*keys, "y_a", F.inline(F.array(*(F.struct(F.lit(s).alias("side"), F.col(f"score_{s}").alias("score")) for s in "ab"))))
+    groups = stored(sides.groupBy(*keys, "side", "score").agg(F.count_if(y == 1).alias("np"), F.count_if(y == 0).alias("nn")), "groups")
+    totals = F.broadcast(groups.filter("side = 'a'").groupBy(*keys).agg(F.sum("np").alias("n_pos"), F.sum("nn").alias("n_neg")))
+    placed = stored(cumulated(groups, ["np", "nn"], [*keys, "side"]), "placed").join(totals, keys)
+    return _finished((_placement if method == "placement" else _delong1988)(pairs, placed, keys), keys)
+
+
+def _with_places(rows: DataFrame, placed: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """``rows`` with the columns of both scores' groups, and the totals."""
+    for s in "ab":
+        own = placed.filter(F.col("side") == s).select(*keys, F.col("score").alias(f"score_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in columns), *(["n_pos", "n_neg"] if s == "a" else []))
+        rows = rows.join(own, [*keys, f"score_{s}"])
+    return rows
+
+
+def _placement(pairs: DataFrame, placed: DataFrame, keys: list[str]) -> DataFrame:
+    places = placed.withColumns({"above": F.col("n_pos") - F.col("before_np") - F.col("np"), "reached": F.col("n_neg") - F.col("before_nn")})
+    rows = _with_places(pairs.filter("y_a = 1"), places, keys, ["above", "reached", "nn"])
+    for s in "ab":
+        tie = F.row_number().over(Window.partitionBy(*keys, f"score_{s}").orderBy("patient_id", "score_a", "score_b"))
+        rows = rows.withColumn(f"v_{s}", (F.col(f"above_{s}") + tie) / F.col("n_pos") - F.col(f"reached_{s}") / F.col("n_neg"))
+    auc = lambda s: 1 - F.avg((F.col(f"reached_{s}") - F.col(f"nn_{s}") / 2.0) / F.col("n_neg"))
+    n = F.max("n_neg")
+    return rows.groupBy(*keys).agg(
+        F.max("n_pos").alias("n_pos"), n.alias("n_neg"), auc("a").alias("auroc_a"), auc("b").alias("auroc_b"),
+        (F.var_samp("v_a") / n).alias("var_a"), (F.var_samp("v_b") / n).alias("var_b"), (F.covar_pop("v_a", "v_b") / n).alias("cov_ab"),
     )
-    return _finished(found, keys)
-
-
-def _delong1988(pairs: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
-    rows = pairs.join(totals, keys)
-    for side in ("a", "b"):
-        groups = pairs.groupBy(*keys, F.col(f"score_{side}").alias("score")).agg(F.count_if(F.col("y_a") == 1).alias("np"), F.count_if(F.col("y_a") == 0).alias("nn"))
-        up = cumulated(groups, ["np", "nn"], keys).select(*keys, F.col("score").alias(f"score_{side}"), *(F.col(c).alias(f"{c}_{side}") for c in ("before_np", "before_nn", "np", "nn")))
-        rows = rows.join(up, [*keys, f"score_{side}"])
-        beaten = (F.col(f"before_nn_{side}") + F.col(f"nn_{side}") / 2.0) / F.col("n_neg")
-        losing = 1 - (F.col(f"before_np_{side}") + F.col(f"np_{side}") / 2.0) / F.col("n_pos")
-        rows = rows.withColumn(f"v_{side}", F.when(F.col("y_a") == 1, beaten)).withColumn(f"w_{side}", F.when(F.col("y_a") == 0, losing))
+
+
+def _delong1988(pairs: DataFrame, placed: DataFrame, keys: list[str]) -> DataFrame:
+    rows = _with_places(pairs, placed, keys, ["before_np", "before_nn", "np", "nn"])
+    for s in "ab":
+        beaten = (F.col(f"before_nn_{s}") + F.col(f"nn_{s}") / 2.0) / F.col("n_neg")
+        losing = 1 - (F.col(f"before_np_{s}") + F.col(f"np_{s}") / 2.0) / F.col("n_pos")
+        rows = rows.withColumn(f"v_{s}", F.when(F.col("y_a") == 1, beaten)).withColumn(f"w_{s}", F.when(F.col("y_a") == 0, losing))
     p, n = F.max("n_pos"), F.max("n_neg")
-    found = rows.groupBy(*keys).agg(
+    return rows.groupBy(*keys).agg(
         p.alias("n_pos"), n.alias("n_neg"), F.avg("v_a").alias("auroc_a"), F.avg("v_b").alias("auroc_b"), (F.var_samp("v_a") / p + F.var_samp("w_a") / n).alias("var_a"),
         (F.var_samp("v_b") / p + F.var_samp("w_b") / n).alias("var_b"), (F.covar_samp("v_a", "v_b") / p + F.covar_samp("w_a", "w_b") / n).alias("cov_ab"),
     )
-    return _finished(found, keys)
 
 
 def _finished(found: DataFrame, keys: list[str]) -> DataFrame:

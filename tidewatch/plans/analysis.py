@@ -60,18 +60,24 @@ class MonitoringAnalysis:
     def rolling(self) -> DataFrame:
         return drift.rolling_auroc(self.table)
 
-    @cached_property
-    def summary(self) -> list[dict]:
-        """metric, estimate, ci_lower, ci_upper: thirteen rows."""
+    def summary_rows(self, intervals: bool = True) -> list[dict]:
+        """metric, estimate, ci_lower, ci_upper: thirteen rows; the bootstrap's intervals only if asked for."""
         rates = {r["metric"]: r.asDict() for r in confusion.binary_metrics(self.table, self.confidence).collect()}
-        boot = {r["metric"]: r for r in bootstrap.intervals(self.table, resamples=self.resamples, confidence=self.confidence)}
+        plain = lambda x: {"estimate": x, "ci_lower": None, "ci_upper": None}
+        if intervals:
+            boot = {r["metric"]: r for r in bootstrap.intervals(self.table, resamples=self.resamples, confidence=self.confidence)}
+        else:
+            boot = {"auroc": plain(ranking.auroc(self.table).first()["auroc"]), "auprc": plain(ranking.auprc(self.table).first()["auprc"]), "brier": plain(ranking.brier(self.table).first()["brier"])}
         ece = calibration.expected_calibration_error(self.table).first()
         fit = calibration.intercept_slope(self.table).first()
-        plain = lambda x: {"estimate": x, "ci_lower": None, "ci_upper": None}
         ordered = [(TITLES[m], rates[m]) for m in ("sensitivity", "specificity", "ppv", "npv", "accuracy", "f1")]
         ordered += [("AUROC", boot["auroc"]), ("AUPRC", boot["auprc"]), ("Brier score", boot["brier"]), ("Expected calibration error", plain(ece["ece"]))]
         ordered += [("Calibration intercept", plain(fit["intercept"] if fit else None)), ("Calibration slope", plain(fit["slope"] if fit else None)), ("Prevalence", rates["prevalence"])]
-        return [{"metric": name} | {k: round4(r[k]) for k in ("estimate", "ci_lower", "ci_upper")} for name, r in ordered]
+        return [{"metric": name} | {k: r[k] for k in ("estimate", "ci_lower", "ci_upper")} for name, r in ordered]
+
+    @cached_property
+    def summary(self) -> list[dict]:
+        return [{k: v if k == "metric" else round4(v) for k, v in r.items()} for r in self.summary_rows()]
 
     @cached_property
     def drift_values(self) -> dict:
@@ -83,9 +89,9 @@ class MonitoringAnalysis:
     @cached_property
     def alert_inputs(self) -> dict[str, float | None]:
         areas = {r["phase"]: r["auroc"] for r in ranking.auroc(self.baseline, ["phase"]).collect()}
-        overall = next(r["estimate"] for r in self.summary if r["metric"] == "AUROC")
         rates = confusion.rates()
         now = confusion.confusion(self.baseline.filter("phase = 'current'")).select(rates["sensitivity"].alias("a"), rates["specificity"].alias("b")).first()
+        overall = ranking.auroc(self.table).first()["auroc"] if None in (areas.get("current"), areas.get("reference")) else None
         pick = lambda phase: overall if areas.get(phase) is None else areas[phase]
         gap = confusion.largest_gap(self.stratified).first()["gap"]
         return {"current_auroc": pick("current"), "baseline_auroc": pick("reference"), "current_sensitivity": now["a"], "current_specificity": now["b"], "psi": self.drift_values["psi"], "subgroup_gap": gap}
@@ -100,11 +106,15 @@ class MonitoringAnalysis:
         return alerts.AlertReport(tuple(r.asDict() for r in self.alerts.collect()))
 
     @cached_property
-    def drift_rows(self) -> list[dict]:
+    def exact_drift_rows(self) -> list[dict]:
         d, a = self.drift_values, self.alert_inputs
         rows = [("PSI", d["psi"], d["psi_level"]), ("KL divergence", d["kl_divergence"], ""), ("Wasserstein distance", d["wasserstein"], ""), ("KS statistic", d["ks_statistic"], "")]
         rows += [("KS p-value", d["ks_p_value"], ""), ("Baseline AUROC", a["baseline_auroc"], ""), ("Current AUROC", a["current_auroc"], ""), ("Subgroup sensitivity gap", a["subgroup_gap"], "")]
-        return [{"metric": m, "value": round4(v), "level": level} for m, v, level in rows]
+        return [{"metric": m, "value": v, "level": level} for m, v, level in rows]
+
+    @cached_property
+    def drift_rows(self) -> list[dict]:
+        return [r | {"value": round4(r["value"])} for r in self.exact_drift_rows]
 
     @cached_property
     def version_rows(self) -> list[dict]:
@@ -180,11 +190,18 @@ def write_outputs(analysis: MonitoringAnalysis, folder: str | Path, audit_log: s
     return paths
 
 
+#: Rows of a validated table that may be handed over as one text.
+DOWNLOAD_ROWS = 100_000
+
+
 def export_payloads(analysis: MonitoringAnalysis) -> dict[str, tuple[str, str, str]]:
-    """Key: (file name, media type, text), ten of them. The validated table is gathered too: for downloads of modest size."""
+    """Key: (file name, media type, text), ten of them; nine if the validated table has more than DOWNLOAD_ROWS
+    rows, for that is no download: write it with :func:`tables.write_table`."""
     from .report import render
 
-    found = {"validated_csv": ("validated_monitoring_data.csv", "text/csv", tables.small_csv(analysis.table))}
+    found = {}
+    if analysis.table.limit(DOWNLOAD_ROWS + 1).count() <= DOWNLOAD_ROWS:
+        found["validated_csv"] = ("validated_monitoring_data.csv", "text/csv", tables.small_csv(analysis.table))
     found |= {f"{k}_csv": (OUTPUTS[k], "text/csv", tables.small_csv(v)) for k, v in analysis.frames().items()}
     found["metrics_json"] = (OUTPUTS["json"], "application/json", json.dumps(analysis.summary_dict, indent=2) + "\n")
     found["report_html"] = ("monitoring_report.html", "text/html", render(analysis))

@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import REFERENCE_FRACTION
 from ..operators import alerts, calibration, confusion, drift, missing, multiclass, ranking, split, versions
+from ..session import stored
 from ..sources import adapters, validate
+from . import analysis, oracle
 from . import monitoring as m
-from . import oracle
 
 Query = Callable[[SparkSession, str], DataFrame]
 DIGITS = 6
@@ -33,9 +35,12 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(confusion.stratified(m.monitoring(spark, sf_dir), ["site"]))
 
 
+KINDS = {"drift": (REFERENCE_FRACTION, "drift"), "baseline": (REFERENCE_FRACTION, "baseline")}
+
+
 def _split_counts(df: DataFrame) -> DataFrame:
-    phased = [split.with_phase(df, kind=k).withColumn("kind", F.lit(k)) for k in ("drift", "baseline")]
-    both = phased[0].unionByName(phased[1])
+    phases = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(f"_{k}").alias("phase")) for k in KINDS))
+    both = split.with_phases(df, {f"_{k}": v for k, v in KINDS.items()}).select("y_true", "study_date", F.inline(phases))
     return both.groupBy("kind", "phase").agg(F.count("*").alias("n"), F.sum("y_true").alias("positives"), F.min("study_date").alias("first_date"), F.max("study_date").alias("last_date"))
 
 
@@ -52,15 +57,19 @@ def _distances(df: DataFrame) -> DataFrame:
 
 
 def alert_values(df: DataFrame) -> DataFrame:
-    """One row of the values that the stop rules look at."""
-    phased = split.with_phase(df, kind="baseline")
-    areas = ranking.auroc(phased, ["phase"])
+    """One row of the values that the stop rules look at: from counts by both phases and score, and by stratum."""
+    phased = split.with_phases(df, {f"_{k}": v for k, v in KINDS.items()})
+    y = F.col("y_true")
+    counts = phased.groupBy("_baseline", "_drift", "y_pred_proba").agg(F.count_if(y == 1).alias("np"), F.count_if(y == 0).alias("nn"), *confusion.counts())
+    counts = stored(counts, "alert-counts")
+    phase = F.col("_baseline").alias("phase")
+    groups = counts.filter("y_pred_proba is not null").groupBy(phase, F.col("y_pred_proba").alias("score")).agg(F.sum("np").alias("np"), F.sum("nn").alias("nn"))
     pick = lambda phase: F.max(F.when(F.col("phase") == phase, F.col("auroc")))
-    one = areas.agg(pick("current").alias("current_auroc"), pick("reference").alias("baseline_auroc"))
-    now = confusion.confusion(phased.filter("phase = 'current'"))
+    one = ranking.grouped_auroc(groups, ["phase"]).agg(pick("current").alias("current_auroc"), pick("reference").alias("baseline_auroc"))
     rates = confusion.rates()
+    now = counts.filter("_baseline = 'current'").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "tp", "fp", "tn", "fn")))
     now = now.select(rates["sensitivity"].alias("current_sensitivity"), rates["specificity"].alias("current_specificity"))
-    psi = drift.score_drift(split.with_phase(df)).select("psi")
+    psi = drift.score_drift(counts.withColumn("phase", F.col("_drift")), weight="n").select("psi")
     gap = confusion.largest_gap(confusion.stratified(df)).select(F.col("gap").alias("subgroup_gap"))
     for other in (now, psi, gap):  # single rows
         one = one.crossJoin(F.broadcast(other))
@@ -127,6 +136,41 @@ def _violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select(F.inline(rows)).filter("n > 0")
 
 
+def _multiclass_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = m.multiclass(spark, sf_dir)
+    n = F.expr("cast(substring(patient_id, 2) as bigint)")
+    faulty = rows.withColumns({"y_true": F.when(n % 97 == 0, " ").when(n % 89 == 0, None).otherwise(F.col("y_true")), "y_pred_label": F.when(n % 83 == 0, "").otherwise(F.col("y_pred_label"))})
+    _, counted = validate.violations(faulty, multiclass=True)
+    cells = F.array(*(F.struct(F.lit(c.split("|")[0]).alias("column"), F.lit(c.split("|")[1]).alias("rule"), F.col(f"`{c}`").alias("n")) for c in counted.columns))
+    return counted.select(F.inline(cells)).filter("n > 0")
+
+
+def _filled(df: DataFrame) -> DataFrame:
+    """Operational columns of rows whose site is blank in one line of seven, and whose scanner is not known everywhere."""
+    n = F.expr("cast(substring(patient_id, 2) as bigint)")
+    return validate.filled_columns(df.withColumn("site", F.when(n % 7 == 0, "  ").otherwise(F.col("site"))))
+
+
+def _alert_messages(df: DataFrame) -> DataFrame:
+    return alerts.alerts(alert_values(df)).select("severity", "rule", "message")
+
+
+def _summary(df: DataFrame) -> DataFrame:
+    rows = analysis.MonitoringAnalysis(df).summary_rows(intervals=False)
+    return df.sparkSession.createDataFrame([tuple(r.values()) for r in rows], "metric string, estimate double, ci_lower double, ci_upper double")
+
+
+def _drift_frame(df: DataFrame) -> DataFrame:
+    rows = analysis.MonitoringAnalysis(df).exact_drift_rows
+    return df.sparkSession.createDataFrame([tuple(r.values()) for r in rows], "metric string, value double, level string")
+
+
+def _version_rows(df: DataFrame) -> DataFrame:
+    columns = ("comparison_type", "version_a", "version_b", "sensitivity_a", "sensitivity_b", "specificity_a", "specificity_b", "auroc_a", "auroc_b", "auc_diff")
+    rows = [tuple(r[c] for c in columns) for r in analysis.MonitoringAnalysis(df).version_rows]
+    return df.sparkSession.createDataFrame(rows, ", ".join(f"{c} {'double' if c[0] in 'sa' else 'string'}" for c in columns))
+
+
 def _version_frame(df: DataFrame) -> DataFrame:
     return versions.pair_summary(df)
 
@@ -163,7 +207,7 @@ def queries() -> dict[str, Query]:
         "site_calibration_drift": _monitoring(lambda df: calibration.site_calibration(df, with_fit=False)),
         "site_calibration_fit": _monitoring(calibration.site_calibration),
         "version_pairs_join": _monitoring(_version_frame),
-        "delong_components": _monitoring(lambda df: versions.delong(df).select("version_a", "version_b", "n_pos", "n_neg", "auroc_a", "auroc_b", "auc_diff", "var_a", "var_b")),
+        "delong_components": _monitoring(lambda df: versions.delong(df).select("version_a", "version_b", "n_pos", "n_neg", "auroc_a", "auroc_b", "auc_diff", "var_a", "var_b", "cov_ab", "se_diff", "z")),
         "delong_1988": _monitoring(lambda df: versions.delong(df, "delong1988").select("version_a", "version_b", "auroc_a", "auroc_b", "se_diff")),
         "alerts": _monitoring(_alerts),
         "alert_reviews_join": _reviewed,
@@ -172,6 +216,13 @@ def queries() -> dict[str, Query]:
         "age_band": _age_bands,
         "keep_first_dedup": _first_rows,
         "validation_violations": _violations,
+        "multiclass_violations": _multiclass_violations,
+        "profile_columns": _monitoring(_filled),
+        "alert_messages": _monitoring(_alert_messages),
+        "summary_metrics": _monitoring(_summary),
+        "drift_frame": _monitoring(_drift_frame),
+        "version_comparison": _monitoring(_version_rows),
+        "reliability_quantile_bins": _monitoring(lambda df: calibration.reliability_curve(df, strategy="quantile")),
     }
 
 

@@ -127,9 +127,26 @@ cls AS (SELECT label, (SELECT count(*) FROM mc WHERE t = label) AS support, (SEL
 per AS (SELECT *, predicted - tp AS fp, support - tp AS fn, total - support - predicted + tp AS tn FROM cls, tot),
 met AS (SELECT *, coalesce(tp / nullif(CAST(support AS DOUBLE), 0), 0) AS sensitivity, tn / nullif(CAST(tn + fp AS DOUBLE), 0) AS specificity,
   coalesce(tp / nullif(CAST(predicted AS DOUBLE), 0), 0) AS ppv, tn / nullif(CAST(tn + fn AS DOUBLE), 0) AS npv, coalesce(2 * tp / nullif(CAST(support + predicted AS DOUBLE), 0), 0) AS f1 FROM per)"""
+MESSAGES = {
+    "min_auroc": "AUROC is too low", "min_sensitivity": "Sensitivity is too low", "min_specificity": "Specificity is too low", "psi_major": "Scores have shifted strongly (PSI)",
+    "psi_minor": "Scores have shifted somewhat (PSI)", "max_subgroup_sens_gap": "Sensitivity differs too much between subgroups",
+}
+TITLES = {"sensitivity": "Sensitivity", "specificity": "Specificity", "ppv": "PPV", "npv": "NPV", "accuracy": "Accuracy", "f1": "F1", "prevalence": "Prevalence"}
 INT = lambda x: f"CAST({x} AS BIGINT)"
 
 
+def _newton(source: str, keys: str) -> str:
+    """Tables lx (counts by logit) and newton (25 steps of the ridged logistic fit from intercept 0 and slope 1)."""
+    own = ", ".join(f"n.{k}" for k in keys.split(", "))
+    return f"""lx AS (SELECT *, ln(q) - ln(1 - q) AS x FROM (SELECT {keys}, least(greatest(y_pred_proba, 1e-6), 1 - 1e-6) AS q, CAST(sum(y_true) AS DOUBLE) AS pos, CAST(sum(1 - y_true) AS DOUBLE) AS neg FROM {source} GROUP BY ALL)),
+newton AS (SELECT DISTINCT {keys}, 0 AS k, 0e0 AS a, 1e0 AS b FROM lx UNION ALL
+  SELECT {keys}, k + 1, a - (h2 * g0 - h1 * g1) / (h0 * h2 - h1 * h1), b - (h0 * g1 - h1 * g0) / (h0 * h2 - h1 * h1) FROM (
+    SELECT {own}, k, a, b, sum((pos + neg) / (1 + exp(-a - b * x)) - pos) + 2e-6 * a AS g0, sum(x * ((pos + neg) / (1 + exp(-a - b * x)) - pos)) + 2e-6 * b AS g1,
+      sum((pos + neg) / (1 + exp(-a - b * x)) / (1 + exp(a + b * x))) + 2e-6 AS h0, sum(x * (pos + neg) / (1 + exp(-a - b * x)) / (1 + exp(a + b * x))) AS h1,
+      sum(x * x * (pos + neg) / (1 + exp(-a - b * x)) / (1 + exp(a + b * x))) + 2e-6 AS h2
+    FROM newton n JOIN lx ON {" AND ".join(f"n.{k} = lx.{k}" for k in keys.split(", "))} WHERE k < 25 GROUP BY {own}, k, a, b))"""
+
+
 def _missing() -> str:
     """Missing counts and Yates's chi-square for each stratifier."""
     parts = []
@@ -160,6 +177,7 @@ def statements() -> dict[str, str]:
         "weighted_f1": "sum(support * f1) / sum(support)",
         "cohen_kappa": "(sum(tp) / CAST(sum(support) AS DOUBLE) - sum(CAST(support AS DOUBLE) * predicted) / (CAST(sum(support) AS DOUBLE) * sum(support))) / (1 - sum(CAST(support AS DOUBLE) * predicted) / (CAST(sum(support) AS DOUBLE) * sum(support)))",
     }
+    se = "sqrt(greatest((var_samp(va) + var_samp(vb) - 2 * covar_pop(va, vb)) / max(neg), 1e-15))"
     number = "CAST(substring(patient_id, 2) AS BIGINT)"
     return {
         "overall_2x2": _with(mon) + f"SELECT {COUNTS} FROM mon",
@@ -189,10 +207,32 @@ def statements() -> dict[str, str]:
         "cusum": _with(mon, ROLLING, "ser AS (SELECT wnd, CASE WHEN row_number() OVER (ORDER BY wnd) = 1 THEN 0e0 ELSE auroc - avg(auroc) OVER () END AS d FROM rolled WHERE auroc IS NOT NULL)", "cum AS (SELECT wnd, sum(d) OVER (ORDER BY wnd ROWS UNBOUNDED PRECEDING) AS c FROM ser)", "held AS (SELECT wnd, c - min(c) OVER w AS hi, c - max(c) OVER w AS lo FROM cum WINDOW w AS (ORDER BY wnd ROWS UNBOUNDED PRECEDING))") + f'SELECT wnd AS "window", {_r("hi")} AS hi, {_r("lo")} AS lo, abs(hi) > 4 AS detected FROM held',
         "score_histogram": _with(mon) + f"SELECT model_version, bin, n, {_r('n * 30e0 / sum(n) OVER (PARTITION BY model_version)')} AS density FROM (SELECT model_version, {_left_bin(30)} AS bin, count(*) AS n FROM mon GROUP BY ALL)",
         "site_calibration_drift": _with(mon, PHASED, SITES) + "SELECT site, baseline_n, current_n, " + ", ".join(f"CASE WHEN baseline_n >= 30 AND current_n >= 30 THEN {_r(x)} END AS {k}" for k, x in (("baseline_brier", "bb"), ("current_brier", "cb"), ("brier_delta", "cb - bb"), ("baseline_ece", "be"), ("current_ece", "ce"), ("ece_delta", "ce - be"))) + ", CASE WHEN baseline_n >= 30 AND current_n >= 30 THEN 'ok' ELSE 'insufficient_data' END AS status FROM wide",
+        "calibration_fit": "WITH RECURSIVE " + ", ".join((mon, _newton("(SELECT 1 AS one, * FROM mon)", "one"))) + f" SELECT {_r('a')} AS intercept, {_r('b')} AS slope FROM newton WHERE k = 25",
+        "site_calibration_fit": "WITH RECURSIVE " + ", ".join((mon, PHASED, SITES, _newton("sited", "site, phase"), """fits AS (SELECT site, max(CASE WHEN phase='reference' THEN a END) AS ba, max(CASE WHEN phase='current' THEN a END) AS ca,
+            max(CASE WHEN phase='reference' THEN b END) AS bs, max(CASE WHEN phase='current' THEN b END) AS cs FROM newton WHERE k = 25 GROUP BY site)""")) + " SELECT site, baseline_n, current_n, " + ", ".join(
+            f"CASE WHEN baseline_n >= 30 AND current_n >= 30 THEN {_r(x)} END AS {k}" for name, b, c in (("brier", "bb", "cb"), ("ece", "be", "ce"), ("intercept", "ba", "ca"), ("slope", "bs", "cs"))
+            for k, x in ((f"baseline_{name}", b), (f"current_{name}", c), (f"{name}_delta", f"{c} - {b}"))) + ", CASE WHEN baseline_n >= 30 AND current_n >= 30 THEN 'ok' ELSE 'insufficient_data' END AS status FROM wide JOIN fits USING (site)",
         "version_pairs_join": _with(mon, PAIRS) + "SELECT version_a, version_b, count(*) AS n_pairs, count(DISTINCT patient_id) AS n_patients, bool_and(y = y2) AS labels_agree, count(*) >= 20 AND count(DISTINCT patient_id) >= 20 AND bool_and(y = y2) AS comparable FROM pr GROUP BY ALL",
-        "delong_components": _with(mon, PAIRS, _placed("a"), _placed("b"), "rows_ AS (SELECT version_a, version_b, y, patient_id, sa, sb, row_number() OVER (PARTITION BY sa ORDER BY patient_id, sa, sb) AS ta, row_number() OVER (PARTITION BY sb ORDER BY patient_id, sa, sb) AS tb FROM pr WHERE y = 1)", "vals_ AS (SELECT r.*, (a.above + ta) / CAST(a.pos AS DOUBLE) - a.reached / CAST(a.neg AS DOUBLE) AS va, (b.above + tb) / CAST(b.pos AS DOUBLE) - b.reached / CAST(b.neg AS DOUBLE) AS vb, (a.below + a.q / 2e0) / a.neg AS wa, (b.below + b.q / 2e0) / b.neg AS wb, a.pos, a.neg FROM rows_ r JOIN place_a a ON r.sa = a.score JOIN place_b b ON r.sb = b.score)") + f"SELECT version_a, version_b, {INT('max(pos)')} AS n_pos, {INT('max(neg)')} AS n_neg, {_r('avg(wa)')} AS auroc_a, {_r('avg(wb)')} AS auroc_b, {_r('avg(wa) - avg(wb)')} AS auc_diff, {_r('var_samp(va) / max(neg)')} AS var_a, {_r('var_samp(vb) / max(neg)')} AS var_b FROM vals_ GROUP BY ALL",
+        "delong_components": _with(mon, PAIRS, _placed("a"), _placed("b"), "rows_ AS (SELECT version_a, version_b, y, patient_id, sa, sb, row_number() OVER (PARTITION BY sa ORDER BY patient_id, sa, sb) AS ta, row_number() OVER (PARTITION BY sb ORDER BY patient_id, sa, sb) AS tb FROM pr WHERE y = 1)", "vals_ AS (SELECT r.*, (a.above + ta) / CAST(a.pos AS DOUBLE) - a.reached / CAST(a.neg AS DOUBLE) AS va, (b.above + tb) / CAST(b.pos AS DOUBLE) - b.reached / CAST(b.neg AS DOUBLE) AS vb, (a.below + a.q / 2e0) / a.neg AS wa, (b.below + b.q / 2e0) / b.neg AS wb, a.pos, a.neg FROM rows_ r JOIN place_a a ON r.sa = a.score JOIN place_b b ON r.sb = b.score)") + f"SELECT version_a, version_b, {INT('max(pos)')} AS n_pos, {INT('max(neg)')} AS n_neg, {_r('avg(wa)')} AS auroc_a, {_r('avg(wb)')} AS auroc_b, {_r('avg(wa) - avg(wb)')} AS auc_diff, {_r('var_samp(va) / max(neg)')} AS var_a, {_r('var_samp(vb) / max(neg)')} AS var_b, {_r('covar_pop(va, vb) / max(neg)')} AS cov_ab, {_r(se)} AS se_diff, {_r(f'(avg(wa) - avg(wb)) / {se}')} AS z FROM vals_ GROUP BY ALL",
         "delong_1988": _with(mon, PAIRS, _placed("a"), _placed("b"), "vals_ AS (SELECT version_a, version_b, y, CASE WHEN y = 1 THEN (a.below + a.q / 2e0) / a.neg END AS va, CASE WHEN y = 1 THEN (b.below + b.q / 2e0) / b.neg END AS vb, CASE WHEN y = 0 THEN 1 - (a.pbelow + a.p / 2e0) / a.pos END AS wa, CASE WHEN y = 0 THEN 1 - (b.pbelow + b.p / 2e0) / b.pos END AS wb, a.pos, a.neg FROM pr JOIN place_a a ON sa = a.score JOIN place_b b ON sb = b.score)") + f"SELECT version_a, version_b, {_r('avg(va)')} AS auroc_a, {_r('avg(vb)')} AS auroc_b, {_r('sqrt(greatest((var_samp(va) + var_samp(vb) - 2 * covar_samp(va, vb)) / max(pos) + (var_samp(wa) + var_samp(wb) - 2 * covar_samp(wa, wb)) / max(neg), 1e-15))')} AS se_diff FROM vals_ GROUP BY ALL",
         "alerts": _with(mon, VALUES) + f"SELECT severity, rule, {_r('observed')} AS observed, {_r('threshold')} AS threshold FROM alerts",
+        "alert_messages": _with(mon, VALUES) + "SELECT severity, rule, " + "CASE rule " + " ".join(f"WHEN '{k}' THEN printf('{text}: observed %.4f, limit %.4f', observed, threshold)" for k, text in MESSAGES.items())
+        + " ELSE printf('Relative fall of AUROC since the reference: observed %.4f (now %.4f, then %.4f), limit %.4f', observed, (SELECT ca FROM vals), (SELECT ba FROM vals), threshold) END AS message FROM alerts",
+        "summary_metrics": "WITH RECURSIVE " + ", ".join((mon, f"cc AS (SELECT {COUNTS} FROM mon)", DOWN, _newton("(SELECT 1 AS one, * FROM mon)", "one"))) + " SELECT " + "CASE metric " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in TITLES.items()) + f""" END AS metric, estimate, ci_lower, ci_upper FROM ({metric_rows})
+            UNION ALL SELECT 'AUROC', {_r('auroc')}, NULL, NULL FROM {_auroc("mon")} UNION ALL SELECT 'AUPRC', {_r('sum(p * tp / CAST(tp + fp AS DOUBLE)) / max(pos)')}, NULL, NULL FROM down
+            UNION ALL SELECT 'Brier score', {_r('avg((y_pred_proba - y_true) * (y_pred_proba - y_true))')}, NULL, NULL FROM mon
+            UNION ALL SELECT 'Expected calibration error', {_r('sum(n * abs(o - p)) / sum(n)')}, NULL, NULL FROM (SELECT {_right_bin(10)} AS bin, count(*) AS n, avg(CAST(y_true AS DOUBLE)) AS o, avg(y_pred_proba) AS p FROM mon GROUP BY 1)
+            UNION ALL SELECT 'Calibration intercept', {_r('a')}, NULL, NULL FROM newton WHERE k = 25 UNION ALL SELECT 'Calibration slope', {_r('b')}, NULL, NULL FROM newton WHERE k = 25""",
+        "drift_frame": _with(mon, VALUES, CDF, "dist AS (SELECT sum(abs(fr - fc) * coalesce(nxt - s, 0)) AS w, max(abs(fr - fc)) AS ks, sqrt(CAST(max(rn) AS DOUBLE) * max(cn) / (max(rn) + max(cn))) * max(abs(fr - fc)) AS x FROM cdf)") + f"""SELECT 'PSI' AS metric, {_r('psi')} AS "value", CASE WHEN psi >= 0.25 THEN 'major' WHEN psi >= 0.1 THEN 'minor' ELSE 'none' END AS level FROM psi
+            UNION ALL SELECT 'KL divergence', {_r('sum((r + 1e-10) / (1 + 1e-9) * ln((r + 1e-10) / (c + 1e-10)))')}, '' FROM shares UNION ALL SELECT 'Wasserstein distance', {_r('w')}, '' FROM dist UNION ALL SELECT 'KS statistic', {_r('ks')}, '' FROM dist
+            UNION ALL SELECT 'KS p-value', {_r('least(1, greatest(0, 2 * (SELECT sum((CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2e0 * k * k * x * x)) FROM generate_series(1, 100) AS g(k))))')}, '' FROM dist
+            UNION ALL SELECT 'Baseline AUROC', {_r('ba')}, '' FROM vals UNION ALL SELECT 'Current AUROC', {_r('ca')}, '' FROM vals UNION ALL SELECT 'Subgroup sensitivity gap', {_r('gap')}, '' FROM vals""",
+        "version_comparison": _with(mon, PAIRS, f"vs AS (SELECT model_version AS v, {RATES['sensitivity']} AS se, {RATES['specificity']} AS sp FROM (SELECT model_version, {COUNTS} FROM mon GROUP BY 1 HAVING count(*) >= 10))") + f"""SELECT 'version_summary' AS comparison_type, v AS version_a, NULL AS version_b, round(se, 4) AS sensitivity_a, NULL::DOUBLE AS sensitivity_b, round(sp, 4) AS specificity_a, NULL::DOUBLE AS specificity_b, NULL::DOUBLE AS auroc_a, NULL::DOUBLE AS auroc_b, NULL::DOUBLE AS auc_diff FROM vs
+            UNION ALL SELECT 'pairwise', a.v, b.v, round(a.se, 4), round(b.se, 4), round(a.sp, 4), round(b.sp, 4), round((SELECT auroc FROM {_auroc("(SELECT y AS y_true, sa AS y_pred_proba FROM pr)")}), 4), round((SELECT auroc FROM {_auroc("(SELECT y AS y_true, sb AS y_pred_proba FROM pr)")}), 4),
+            round((SELECT auroc FROM {_auroc("(SELECT y AS y_true, sa AS y_pred_proba FROM pr)")}) - (SELECT auroc FROM {_auroc("(SELECT y AS y_true, sb AS y_pred_proba FROM pr)")}), 4) FROM vs a JOIN vs b ON a.v < b.v""",
+        "reliability_quantile_bins": _with(mon, "qs AS (SELECT quantile_cont(y_pred_proba, [1e-1, 2e-1, 3e-1, 4e-1, 5e-1, 6e-1, 7e-1, 8e-1, 9e-1]) AS cuts FROM mon)") + f"SELECT CAST({' + '.join(f'CASE WHEN cuts[{i}] <= y_pred_proba THEN 1 ELSE 0 END' for i in range(1, 10))} AS INTEGER) AS bin, count(*) AS n, {_r('avg(CAST(y_true AS DOUBLE))')} AS prob_true, {_r('avg(y_pred_proba)')} AS prob_pred FROM mon, qs GROUP BY 1",
+        "profile_columns": _with(mon) + f"SELECT 'site' AS \"column\", CAST(count_if({number} % 7 <> 0) AS BIGINT) AS n_filled FROM mon UNION ALL SELECT 'scanner_manufacturer', CAST(count_if(length(trim(scanner_manufacturer)) > 0) AS BIGINT) FROM mon UNION ALL SELECT 'modality', CAST(count_if(length(trim(modality)) > 0) AS BIGINT) FROM mon",
+        "multiclass_violations": "WITH f AS (SELECT o_orderkey AS n FROM orders) SELECT * FROM (" + " UNION ALL ".join((_fault("y_true", "null", "n % 97 <> 0 AND n % 89 = 0"), _fault("y_true", "empty", "n % 97 = 0"), _fault("y_pred_label", "empty", "n % 83 = 0"))) + ") WHERE n > 0",
         "alert_reviews_join": _with(mon, VALUES, "rev AS (SELECT CASE WHEN r_regionkey % 2 = 0 THEN 'max_subgroup_sens_gap' ELSE 'psi_major' END AS rule, arg_max(r_name, r_regionkey) AS reviewer FROM region GROUP BY 1)") + f"SELECT severity, rule, {_r('observed')} AS observed, {_r('threshold')} AS threshold, coalesce(reviewer, '') AS reviewer, CASE WHEN reviewer IS NULL THEN 'unreviewed' ELSE 'accepted' END AS disposition, CASE WHEN reviewer IS NULL THEN '' ELSE 'watch' END AS follow_up FROM alerts LEFT JOIN rev USING (rule)",
         "alias_adapter": _with(mon) + f"SELECT c_mktsegment AS site, o_orderstatus AS modality, CASE WHEN y_pred_proba >= 6e-1 THEN 1 ELSE 0 END AS y_pred_binary, count(*) AS n, count(DISTINCT patient_id) AS patients, {_r('avg(y_pred_proba)')} AS mean_score FROM mon LEFT JOIN (SELECT 'p' || CAST(o_orderkey AS VARCHAR) AS pid, c_mktsegment, o_orderstatus FROM orders JOIN customer ON o_custkey = c_custkey) ON pid = patient_id GROUP BY ALL",
         "detection_label_collapse": f"""WITH lab AS (SELECT l_orderkey AS k, max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS y FROM lineitem GROUP BY 1),

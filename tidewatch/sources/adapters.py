@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import OPTIONAL, REQUIRED, Profile
 from ..functions.stats import clip
+from ..session import stored
 from . import validate
 
 #: Column names that other systems use, in the order in which they are tried.
@@ -114,7 +115,6 @@ def adapt_detection_labels(labels: DataFrame, predictions: DataFrame | None = No
         meta = first_per_key(meta.select(F.col("patient_id").cast("string").alias("patient_id"), *given), "patient_id", [F.col(c).asc_nulls_last() for c in given] or [F.lit(1)])
         out = out.join(meta, "patient_id", "left")
     if "study_date" not in given:
-        # positions over all patients: running totals over slices of a hash would not keep the order, so slices of the id's first characters are counted
         place = _positions(out.select("patient_id"))
         out = out.join(place, "patient_id").withColumn("study_date", F.expr("date_add(date'2018-01-01', int(_place - 1))").cast("timestamp_ntz")).drop("_place")
     else:
@@ -128,10 +128,15 @@ def adapt_detection_labels(labels: DataFrame, predictions: DataFrame | None = No
 
 
 def _positions(ids: DataFrame) -> DataFrame:
-    """patient_id, _place: positions in order of the id; ids are ranked within slices of their first two characters."""
-    sliced = ids.withColumn("_slice", F.substring("patient_id", 1, 2))
-    sizes = sliced.groupBy("_slice").agg(F.count("*").alias("_rows"))
-    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("_slice", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
-    ranked = sliced.withColumn("_nth", F.row_number().over(Window.partitionBy("_slice").orderBy("patient_id")))
-    return ranked.join(sizes, "_slice").select("patient_id", (F.col("_before") + F.col("_nth")).alias("_place"))
+    """patient_id, _place: positions in order of the id.
+
+    Ids are dealt by range, so a part holds a stretch of them whatever their prefixes; they are ranked
+    within the part, and the parts' sizes give the offsets. The parts are stored, for a second reading
+    must see the same cuts.
+    """
+    dealt = stored(ids.repartitionByRange("patient_id").withColumn("_part", F.spark_partition_id()), "positions")
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_rows"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    ranked = dealt.withColumn("_nth", F.row_number().over(Window.partitionBy("_part").orderBy("patient_id")))
+    return ranked.join(F.broadcast(sizes), "_part").select("patient_id", (F.col("_before") + F.col("_nth")).alias("_place"))

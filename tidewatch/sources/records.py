@@ -47,9 +47,9 @@ class MonitoringPlan:
     def __post_init__(self) -> None:
         _need(self, ("model_id", "model_owner", "intended_use"))
         if not 0.0 <= self.operating_threshold <= 1.0:
-            raise ValueError("operating_threshold must be in [0, 1]")
+            raise ValueError("the operating threshold is a probability: give a number from 0 to 1")
         if self.subgroup_min_n < 1:
-            raise ValueError("subgroup_min_n must be positive")
+            raise ValueError("a subgroup needs a minimum size of 1 or more")
 
     def to_dict(self) -> dict:
         return asdict(self) | {"schema_version": SCHEMA_VERSION}

@@ -63,13 +63,18 @@ def violations(df: DataFrame, multiclass: bool = False) -> tuple[DataFrame, Data
     return wide.select(*order), wide.agg(*counts) if counts else df.agg(F.count("*").alias("rows|rows"))
 
 
+def filled_columns(df: DataFrame) -> DataFrame:
+    """column, n_filled for each operational column that is there: rows whose value is not blank."""
+    present = [c for c in OPERATIONAL if c in df.columns]
+    counted = df.agg(F.count("*").alias("rows"), *(F.count_if(F.length(F.trim(F.col(c).cast("string"))) > 0).alias(c) for c in present))
+    return counted.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("n_filled")) for c in present)))) if present else counted.select(F.lit("").alias("column"), F.col("rows").alias("n_filled")).limit(0)
+
+
 def _check_profile(df: DataFrame, profile: Profile) -> None:
     if profile != Profile.PRODUCTION:
         return
-    missing = [c for c in OPERATIONAL if c not in df.columns]
-    present = [c for c in OPERATIONAL if c in df.columns]
-    filled = df.agg(*(F.count_if(F.length(F.trim(F.col(c).cast("string"))) > 0).alias(c) for c in present)).first() if present else None
-    empty = [c for c in present if not filled[c]]
+    filled = {r["column"]: r["n_filled"] for r in filled_columns(df).collect()}
+    missing, empty = [c for c in OPERATIONAL if c not in filled], [c for c, n in filled.items() if not n]
     if missing or empty:
         raise ValueError(f"Production schema profile: missing columns {missing}, columns without values {empty}")
 
@@ -91,7 +96,7 @@ def validate(df: DataFrame, profile: Profile | str = Profile.PUBLIC, multiclass:
         raise ValidationError(errors)
     _check_profile(coerced, profile)
     if multiclass and label_space(coerced).first()["n_labels"] < 2:
-        raise ValueError("a multi-class table needs two different labels at least")
+        raise ValueError("a multi-class table must contain at least two distinct labels")
     return coerced
 
 
