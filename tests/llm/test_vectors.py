@@ -41,7 +41,6 @@ def brute_links(x, labels, threshold=itq.THRESHOLD):
 @pytest.mark.parametrize("blocks", [itq.BLOCK_ROWS, 40])
 def test_near_duplicate_vectors(spark, monkeypatch, blocks):
     monkeypatch.setattr(itq, "BLOCK_ROWS", blocks)
-    monkeypatch.setattr(itq, "ONE_BUCKET_ROWS", 0)
     x = cloud(600)
     x[300:340] = x[300]
     labels = np.arange(600) % 3
@@ -55,6 +54,38 @@ def test_near_duplicate_vectors(spark, monkeypatch, blocks):
     assert all(found[i]["kept"] == (found[i]["component_id"] == i) for i in range(600))
 
 
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.01"])
+def test_recall_on_the_given_vectors(spark, folder):
+    from pathlib import Path
+
+    if not Path(folder).exists():
+        pytest.skip("needs the test tables")
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").filter("embedding is not null and label is not null").collect()
+    x, labels, ids = np.array([r["embedding"] for r in rows], dtype=float), np.array([r["label"] for r in rows]), [r["vec_id"] for r in rows]
+    for threshold in (itq.THRESHOLD, 0.4):  # few or none of these rows are near copies, so a lower threshold counts, too
+        links, _ = brute_links(x, labels, threshold)
+        found = {r["vec_id"]: r["n_links"] for r in itq.near_duplicates(spark.read.parquet(f"{folder}/embeddings.parquet"), threshold).collect()}
+        got = np.array([found[i] for i in ids])
+        assert (got <= links).all() and got.sum() >= 0.9 * links.sum()
+    assert links.sum() > 0
+
+
+def test_tables_meet_the_wanted_chance_at_every_size():
+    for largest in (1, 10, 200, 500, 513, 5_000, 20_000, 10**6, 10**8):
+        tables, width, radius = itq.table_shape(largest, 64)
+        assert width <= 16 and radius <= itq.MAX_RADIUS and itq.meeting_chance(width, tables, radius) >= itq.WANTED_RECALL
+    assert itq.table_shape(200, 64)[1] > 0 and itq.table_shape(10**6, 64)[1] > itq.table_shape(1000, 64)[1]
+    assert itq.table_shape(1000, 3, -1.0) == (1, 0, 0)
+
+
+def test_labels_of_any_type(spark):
+    x = cloud(200, groups=5)
+    rows = [(i, [float(c) for c in v], f"label {i % 3}") for i, v in enumerate(x)]
+    found = {r["vec_id"]: r["n_links"] for r in itq.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    links, _ = brute_links(x, np.arange(200) % 3)
+    assert sum(found.values()) >= 0.9 * links.sum() and all(found[i] <= links[i] for i in range(200))
+
+
 def test_odd_vectors_link_with_nothing(spark):
     v, w = [1.0, 2.0, 3.0], [1.0, 2.0, 3.01]
     odd = [(10, None, 1), (11, [], 1), (12, [0, 0, 0], 1), (13, [1, None, 3], 1), (14, [1, float("nan"), 3], 1), (15, [float("inf"), 2, 3], 1), (16, v, None), (17, [1.0, 2.0], 1), (18, [1.0, 2.0, 3.0, 4.0], 1)]
@@ -104,6 +135,16 @@ def test_search_reaches_the_wanted_recall(spark):
     assert sum(len(set(found[q]) & set(want[q])) for q in want) >= 0.9 * 5 * len(want)
 
 
+def test_clustered_vectors_need_few_parts(spark):
+    x, ids = cloud(20_000, 16, 3, 200, 0.15), np.arange(20_000)
+    df = table(spark, [(int(i), v, 0) for i, v in zip(ids, x, strict=True)])
+    rows = ann.search(df, df.filter("vec_id % 100 = 0")).collect()
+    want = brute_search(x, ids, range(0, 20_000, 100), 5)
+    hits = sum(r["vec_id"] in want[r["query_id"]] for r in rows)
+    assert hits >= 0.9 * 5 * len(want)
+    assert max(r["parts_probed"] for r in rows) <= 0.3 * rows[0]["parts"] and np.mean([r["rows_compared"] for r in rows]) <= 0.3 * len(x)
+
+
 def test_search_of_odd_rows(spark):
     rows = [(0, [1, 0], 0), (1, [2, 0], 0), (2, [3, 0], 0), (3, [0, 1], 0), (4, None, 0), (5, [0, 0], 0), (6, [1, float("nan")], 0), (7, [1, None], 0), (8, [1, 1, 1], 0), (None, [1, 0], 0), (50, None, 0)]
     df = table(spark, rows)

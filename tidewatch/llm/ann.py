@@ -19,13 +19,13 @@ from . import common, vectors
 
 NEIGHBOURS = 5
 FIT_ROWS = 8_192
-#: Rows of the table for each part, and the fewest and most parts.
-ROWS_PER_PART, MIN_PARTS, MAX_PARTS = 3_000, 4, 256
+#: Rows of the table for each part, the fewest parts, and the fewest rows of the sample for each.
+ROWS_PER_PART, MIN_PARTS, FIT_ROWS_PER_PART = 1_000, 4, 16
 #: Share of the sample's true neighbours that the probed parts must hold.
-WANTED_RECALL = 0.97
+WANTED_RECALL = 0.93
 GRAPH_DEGREE, HIDDEN, FIT_STEPS = 10, 64, 300
-#: Rows and queries that meet in one task at a time.
-CHUNK_ROWS, CHUNK_QUERIES = 8_192, 512
+#: Rows and queries that meet in one task, and queries that are compared at a time there.
+CHUNK_ROWS, CHUNK_QUERIES, AT_ONCE = 8_192, 16_384, 512
 QUERY_STEP = 50
 
 
@@ -130,7 +130,8 @@ def fit_router(x: np.ndarray, parts: int, k: int = NEIGHBOURS, seed: int = 11) -
 
 
 def search(rows: DataFrame, queries: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
-    """query_id, rank, vec_id, score: the ``k`` nearest rows found for each query, by cosine.
+    """query_id, rank, vec_id, score: the ``k`` nearest rows found for each query, by cosine; and what the
+    query took: parts_probed of parts, rows_compared.
 
     ``rows`` and ``queries`` are (vec_id, embedding); a row does not answer a query of its own vec_id.
     Vectors that are null, empty, zero or not finite, of another length than most, or without a vec_id
@@ -146,7 +147,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = NEIGHBOURS) -> DataFram
     dim, count = (top["dim"], top["count"]) if top else (1, 0)
     rows, queries = rows.filter(F.size("embedding") == dim), queries.filter(F.size("embedding") == dim).dropDuplicates(["vec_id"])
     x = vectors.sample(rows, FIT_ROWS, count)
-    parts = min(MAX_PARTS, max(MIN_PARTS, count // ROWS_PER_PART)) if len(x) >= 64 * MIN_PARTS else 1
+    parts = max(1, min(max(MIN_PARTS, count // ROWS_PER_PART), len(x) // FIT_ROWS_PER_PART))
     router = fit_router(x, parts, k) if parts > 1 else Router([np.zeros((dim, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1)], 1)
     layers = spark.sparkContext.broadcast(router.layers)
 
@@ -175,36 +176,46 @@ def search(rows: DataFrame, queries: DataFrame, k: int = NEIGHBOURS) -> DataFram
             at = np.minimum(n, parts)
             flat = np.concatenate([o[:j] for o, j in zip(order, at, strict=True)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(at)]).astype(np.int32)), pa.array(flat))
-            yield pa.record_batch([*b.columns, lists], names=["vec_id", "embedding", "parts"])
+            compared = np.array([sizes[o[:j]].sum() for o, j in zip(order, at, strict=True)])
+            yield pa.record_batch([*b.columns, lists, pa.array(compared)], names=["vec_id", "embedding", "parts", "compared"])
 
-    asked = common.stored(queries.mapInArrow(routed, "vec_id long, embedding array<double>, parts array<int>"), "routed")
-    asked = asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.explode("parts").alias("part"))
+    asked = common.stored(queries.mapInArrow(routed, "vec_id long, embedding array<double>, parts array<int>, compared long"), "routed")
+    effort = F.struct(F.size("parts").alias("parts_probed"), F.lit(parts).alias("parts"), F.col("compared").alias("rows_compared")).alias("effort")
+    asked = asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), effort, F.explode("parts").alias("part"))
     load = np.ones(parts, dtype=np.int64)
     for r in asked.groupBy("part").count().collect():
         load[r["part"]] = max(1, -(-r["count"] // CHUNK_QUERIES))
     of_rows, of_queries = (F.array(*(F.lit(int(n)) for n in a))[F.col("part")] for a in (chunks, load))
-    left = asked.select("query_id", "query", F.col("part").alias("q_part"), F.pmod(F.xxhash64("query_id"), of_queries).cast("int").alias("q_block"), F.explode(F.sequence(F.lit(0), of_rows - 1)).alias("q_chunk"))
+    left = asked.select("query_id", "query", "effort", F.col("part").alias("q_part"), F.pmod(F.xxhash64("query_id"), of_queries).cast("int").alias("q_block"), F.explode(F.sequence(F.lit(0), of_rows - 1)).alias("q_chunk"))
     right = held.select("vec_id", "embedding", "part", F.pmod(F.xxhash64("vec_id"), of_rows).cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), of_queries - 1)).alias("block"))
 
     def nearest(q: pa.Table, c: pa.Table) -> pa.Table:
-        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
+        """The nearest rows of a cell for each query there; queries are compared a block at a time."""
+        rows: list[np.ndarray] = [np.zeros(0, np.int64)]
+        ids: list[np.ndarray] = [np.zeros(0, np.int64)]
+        scores: list[np.ndarray] = [np.zeros(0)]
         if q.num_rows and c.num_rows:
             a, b = vectors.matrix(q.column("query")), vectors.matrix(c.column("embedding"))
-            ids, own = c.column("vec_id").to_numpy(), q.column("query_id").to_numpy()
-            close = vectors.unit(a) @ vectors.unit(b).T
-            close[own[:, None] == ids[None, :]] = -np.inf
-            kth = np.partition(close, -min(k, close.shape[1]), axis=1)[:, -min(k, close.shape[1])]
-            for i in range(len(a)):
-                j = np.flatnonzero((close[i] >= kth[i] - 1e-9) & (close[i] > -np.inf))
-                score = vectors.cosine(np.broadcast_to(a[i], (len(j), a.shape[1])), b[j])
-                best = np.lexsort((ids[j], -score))[:k]
-                for column, v in zip(out, (np.full(len(best), own[i]), ids[j][best], score[best]), strict=True):
-                    column.append(v)
-        return pa.table({n: np.concatenate(v) for n, v in zip(("query_id", "vec_id", "score"), out, strict=True)})
-
-    met = left.groupBy("q_part", "q_chunk", "q_block").cogroup(right.groupBy("part", "chunk", "block")).applyInArrow(nearest, "query_id long, vec_id long, score double")
+            unit, own, known = vectors.unit(b), q.column("query_id").to_numpy(), c.column("vec_id").to_numpy()
+            some = min(k, len(b))
+            for at in range(0, len(a), AT_ONCE):
+                close = vectors.unit(a[at : at + AT_ONCE]) @ unit.T
+                close[own[at : at + AT_ONCE, None] == known[None, :]] = -np.inf
+                kth = np.partition(close, -some, axis=1)[:, -some]
+                for i in range(len(close)):
+                    j = np.flatnonzero((close[i] >= kth[i] - 1e-9) & (close[i] > -np.inf))
+                    score = vectors.cosine(np.broadcast_to(a[at + i], (len(j), a.shape[1])), b[j])
+                    best = np.lexsort((known[j], -score))[:k]
+                    rows.append(np.full(len(best), at + i))
+                    ids.append(known[j][best])
+                    scores.append(score[best])
+        taken = np.concatenate(rows)
+        return pa.table({"query_id": q.column("query_id").take(taken), "effort": q.column("effort").take(taken), "vec_id": np.concatenate(ids), "score": np.concatenate(scores)})
+
+    kind = "query_id long, effort struct<parts_probed: int, parts: int, rows_compared: long>, vec_id long, score double"
+    met = left.groupBy("q_part", "q_chunk", "q_block").cogroup(right.groupBy("part", "chunk", "block")).applyInArrow(nearest, kind)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return met.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return met.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "effort.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

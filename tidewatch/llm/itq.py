@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,8 @@ from . import common, vectors
 THRESHOLD = 0.93
 FIT_ROWS, FIT_ROUNDS = 10_000, 30
 CODE_BITS = 64
-#: With no more vectors of a label than this, all of them share one bucket.
-ONE_BUCKET_ROWS = 512
+#: Least chance that a pair at the threshold shares a bucket, the largest radius that is probed, and what a comparison costs against a probe.
+WANTED_RECALL, MAX_RADIUS, COMPARE_COST = 0.98, 2, 0.02
 #: A bucket with more rows is split into blocks of about this size, and every two blocks meet in a cell.
 BLOCK_ROWS = 1_000
 
@@ -41,12 +42,31 @@ def fit_rotation(x: np.ndarray, bits: int = CODE_BITS, rounds: int = FIT_ROUNDS,
     return centre, basis @ rotation
 
 
-def table_shape(largest: int, bits: int) -> tuple[int, int, int]:
-    """(tables, bits of each, probed radius) for the largest number of vectors that share a label."""
-    if largest <= ONE_BUCKET_ROWS:
-        return 1, 0, 0
-    width = min(max(8, round(math.log2(largest / 32 + 1))), 16, bits)
-    return max(1, bits // width), width, int(width > 9)
+def meeting_chance(width: int, tables: int, radius: int, threshold: float = THRESHOLD) -> float:
+    """Chance that two vectors at the threshold share a bucket: a bit of a random projection differs with chance angle / pi."""
+    p = math.acos(threshold) / math.pi
+    one = sum(math.comb(width, k) * p**k * (1 - p) ** (width - k) for k in range(radius + 1))
+    return 1 - (1 - one) ** tables
+
+
+def table_shape(largest: int, bits: int, threshold: float = THRESHOLD) -> tuple[int, int, int]:
+    """(tables, bits of each, probed radius) for the largest number of vectors that share a label.
+
+    The cheapest shape in probes and comparisons among those that keep the wanted chance for a pair at the
+    threshold to meet, whatever the label's size. If none does, all rows of a label share one bucket.
+    """
+    found = (1, 0, 0)
+    least = float(largest)
+    for width in range(1, min(16, bits) + 1):
+        tables = bits // width
+        for radius in range(min(MAX_RADIUS, width - 1) + 1):
+            if meeting_chance(width, tables, radius, threshold) >= WANTED_RECALL:
+                probes = tables * sum(math.comb(width, k) for k in range(radius + 1))
+                cost = probes * (1 + COMPARE_COST * largest / 2**width)
+                if cost < least:
+                    least, found = cost, (tables, width, radius)
+                break
+    return found
 
 
 def _settle(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -108,7 +128,9 @@ def links(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     dim, rows, largest = (top["dim"], top["rows"], top["largest"]) if top else (1, 0, 0)
     x = vectors.sample(sized.filter(F.col("dim") == dim), FIT_ROWS, rows)
     centre, projection = fit_rotation(x) if len(x) > 1 else (np.zeros(dim), np.eye(dim)[:, :CODE_BITS])
-    tables, width, radius = table_shape(largest, projection.shape[1])
+    # centring brings a pair's difference closer to its length: the threshold as the centred vectors see it
+    reach = float(np.quantile(((x - centre) ** 2).sum(axis=1), 0.1)) if len(x) > 1 else 0.0
+    tables, width, radius = table_shape(largest, projection.shape[1], max(-1.0, 1 - (1 - threshold) / reach) if reach > 0 else -1.0)
     weights = (1 << np.arange(width)).astype(np.int64)
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +146,7 @@ def links(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     kind = f"cid long, label {classes.schema['label'].dataType.simpleString()}, embedding {classes.schema['embedding'].dataType.simpleString()}, n long, dim int, substrings array<long>"
     codes = common.stored(sized.select("cid", "label", "embedding", "n", "dim").mapInArrow(coded, kind), "codes")
-    flips = [0, *(1 << k for k in range(width))] if radius else [0]
+    flips = [sum(1 << k for k in own) for r in range(radius + 1) for own in combinations(range(width), r)]
     probes = F.array(*(F.struct(F.lit(t).alias("t"), F.col("substrings")[t].bitwiseXOR(m).alias("key"), F.lit(m == 0).alias("home")) for t in range(tables) for m in flips))
     slim = codes.select("cid", "label", "dim", F.explode(probes).alias("p")).select("cid", "label", "dim", "p.*")
     bucket = ["label", "dim", "t", "key"]
@@ -166,7 +188,7 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
     for b in batches:
         if not b.num_rows:
             continue
-        columns = [b.column(k).fill_null(0).to_numpy(zero_copy_only=False) for k in keys]
+        columns = [b.column(k).to_numpy(zero_copy_only=False) for k in keys]  # no key is null
         new = np.zeros(b.num_rows, dtype=bool)
         for c in columns:
             new[1:] |= c[1:] != c[:-1]
@@ -191,8 +213,8 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
 def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of (vec_id, label, embedding).
 
-    Null, empty, zero and non-finite vectors and rows with a null label link with nothing; vectors of
-    different lengths do not link; equal vectors are one class and link with each other, so a group of
+    Null, empty, zero and non-finite vectors and rows with a null label link with nothing; labels may be
+    of any plain type; vectors of different lengths do not link; equal vectors are one class and link with each other, so a group of
     copies costs one comparison; a null vec_id takes part, but never names a component; an empty table
     gives no rows; other columns are not read.
     """
