@@ -278,7 +278,7 @@ def test_alert_rules(spark):
     report = alerts.check_alerts(spark, **bad)
     assert [a["rule"] for a in report.alerts] == ["min_auroc", "max_auroc_drop_relative", "min_sensitivity", "min_specificity", "psi_major", "max_subgroup_sens_gap"]
     assert (report.n_critical, report.n_warning) == (5, 1)
-    assert report.alerts[1]["message"].startswith("AUROC dropped 23.9% from baseline")
+    assert "observed 0.2391 (now 0.7000, then 0.9200), limit 0.0500" in report.alerts[1]["message"]
     minor = alerts.check_alerts(spark, psi=0.15)
     assert [(a["rule"], a["severity"]) for a in minor.alerts] == [("psi_minor", "warning")]
     assert alerts.check_alerts(spark).is_clean
