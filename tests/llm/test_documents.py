@@ -447,29 +447,99 @@ def test_secret_scan_of_odd_rows(spark, odd):
     assert secrets.digest([]) == hashlib.sha256(b"").hexdigest()
 
 
+def test_secrets_on_either_side_of_their_words():
+    novelty = secrets.Novelty(["identifier"])
+    for text, want in (
+        ("x" * 90 + " q7Zp0XvT-4mLk9Rb # slack token", "q7Zp0XvT-4mLk9Rb"), ('{"value": "Zk81mQx07TrW", "name": "api_key"}', "Zk81mQx07TrW"), ("Authorization: Basic dXNlcjpwYXNz now", "dXNlcjpwYXNz"), ("x" * 200 + "Ab3" * 3 + " token", None),
+        ("the token internationalization_handler of configuration", None), ("token 12345678 12345678", None),
+    ):
+        found = [text[s:e] for s, e, k in secrets.all_spans(text, novelty) if k == "novel"]
+        assert found == ([] if want is None else [want]), text
+
+
+def test_planted_secrets_of_unknown_form_are_reported(spark):
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    planted, rows = {}, []
+    for i, text in enumerate(sentences(120, 31, 60)):
+        if i % 4 == 0:
+            planted[i] = "".join(rng.choice(letters) for _ in range(20)) + "7a"
+            text = f"{text} bearer of value ({planted[i]}) for access {text[:50]}" if i % 8 else f"{text} <{planted[i]}> is the credential {text[:50]}"
+        elif i % 4 == 1:
+            text = f"{text} the credential_handler_v2 and the token_rotation_2024 of the service {text[:50]}"
+        rows.append((i, text))
+    found = {r["doc_id"]: {x["text"] for x in r["spans"]} for r in secrets.scan(frame(spark, rows)).collect()}
+    assert all(found[i] == {k} for i, k in planted.items()) and not any(found[i] for i, _ in rows if i not in planted)
+
+
+def test_secret_scan_of_long_texts_is_linear():
+    import time
+
+    novelty = secrets.Novelty(["identifier"])
+    began = time.perf_counter()
+    for text in ("token " * 170_000, "token" + "a1B2" * 250_000, "secret a1B2c3D4e5F6 " * 50_000, "a" * 1_000_000 + " token"):
+        secrets.all_spans(text, novelty)
+    assert time.perf_counter() - began < 30
+
+
 # --- licences ----------------------------------------------------------------------------------
 
 
-def brute_matches(text, least=licenses.MIN_DICE):
-    lines = [licenses.words_of(x) for x in text.split("\n")]
-    best = []
-    for name, template in licenses.TEMPLATES.items():
+def brute_matches(text, templates, least=licenses.MIN_DICE):
+    """(score, first word, last word, name) of the best run of words for each start, over all runs of a template's pairs."""
+    words = licenses.words_of(text)
+    found = []
+    for name, template in templates.items():
         want = licenses.bigrams(licenses.words_of(template))
-        for i in range(len(lines)):
-            for j in range(i, len(lines)):
-                own = licenses.bigrams([w for x in lines[i : j + 1] for w in x])
-                if licenses.dice(own, want) >= least:
-                    best.append(name)
-    return set(best)
+        for i in range(len(words) - 1):
+            if (words[i], words[i + 1]) not in want:
+                continue
+            runs = [(licenses.dice(licenses.bigrams(words[i : j + 1]), want), -j) for j in range(i + 1, min(len(words), i + 2 + 2 * sum(want.values())))]
+            score, j = max(runs)
+            if score >= least - 1e-12:
+                found.append((-score, i, j, name))
+    kept = []
+    for score, i, j, name in ((x, i, -j, name) for x, i, j, name in sorted(found)):
+        if all(j < a or b < i for a, b, _, _ in kept):
+            kept.append((i, j, name, -score))
+    return sorted(kept)
 
 
 def test_licences_match_brute_force():
-    mit = licenses.TEMPLATES["MIT"]
-    broken = "\n".join(re.findall(r".{1,70}(?:\s|$)", mit.replace("copies", "duplicates")))
-    for text in ("Some code.\nLicensed under the Apache License, Version 2.0.\nMore.", broken, "licensed under CC BY-NC 4.0", "Nothing to see here.\nPlain prose of the day.", "all rights reserved"):
-        found = {m.licence for m in licenses.Scanner().matches(text)}
-        assert found <= brute_matches(text) and bool(found) == bool(brute_matches(text))
-    assert [m.licence for m in licenses.Scanner().matches(broken)] == ["MIT"]
+    short = {k: v for k, v in licenses.TEMPLATES.items() if len(v) < 700}
+    scanner = licenses.Scanner(short)
+    rng = random.Random(3)
+    pool = [*short.values(), "Some code.", "copyright 2021 Acme Corp. the license", "under the terms of"]
+    texts = ["Some code.\nLicensed under the Apache License, Version 2.0.\nMore.", "licensed under CC BY-NC 4.0", "Nothing to see here.\nPlain prose of the day.", "all rights reserved", "x", ""]
+    texts += ["Copyright (c) 2021 Acme Corp. Licensed under the Apache License, Version 2.0.", "foo bar. Released under the MIT License. more words follow here"]
+    for _ in range(40):
+        words = " ".join(rng.choice(pool) for _ in range(rng.randint(1, 4))).split()
+        texts.append(" ".join(w if rng.random() > 0.06 else "changed" for w in words if rng.random() > 0.04))
+    for text in texts:
+        found = [(m.first_word, m.last_word, m.licence, m.score) for m in scanner.matches(text)]
+        want = brute_matches(text, short)
+        assert [x[:3] for x in found] == [x[:3] for x in want] and np.allclose([x[3] for x in found], [x[3] for x in want]), text
+
+
+def test_whole_licences_and_notices_inside_lines():
+    scanner = licenses.Scanner()
+    mit = "\n".join(re.findall(r".{1,70}(?:\s|$)", licenses.TEMPLATES["MIT"].replace("copies", "duplicates")))
+    assert [m.licence for m in scanner.matches(mit)] == ["MIT"]
+    for name, text in licenses.default_templates().items():
+        found = scanner.matches(f"first line\nbefore it {text} after it\nlast line")
+        assert [m.licence for m in found] == [name] and found[0].score == pytest.approx(1.0) and found[0].first_line >= 1
+    assert {"GPL-3.0", "GPL-2.0", "LGPL-3.0", "Apache-2.0", "MPL-2.0", "BSD-3-Clause"} <= set(scanner.names)
+
+
+def test_licence_scan_of_long_texts_is_linear():
+    import time
+
+    scanner = licenses.Scanner()
+    blank, words, notices = "\n" * 1_000_000, "license the software " * 50_000, "Released under the MIT License. " * 30_000
+    began = time.perf_counter()
+    assert scanner.matches(blank) == [] and scanner.matches(words) == []
+    assert len(scanner.matches(notices)) == 30_000
+    assert time.perf_counter() - began < 60
 
 
 def test_licence_scan_of_odd_rows(spark, odd):

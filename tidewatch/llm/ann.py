@@ -180,13 +180,14 @@ def search(rows: DataFrame, queries: DataFrame, k: int = NEIGHBOURS) -> DataFram
             yield pa.record_batch([*b.columns, lists, pa.array(compared)], names=["vec_id", "embedding", "parts", "compared"])
 
     asked = common.stored(queries.mapInArrow(routed, "vec_id long, embedding array<double>, parts array<int>, compared long"), "routed")
-    effort = F.struct(F.size("parts").alias("parts_probed"), F.lit(parts).alias("parts"), F.col("compared").alias("rows_compared")).alias("effort")
-    asked = asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), effort, F.explode("parts").alias("part"))
+    effort = ["parts_probed", "parts", "rows_compared"]
+    asked = asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.size("parts").alias("parts_probed"), F.col("compared").alias("rows_compared"), F.explode("parts").alias("part"))
+    asked = asked.withColumn("parts", F.lit(parts))
     load = np.ones(parts, dtype=np.int64)
     for r in asked.groupBy("part").count().collect():
         load[r["part"]] = max(1, -(-r["count"] // CHUNK_QUERIES))
     of_rows, of_queries = (F.array(*(F.lit(int(n)) for n in a))[F.col("part")] for a in (chunks, load))
-    left = asked.select("query_id", "query", "effort", F.col("part").alias("q_part"), F.pmod(F.xxhash64("query_id"), of_queries).cast("int").alias("q_block"), F.explode(F.sequence(F.lit(0), of_rows - 1)).alias("q_chunk"))
+    left = asked.select("query_id", "query", *effort, F.col("part").alias("q_part"), F.pmod(F.xxhash64("query_id"), of_queries).cast("int").alias("q_block"), F.explode(F.sequence(F.lit(0), of_rows - 1)).alias("q_chunk"))
     right = held.select("vec_id", "embedding", "part", F.pmod(F.xxhash64("vec_id"), of_rows).cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), of_queries - 1)).alias("block"))
 
     def nearest(q: pa.Table, c: pa.Table) -> pa.Table:
@@ -210,12 +211,12 @@ def search(rows: DataFrame, queries: DataFrame, k: int = NEIGHBOURS) -> DataFram
                     ids.append(known[j][best])
                     scores.append(score[best])
         taken = np.concatenate(rows)
-        return pa.table({"query_id": q.column("query_id").take(taken), "effort": q.column("effort").take(taken), "vec_id": np.concatenate(ids), "score": np.concatenate(scores)})
+        return pa.table({**{c: q.column(c).take(taken) for c in ("query_id", *effort)}, "vec_id": np.concatenate(ids), "score": np.concatenate(scores)})
 
-    kind = "query_id long, effort struct<parts_probed: int, parts: int, rows_compared: long>, vec_id long, score double"
+    kind = "query_id long, parts_probed int, parts int, rows_compared long, vec_id long, score double"
     met = left.groupBy("q_part", "q_chunk", "q_block").cogroup(right.groupBy("part", "chunk", "block")).applyInArrow(nearest, kind)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return met.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "effort.*")
+    return met.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", *effort)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Secret scans with dictionary-primed zstandard novelty.
 
-Fixed patterns give the base spans. Further candidates are long tokens close to a sensitive word; each
-is measured by the bytes that it adds to a compressed frame of its surroundings, with a dictionary of
+Fixed patterns give the base spans. Further candidates are tokens on either side of a sensitive word that
+are not made like words; each is measured by the bytes that it adds to a compressed frame of its surroundings, with a dictionary of
 identifiers from the corpus. Text that repeats its surroundings or known identifiers adds little; a key
 adds about as many bytes as it has.
 """
@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -34,14 +36,18 @@ _ACCESS = re.compile("AKIA[A-Z0-9]+")
 _HEX = re.compile("[0-9a-f]{24,}")  # runs are taken whole, so shorter ones can be left out at once
 _MIN_ASSIGNED, _MIN_ACCESS = 6, 20
 
-#: Words near which a long token is a candidate (lower case), and how far it may begin after one.
+#: Words near which a token is a candidate (lower case), and how far it may begin before or after one.
 SENSITIVE = ("password", "passwd", "secret", "token", "apikey", "api_key", "api-key", "private key", "credential", "authorization", "bearer", "access key", "signature")
 REACH = 64
 _SENSITIVE = re.compile("|".join(map(re.escape, SENSITIVE)), re.IGNORECASE | re.ASCII)
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-_IDENTIFIER = re.compile(r"[^\W\d][\w-]{2,}")
+_TOKEN = re.compile(r"[A-Za-z0-9+/_=-]+")
+_CASES, _CAPITALS = re.compile("[a-z][A-Z]"), re.compile("[A-Z]{2}")
+#: The fewest characters of a candidate, and those from which a mixture of two kinds of characters is enough.
+SHORT, LONG = 8, 16
+#: Parts of identifiers: runs of letters, which no candidate is made of alone.
+_PART = re.compile(r"[^\W\d_]{3,31}")
 #: Characters of surroundings on each side, least share of a candidate's length that must be new bytes, dictionary size.
-AROUND, NOVEL_SHARE, DICTIONARY_WORDS = 96, 0.72, 2_000
+AROUND, NOVEL_SHARE, DICTIONARY_WORDS = 96, 0.85, 2_000
 _LEVEL = 3
 
 Span = tuple[int, int, str]
@@ -59,35 +65,66 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
-def sensitive_places(text: str) -> list[int]:
-    """Ends of the sensitive words."""
-    return [m.end() for m in _SENSITIVE.finditer(text)]
+def sensitive_places(text: str) -> list[tuple[int, int]]:
+    return [m.span() for m in _SENSITIVE.finditer(text)]
 
 
-def candidates(text: str, places: list[int], taken: list[Span]) -> list[tuple[int, int]]:
-    """Long tokens that begin near a sensitive word and touch no span that is already found."""
-    found = set()
-    for at in places:
-        for m in _CANDIDATE.finditer(text, at):
-            if m.start() > at + REACH:
-                break
-            if not any(s < m.end() and m.start() < e for s, e, _ in taken):
-                found.add((m.start(), m.end()))
-    return sorted(found)
+def unlike_words(token: str) -> bool:
+    """Whether a token mixes digits and letters, or switches case as no name does; long ones may mix any two kinds."""
+    if len(token) < SHORT:
+        return False
+    digit, lower, upper = any(map(str.isdigit, token)), any(map(str.islower, token)), any(map(str.isupper, token[1:]))
+    switches = len(_CASES.findall(token))
+    return digit and (lower or upper) or switches >= 3 or switches == 2 and bool(_CAPITALS.search(token)) or len(token) >= LONG and lower and upper
+
+
+def candidates(text: str, places: list[tuple[int, int]], taken: list[Span]) -> list[tuple[int, int]]:
+    """Tokens that begin within REACH of a sensitive word and touch no span that is already found.
+
+    Reaches that overlap are one, and each token is looked at once, so a text costs in proportion to its
+    length however often the words repeat.
+    """
+    reaches: list[list[int]] = []
+    for s, e in places:
+        lo, hi = max(0, s - REACH), min(len(text), e + REACH)
+        if reaches and lo <= reaches[-1][1]:
+            reaches[-1][1] = hi
+        else:
+            reaches.append([lo, hi])
+    spans = sorted((s, e) for s, e, _ in taken)
+    starts, ends = [s for s, _ in spans], list(accumulate((e for _, e in spans), max))
+    found, done = [], 0
+    for lo, hi in reaches:
+        lo = max(lo, done)
+        if lo > done and lo < len(text) and _TOKEN.match(text, lo) and _TOKEN.match(text, lo - 1):
+            inside = _TOKEN.match(text, lo)  # this token began before the reach
+            lo = inside.end()
+        for m in _TOKEN.finditer(text, lo, hi):
+            s, e = m.span()
+            if e == hi:
+                e = _TOKEN.match(text, s).end()
+            done = e
+            i = bisect_left(starts, e) - 1
+            if (i < 0 or ends[i] <= s) and unlike_words(text[s:e]):
+                found.append((s, e))
+    return found
 
 
 class Novelty:
-    """Marginal compressed bytes of a candidate against its surroundings and a dictionary."""
+    """Marginal compressed bytes of a candidate, given its surroundings and the words of the dictionary."""
 
     def __init__(self, identifiers: list[str]) -> None:
-        content = "\n".join(reversed(identifiers)).encode()  # a frame reaches the end of the dictionary cheapest
-        kept = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if len(content) >= 8 else None
-        self.compressor = zstandard.ZstdCompressor(level=_LEVEL, dict_data=kept, write_content_size=False, write_checksum=False)
+        self.known = "\n".join(reversed(identifiers)).encode() + b"\n"  # a frame reaches the end of a dictionary cheapest
+        self.empty = self._size(b"", b" " * 8)
+
+    def _size(self, own: bytes, before: bytes) -> int:
+        primed = zstandard.ZstdCompressionDict(self.known + before, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(level=_LEVEL, dict_data=primed, write_content_size=False, write_checksum=False).compress(own))
 
     def share(self, text: str, start: int, end: int) -> float:
-        around = text[max(0, start - AROUND) : start].encode("utf-8", "replace") + text[end : end + AROUND].encode("utf-8", "replace")
+        around = text[max(0, start - AROUND) : start] + text[end : end + AROUND]
         own = text[start:end].encode("utf-8", "replace")
-        return (len(self.compressor.compress(around + own)) - len(self.compressor.compress(around))) / len(own)
+        return (self._size(own, around.encode("utf-8", "replace") + b" " * 8) - self.empty) / len(own)
 
 
 def all_spans(text: str, novelty: Novelty, min_share: float = NOVEL_SHARE) -> list[Span]:
@@ -104,7 +141,7 @@ def joined(spans: list[Span]) -> str:
 
 
 def identifier_dictionary(docs: DataFrame, size: int = DICTIONARY_WORDS) -> list[str]:
-    """The identifiers that stand near sensitive words most often, counted over all documents."""
+    """The words and parts of identifiers that stand near sensitive words most often, counted over all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[str] = Counter()
@@ -117,8 +154,8 @@ def identifier_dictionary(docs: DataFrame, size: int = DICTIONARY_WORDS) -> list
         for b in batches:
             for text in b.column(0).to_pylist():
                 if text:
-                    for at in sensitive_places(text):
-                        counts.update(w for w in _IDENTIFIER.findall(text[max(0, at - AROUND) : at + AROUND]) if len(w) < 16)
+                    for _, at in sensitive_places(text):
+                        counts.update(_PART.findall(text[max(0, at - AROUND) : at + AROUND]))
             if len(counts) > 100_000:
                 yield flush()
         yield flush()
@@ -130,8 +167,9 @@ def identifier_dictionary(docs: DataFrame, size: int = DICTIONARY_WORDS) -> list
 def scan(docs: DataFrame, min_share: float = NOVEL_SHARE) -> DataFrame:
     """doc_id and spans (a list of kind, start, end, text) for every row of ``docs``.
 
-    A null text is empty and has no spans; spans of different base kinds may overlap and all stay;
-    repeated rows get equal results; an empty table gives no rows; other columns are not read.
+    A null text is empty and has no spans; spans of different base kinds may overlap and all stay; a very
+    long text costs in proportion to its length; repeated rows get equal results; an empty table gives no
+    rows; a null doc_id stays null; other columns are not read.
     """
     common.short_batches(docs.sparkSession)
     identifiers = identifier_dictionary(docs)
