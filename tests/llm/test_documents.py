@@ -622,17 +622,47 @@ def plain_ctw(words, counts, depth):
     return out
 
 
-def test_context_trees_match_the_definition(spark):
-    counts = Counter(b"the cat sat on the mat the cat the hat that sat".split()) + Counter({ctw.END: 3})
-    df = spark.createDataFrame([(bytearray(w), n) for w, n in counts.items()], "word binary, n long")
-    model = ctw.train(df, depth=3, limit=10**9)
-    words = [*counts, b"cats", b"zebra", b"thaT"]
-    assert np.allclose(ctw.word_logs(words, model), plain_ctw(words, counts, 3), atol=1e-4)
+def numbered(spark, counts, others=()):
+    rows = [(bytearray(w), i, n) for i, (w, n) in enumerate([*counts.items(), *((w, 0) for w in others)])]
+    return spark.createDataFrame(rows, "word binary, wid long, c long")
 
 
-def test_predictions_add_up_to_one(spark):
-    df = spark.createDataFrame([(bytearray(w), 5) for w in (b"abc", b"abd", b"xyz")], "word binary, n long")
-    assert np.allclose((10.0 ** ctw.train(df, depth=4, limit=3).logs).sum(axis=1), 1, atol=1e-4)
+@pytest.mark.parametrize("part", [10**6, 40])
+def test_context_trees_match_the_definition(spark, monkeypatch, part):
+    monkeypatch.setattr(ctw, "PART_ROWS", part)
+    counts = Counter(b"the cat sat on the mat the cat the hat that sat".split()) + Counter({ctw.END: 3})
+    others = [b"cats", b"zebra", b"thaT", b"q"]
+    words = [*counts, *others]
+    found = {r["wid"]: r["log"] for r in ctw.word_logs(numbered(spark, counts, others), depth=3, least=1).collect()}
+    assert np.allclose([found[i] for i in range(len(words))], plain_ctw(words, counts, 3), atol=1e-4)
+
+
+def test_predictions_add_up_to_one():
+    words, counts = [b"abc", b"abd", b"xyz", b"abcabcabc"], np.array([5, 2, 1, 3])
+    symbol, context, firsts = ctw.laid_out(words, 4)
+    n = np.repeat(counts, np.diff(np.append(firsts, len(symbol))))
+    keys, where = np.unique(context << 8 | symbol, return_inverse=True)
+    n = np.bincount(where, n)
+    levels = ctw.grow(keys, n, 4, 2)
+    assert all((level.rest >= 0).all() and (np.diff(level.codes) > 0).all() for level in levels.values()) and len(levels[3].contexts) < len(set(context & 0xFFFFFF))
+    symbols, sums = np.zeros((256, 256)), np.zeros((3, 256, 256))
+    np.add.at(symbols, (keys >> 8 & 255, keys & 255), n)
+    codes, found = ctw.roots_summed(levels)
+    sums[:, codes >> 8, codes & 255] = found
+    top = ctw.build_top(symbols, sums)
+    for c in {*context.tolist(), 0x61, 0x7A7A7A7A, 0x2071}:
+        logs = ctw.key_logs(c << 8 | np.arange(256), levels, top, 4)
+        assert (10.0**logs).sum() == pytest.approx(1)
+
+
+def test_more_text_gives_a_deeper_tree():
+    def nodes(n):
+        rng = random.Random(2)
+        symbol, context, _ = ctw.laid_out([bytes(rng.choices(b"abcdefghij", k=6)) for _ in range(n)], ctw.DEPTH)
+        keys, count = np.unique(context << 8 | symbol, return_counts=True)
+        return sum(len(level.contexts) for level in ctw.grow(keys, count, ctw.DEPTH, ctw.LEAST).values())
+
+    assert nodes(20) < nodes(200) < nodes(2000)
 
 
 def test_scores_match_counts(spark):
