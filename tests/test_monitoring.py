@@ -315,3 +315,57 @@ def test_site_calibration(drifting):
     assert {r["status"] for r in found.values()} == {"ok"} and set(found) == {"A", "B"}
     few = calibration.site_calibration(df, min_n=10**6).collect()
     assert {r["status"] for r in few} == {"insufficient_data"} and {r["baseline_brier"] for r in few} == {None}
+
+
+def test_exact_kolmogorov_smirnov_p_value():
+    from itertools import combinations
+
+    from tidewatch.functions.stats import kolmogorov_p_value
+
+    for n, m in ((4, 6), (5, 5), (7, 3), (1, 4)):
+        for q in (1, 3, 5, 8, 12, n * m):
+            far = whole = 0
+            for own in combinations(range(n + m), n):
+                steps = np.isin(np.arange(n + m), own)
+                far += np.abs(np.cumsum(steps) * m - np.cumsum(~steps) * n).max() >= q
+                whole += 1
+            assert q > n * m or kolmogorov_p_value(q / (n * m), n, m) == pytest.approx(far / whole)
+    assert kolmogorov_p_value(0.02, 10_000, 10_000) == pytest.approx(0.0366, abs=2e-4)
+    assert kolmogorov_p_value(0.02, 20_000, 20_000) == pytest.approx(6.7e-4, rel=0.05)
+
+
+def test_phases_of_equal_rows_and_null_dates(spark):
+    same = [row(1, 1, 0.5, patient="p")] * 40
+    df = spark.createDataFrame(same, SCHEMA)
+    sizes = {r["phase"]: r["count"] for r in split.with_phase(df, 0.3).groupBy("phase").count().collect()}
+    assert sizes == {"reference": 12, "current": 28}
+    both = split.with_phases(df, {"a": (0.3, "drift"), "b": (0.5, "baseline")}).groupBy("a", "b").count().collect()
+    assert {(r["a"], r["b"]): r["count"] for r in both}[("current", "current")] <= 20 and sum(r["count"] for r in both) == 40
+    assert split.with_phase(df.filter("1 = 0")).count() == 0
+
+
+def test_logistic_fit_is_exact_for_crowded_scores(spark):
+    from tidewatch.operators import calibration
+
+    rng = np.random.default_rng(3)
+    p = rng.random(400) * 1e-4 + 2e-6
+    y = (rng.random(400) < p * 5000).astype(int)
+    df = spark.createDataFrame([row(i, int(a), float(b)) for i, (a, b) in enumerate(zip(y, p, strict=True))], SCHEMA)
+    found = calibration.intercept_slope(df).first()
+    x = np.log(p) - np.log1p(-p)
+    q = 1 / (1 + np.exp(-(found["intercept"] + found["slope"] * x)))
+    assert abs((q - y).sum() + 2e-6 * found["intercept"]) < 1e-4 and abs(((q - y) * x).sum() + 2e-6 * found["slope"]) < 1e-3
+    one = spark.createDataFrame([row(i, i % 2, 0.5) for i in range(10)], SCHEMA)
+    assert tuple(calibration.intercept_slope(one).first()) == (None, None)
+    assert calibration.intercept_slope(one.filter("1 = 0"), ["site"]).count() == 0
+
+
+def test_stored_tables_go_at_the_end_of_their_block(spark):
+    from pathlib import Path
+
+    from tidewatch.session import scratch, shared_dir, stored
+
+    with scratch(spark):
+        kept = stored(spark.range(5), "tried")
+        assert kept.count() == 5 and list(Path(shared_dir(spark)).glob("tried-*"))
+    assert not list(Path(shared_dir(spark)).glob("tried-*"))
