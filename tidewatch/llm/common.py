@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import gc
-import uuid
 from collections.abc import Callable, Iterable
 from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..session import forget, scratch, shared_dir, ship_package, stored
 
+__all__ = ["connected_components", "forget", "free_name", "id_remainder", "plain", "read_table", "scratch", "shared_dir", "short_batches", "stored", "whole_row", "worker_cache"]
 T = TypeVar("T")
 #: What the two bounds are where a session sets none.
 _BATCH_DEFAULTS = ("10000", "67108864b")
@@ -55,21 +55,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a local one where it is unset (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared folder and read it back.
-
-    The table outlives lost executors, and later plans see its real size.
-    """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else (``lower`` would also change other alphabets)."""
     return F.translate(text, UPPER, UPPER.lower())
