@@ -48,6 +48,28 @@ def _line(points: list[tuple[float, float]], title: str, x: str, y: str) -> str:
     )
 
 
+def _bars(bars: list[tuple[str, float]], title: str) -> str:
+    """A bar for each label, as long as its share of the largest value."""
+    if not bars:
+        return f"<p>{html.escape(title)}: no values.</p>"
+    most = max(v for _, v in bars) or 1.0
+    rows = "".join(
+        f'<text x="4" y="{36 + 18 * i}" font-size="11">{html.escape(label[:34])}</text><rect x="230" y="{26 + 18 * i}" width="{200 * value / most:.1f}" height="13" fill="#147"/>'
+        f'<text x="{236 + 200 * value / most:.1f}" y="{37 + 18 * i}" font-size="11">{value:.4g}</text>'
+        for i, (label, value) in enumerate(bars)
+    )
+    return f'<svg width="500" height="{40 + 18 * len(bars)}" role="img" aria-label="{html.escape(title)}"><text x="4" y="14">{html.escape(title)}</text>{rows}</svg>'
+
+
+def bar_charts(analysis: MonitoringAnalysis) -> str:
+    """The highest sensitivities by subgroup, and the score density of each version."""
+    top = [(r["label"], r["value"]) for r in confusion.top_subgroups(analysis.stratified).collect()]
+    by_version: dict[str, list[tuple[str, float]]] = {}
+    for r in drift.score_histogram(analysis.table).filter("bin is not null").orderBy("model_version", "bin").collect():
+        by_version.setdefault(r["model_version"], []).append((f"{r['bin'] / 30:.2f} to {(r['bin'] + 1) / 30:.2f}", r["density"]))
+    return _bars(top, "Highest sensitivities") + "".join(_bars(v, f"Score density, {k}") for k, v in by_version.items())
+
+
 def _thinned(rows: list, n: int = CURVE_POINTS) -> list:
     step = max(1, len(rows) // n)
     return rows[::step] + rows[-1:] if rows else []
@@ -71,7 +93,7 @@ def render(analysis: MonitoringAnalysis) -> str:
     parts = [f"<h1>Model monitoring report</h1><ul>{key}</ul>", "<h2>Alerts</h2>" + _table(frames["alerts"], "No alerts."), curves(analysis)]
     titles = {"summary": "Summary", "drift": "Drift", "stratified": "Subgroups", "missing": "Missing data", "site_calibration": "Calibration by site", "versions": "Versions"}
     parts += [f"<h2>{title}</h2>" + _table(frames[k]) for k, title in titles.items()]
-    parts += ["<h2>Highest sensitivities</h2>" + _table(confusion.top_subgroups(analysis.stratified)), "<h2>Score histogram</h2>" + _table(drift.score_histogram(analysis.table).orderBy("model_version", "bin"))]
+    parts += ["<h2>Subgroups and scores</h2>" + bar_charts(analysis)]
     return f'<!doctype html><html lang="en"><head><meta charset="utf-8"><title>Model monitoring report</title><style>{STYLE}</style></head><body>{"".join(parts)}</body></html>'
 
 
