@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 _scratch: list[list[str]] = []
+_local_dirs: dict[str, str] = {}
 
 
 def local_session(cores: int | str = "*", memory: str = "8g") -> SparkSession:
@@ -53,8 +54,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="tidewatch-checkpoints-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        found = _local_dirs.get(app) or _local_dirs.setdefault(app, tempfile.mkdtemp(prefix="tidewatch-checkpoints-"))
     return found.rstrip("/")
 
 
