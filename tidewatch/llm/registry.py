@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, ctw, itq, langid, licenses, linededup, mixing, packing, periodic, secrets, simhash, variants
+from . import ann, ctw, itq, langid, licenses, linededup, mixing, packing, periodic, pii, secrets, simhash, variants
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,7 @@ def queries() -> dict[str, Query]:
         "op8_embedding_near_dedup": itq.query,
         "op9_line_dedup": linededup.query,
         "op10_lm_scoring": ctw.query,
+        "op11_personal_data": pii.query,
         "op12_spelling_variants": variants.query,
         "op13_periodic_runs": periodic.query,
     }
