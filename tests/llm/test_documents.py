@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tidewatch.llm import ctw, langid, licenses, linededup, mixing, packing, secrets, simhash
+from tidewatch.llm import ctw, langid, licenses, linededup, minhash, mixing, packing, secrets, simhash
 
 LONG = " ".join(f"word{i % 977} licence{i % 13}" for i in range(30_000))
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, lang_pred string, component_id string, length string"
@@ -122,6 +122,14 @@ def test_one_of_each_group_stays_whatever_the_names(spark):
     assert simhash.keep_one(docs.filter("1 = 0")).count() == 0
 
 
+@pytest.mark.parametrize("find", [simhash.near_duplicates, minhash.near_copies])
+def test_a_text_that_is_nobodys_copy_stays(spark, find):
+    a, b, c = sentences(3, 9)
+    rows = [(1, a), (2, b), (2, c), (3, a), (2, a), (4, c), (5, None), (5, ""), (5, None)]
+    kept = sorted((r["doc_id"], r["text"] or "") for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), find).collect())
+    assert kept == sorted([(1, a), (2, b), (2, c), (5, "")])
+
+
 # --- line dedup --------------------------------------------------------------------------------
 
 

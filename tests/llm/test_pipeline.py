@@ -16,7 +16,7 @@ needs_tables = pytest.mark.skipif(not Path(SF).exists(), reason="needs the test
 
 def test_every_operator_is_registered():
     names = __spark_entry__.queries()
-    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2:3].isdigit()} == set(range(1, 11)) and "pipeline" in names
+    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2:3].isdigit()} == set(range(1, 14)) and "pipeline" in names
     assert set(registry.oracle_sql()) <= set(registry.queries())
 
 

@@ -8,10 +8,11 @@ from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..session import forget, scratch, shared_dir, ship_package, stored
 
-__all__ = ["connected_components", "forget", "free_name", "id_remainder", "plain", "read_table", "scratch", "shared_dir", "short_batches", "stored", "whole_row", "worker_cache"]
+__all__ = ["comparable_id", "connected_components", "forget", "free_name", "id_remainder", "plain", "read_table", "scratch", "shared_dir", "short_batches", "stored", "whole_row", "worker_cache"]
 T = TypeVar("T")
 #: What the two bounds are where a session sets none.
 _BATCH_DEFAULTS = ("10000", "67108864b")
@@ -65,6 +66,12 @@ def id_remainder(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)
 
 
+def comparable_id(docs: DataFrame) -> Column:
+    """doc_id as a long, or as it stands where it is a struct that names more than an id."""
+    found = F.col("doc_id")
+    return (found if isinstance(docs.schema["doc_id"].dataType, StructType) else found.cast("long")).alias("doc_id")
+
+
 def free_name(taken: Iterable[str], wanted: str) -> str:
     """``wanted``, with underscores added until no column of the input has that name."""
     names = {x.lower() for x in taken}

@@ -59,7 +59,8 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
             found = [simhash(x or b"", size) for x in b.column(1).cast(pa.binary()).to_pylist()]
             yield pa.record_batch([b.column(0), pa.array(found, pa.int64())], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(common.comparable_id(docs), "text")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def _bit_statistics(fps: DataFrame) -> tuple[np.ndarray, int]:
@@ -201,16 +202,19 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
 def keep_one(docs: DataFrame, find: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
     """The documents with one of each group that ``find`` tells by component_id: the one with the smallest doc_id.
 
-    Rows with a null doc_id stay, for nothing could name the ones to go; of rows that share the kept
-    doc_id one stays; other columns pass through, whatever their names.
+    Rows are told apart by doc_id and a checksum of the text, so a text that is nobody's copy stays even if
+    other rows share its doc_id; of a group's rows with the smallest doc_id the one with the smallest checksum
+    stays, and of rows equal in both one stays. Rows with a null doc_id stay, for nothing could name the
+    ones to go. Other columns pass through, whatever their names.
     """
-    rows = docs.select(common.whole_row(docs), F.col("doc_id").cast("long").alias("id"))
-    found = common.stored(find(docs.select("doc_id", "text").filter("doc_id is not null")), "near")
-    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    left = rows.join(kept, F.col("id") == F.col("kept_id"), "left_semi")
+    copy = F.struct(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("check"))
+    rows = docs.select(common.whole_row(docs), F.when(F.col("doc_id").isNotNull(), copy).alias("copy"))
+    found = common.stored(find(docs.filter("doc_id is not null").select(copy.alias("doc_id"), "text")), "near")
+    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
+    left = rows.join(kept, F.col("copy") == F.col("kept"), "left_semi")
     if not found.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        left = left.dropDuplicates(["id"])
-    left = left.unionByName(rows.filter("id is null"))
+        left = left.dropDuplicates(["copy"])
+    left = left.unionByName(rows.filter("copy is null"))
     return left.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
