@@ -7,10 +7,12 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidewatch.config import AlertThresholds
-from tidewatch.functions import stats
+from tidewatch.functions import ordered, stats
 from tidewatch.operators import alerts, bootstrap, calibration, confusion, drift, missing, multiclass, ranking, split, versions
+from tidewatch.session import stored
 
 SCHEMA = (
     "patient_id string, study_date timestamp_ntz, model_version string, y_true int, y_pred_proba double, y_pred_binary int, "
@@ -285,28 +287,56 @@ def test_alert_rules(spark):
     assert alerts.check_alerts(spark, AlertThresholds(min_auroc=0.6), current_auroc=0.7).is_clean
 
 
-def test_jackknife_matches_leaving_rows_out():
+def plain_statistics(y, p):
+    """AUROC, AUPRC and Brier score by definition."""
+    pos, neg = p[y == 1], p[y == 0]
+    won = (pos[:, None] > neg[None, :]).sum() + (pos[:, None] == neg[None, :]).sum() / 2
+    precision = [(pos >= v).sum() / ((pos >= v).sum() + (neg >= v).sum()) for v in pos]
+    return {"auroc": won / (len(pos) * len(neg)), "auprc": np.mean(precision), "brier": ((p - y) ** 2).mean()}
+
+
+@pytest.mark.parametrize("slice_rows", [2, 50_000])
+def test_jackknife_matches_leaving_rows_out(spark, monkeypatch, slice_rows):
+    monkeypatch.setattr(bootstrap, "score_cuts", lambda groups: ordered.score_cuts(groups, slice_rows=slice_rows))
     rng = np.random.default_rng(2)
-    p = rng.integers(0, 8, 40) / 8
+    p = rng.integers(0, 9, 40) / 8
     y = (rng.random(40) < 0.4).astype(int)
-    s = np.unique(p)
-    counts = lambda yy, pp: (np.array([((pp == v) & (yy == 1)).sum() for v in s], float), np.array([((pp == v) & (yy == 0)).sum() for v in s], float))
-    pos, neg = counts(y, p)
-    for name in bootstrap.STATISTICS:
-        values, weights = bootstrap.jackknife(name, s, pos, neg)
-        for i in range(len(y)):
-            keep = np.arange(len(y)) != i
-            a, b = counts(y[keep], p[keep])
-            want = bootstrap._statistic(name, s, a[None, :], b[None, :])[0]
-            at = int(np.searchsorted(s, p[i])) + (0 if y[i] else len(s))
-            assert weights[at] > 0 and values[at] == pytest.approx(want)
+    df = spark.createDataFrame([row(i, int(a), b) for i, (a, b) in enumerate(zip(y, p, strict=True))], SCHEMA)
+    found = {r["metric"]: r for r in bootstrap.jackknife_moments(df).collect()}
+    keep = [np.arange(40) != i for i in range(40)]
+    for name, whole in plain_statistics(y, p).items():
+        left = np.array([plain_statistics(y[k], p[k])[name] for k in keep])
+        d = left - left.mean()
+        want = (40, whole, left.mean(), 40 * (d**2).sum(), 1600 * (d**3).sum())
+        assert tuple(found[name])[1:] == pytest.approx(want, rel=1e-6, abs=1e-9)
+    single = df.filter("y_true = 0")
+    assert [r["metric"] for r in bootstrap.jackknife_moments(single).collect()] == ["brier"]
+    assert bootstrap.jackknife_moments(df.limit(0)).collect() == []
 
 
 def test_bootstrap_holds_the_point(drifting):
-    df, _ = drifting
+    df, rows = drifting
     found = bootstrap.intervals(df, resamples=60)
     assert all(r["ci_lower"] < r["estimate"] < r["ci_upper"] and r["n_valid"] == 60 for r in found)
     assert found == bootstrap.intervals(df.repartition(3), resamples=60)
+    y, p = np.array([r[3] for r in rows]), np.array([r[4] for r in rows])
+    rng = np.random.default_rng(1)
+    drawn = [plain_statistics(y[i], p[i]) for i in (rng.integers(0, len(y), len(y)) for _ in range(200))]
+    for r in found:
+        low, high = np.quantile([d[r["metric"]] for d in drawn], [0.025, 0.975])
+        assert abs(r["ci_lower"] - low) < 0.5 * (high - low) and abs(r["ci_upper"] - high) < 0.5 * (high - low)
+    assert {r["estimate"] for r in bootstrap.intervals(df.limit(0), resamples=5)} == {None}
+
+
+def test_bootstrap_in_slices(drifting, monkeypatch):
+    df, _ = drifting
+    whole = {r["metric"]: r for r in bootstrap.intervals(df, resamples=300)}
+    monkeypatch.setattr(bootstrap, "score_cuts", lambda groups: ordered.score_cuts(groups, slice_rows=40))
+    for r in bootstrap.intervals(df, resamples=300):
+        other = whole[r["metric"]]
+        width = other["ci_upper"] - other["ci_lower"]
+        assert r["estimate"] == pytest.approx(other["estimate"]) and r["n_valid"] == 300
+        assert abs(r["ci_lower"] - other["ci_lower"]) < 0.3 * width and abs(r["ci_upper"] - other["ci_upper"]) < 0.3 * width
 
 
 def test_site_calibration(drifting):
@@ -369,3 +399,108 @@ def test_stored_tables_go_at_the_end_of_their_block(spark):
         kept = stored(spark.range(5), "tried")
         assert kept.count() == 5 and list(Path(shared_dir(spark)).glob("tried-*"))
     assert not list(Path(shared_dir(spark)).glob("tried-*"))
+
+
+def test_slices_are_equally_deep_where_scores_crowd(spark):
+    scores = spark.range(40_000).select((F.pow(F.rand(3), F.lit(8)) * 1e-5).alias("score"), (F.col("id") % 7).alias("np"), (F.col("id") % 3).alias("nn"))
+    groups = stored(scores, "groups")
+    cuts = ordered.score_cuts(groups, slice_rows=1000)
+    sizes = [r["count"] for r in ordered.with_slices(groups, cuts).groupBy("_slice").count().collect()]
+    assert len(sizes) == 40 and max(sizes) < 2 * 1000
+    for down in (False, True):
+        sums = [ordered.cumulated(groups, ["np", "nn"], descending=down, cuts=c).orderBy("score").collect() for c in (cuts, [])]
+        assert sums[0] == sums[1]
+    keyed = groups.withColumn("key", F.when(F.col("np") > 1, F.col("np")))
+    sums = [ordered.cumulated(keyed, ["nn"], ["key"], cuts=c).orderBy("score").collect() for c in (cuts, [])]
+    assert sums[0] == sums[1] and len(sums[0]) == 40_000
+    assert ordered.score_cuts(groups.limit(0)) == []
+
+
+@pytest.mark.parametrize("looked_at", [3, 10_000])
+def test_boundary_in_ranges(spark, monkeypatch, looked_at):
+    monkeypatch.setattr(split, "LOOKED_AT", looked_at)
+    monkeypatch.setattr(split, "RANGES", 5)
+    rows = [row(i, i % 2, i % 5 / 5, 0, patient=f"p{i * 37 % 101:03}", site=None if i % 3 else "A") for i in range(300)]
+    df = spark.createDataFrame([(*r, i // 4) for i, r in enumerate(rows)], SCHEMA + ", extra int")
+    for fraction in (0.1, 0.31, 0.5, 0.9):
+        phased = split.with_phase(df, fraction)
+        cut = split.cut(300, fraction, "drift")
+        key = lambda r: tuple((v is not None, v) for v in (r[:6] + r[6:7] + r[7:12]))
+        want = sorted((r[:12] for r in map(tuple, df.collect())), key=key)[:cut]
+        assert sorted((tuple(r)[:12] for r in phased.filter("phase = 'reference'").collect()), key=key) == want
+        assert phased.count() == 300
+
+
+def test_boundary_among_copies(spark, monkeypatch):
+    monkeypatch.setattr(split, "_CHUNK", 7)
+    same = [(*row(1, 1, 0.5, patient="p"), i // 30) for i in range(90)]
+    df = spark.createDataFrame(same, SCHEMA + ", extra int")
+    phased = split.with_phases(df, {"a": (0.4, "drift"), "b": (0.4, "baseline"), "c": (0.8, "drift")})
+    assert {tuple(r) for r in phased.groupBy("a", "b", "c").count().collect()} == {("reference", "reference", "reference", 36), ("current", "current", "reference", 36), ("current", "current", "current", 18)}
+    assert {r["extra"]: r["count"] for r in phased.groupBy("extra").count().collect()} == {0: 30, 1: 30, 2: 30}
+    window = split.with_phases(df, {"a": (0.4, "drift")})._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in window
+
+
+def test_fit_of_separated_and_plain_scores(spark):
+    rng = np.random.default_rng(4)
+    sets = {"plain": (rng.random(400) < 0.3, rng.random(400)), "apart": (np.arange(60) >= 30, np.where(np.arange(60) >= 30, 0.9, 0.1)), "far": (np.arange(60) >= 30, np.linspace(1e-7, 1 - 1e-7, 60))}
+    rows = [row(i, int(a), float(b), site=name) for name, (y, p) in sets.items() for i, (a, b) in enumerate(zip(y, p, strict=True))]
+    found = {r["site"]: r for r in calibration.intercept_slope(spark.createDataFrame(rows, SCHEMA), ["site"]).collect()}
+    for name, (y, p) in sets.items():
+        q = np.clip(p, 1e-6, 1 - 1e-6)
+        a, b = calibration._newton(np.log(q / (1 - q)), y.astype(float), 1 - y.astype(float))
+        assert (found[name]["intercept"], found[name]["slope"]) == pytest.approx((a, b), rel=1e-6, abs=1e-6)
+
+
+def paired_rows(seed):
+    """Patients with several rows a version; scores repeat between patients, not within one."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for i in range(60):
+        y = int(rng.random() < 0.5)
+        for version in ("v1", "v2"):
+            for p in rng.choice(12, rng.integers(1, 5), replace=False) / 12:
+                rows.append(row(len(rows), y, min(1.0, p + 0.2 * y), version=version, patient=f"q{i:03}"))
+    return rows
+
+
+def plain_placement(rows):
+    pairs = sorted((a[0], a[4], b[4], a[3]) for a in rows for b in rows if a[0] == b[0] and a[2] == "v1" and b[2] == "v2")
+    pos, neg = [x for x in pairs if x[3] == 1], [x for x in pairs if x[3] == 0]
+    p, n = len(pos), len(neg)
+    values = []
+    for s in (1, 2):
+        by_score = {}
+        for i, x in enumerate(pos):
+            by_score.setdefault(x[s], []).append(i)
+        v = np.empty(p)
+        for score, own in by_score.items():
+            above, reached = sum(x[s] > score for x in pos), sum(x[s] >= score for x in neg)
+            own.sort(key=lambda i: pos[i])
+            for nth, i in enumerate(own, 1):
+                v[i] = (above + nth) / p - reached / n
+        values.append(v)
+    a, b = values
+    return p, n, np.var(a, ddof=1) / n, np.var(b, ddof=1) / n, ((a - a.mean()) * (b - b.mean())).mean() / n
+
+
+@pytest.mark.parametrize("tied", [0, 100_000])
+def test_placements_of_patients_with_many_rows(spark, monkeypatch, tied):
+    monkeypatch.setattr(versions, "TIED", tied)
+    rows = paired_rows(6)
+    found = versions.delong(spark.createDataFrame(rows, SCHEMA)).first()
+    p, n, var_a, var_b, cov = plain_placement(rows)
+    assert (found["n_pos"], found["n_neg"]) == (p, n)
+    assert (found["var_a"], found["var_b"], found["cov_ab"]) == pytest.approx((var_a, var_b, cov))
+
+
+def test_a_patient_with_very_many_rows(spark):
+    """Half the rows have one score, and one patient has 10^5 rows: 2.5 x 10^9 pairs that are never made."""
+    ids = spark.range(100_000).withColumn("half", F.col("id") % 2)
+    hot = ids.select(F.lit("hot").alias("patient_id"), (F.col("half") + 1).cast("string").alias("model_version"), F.lit(1).alias("y_true"), F.when(F.col("id") % 4 < 2, 0.5).otherwise(F.col("id") / 100_000).alias("y_pred_proba"))
+    others = spark.range(200).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("patient_id"), F.explode(F.array(F.lit("1"), F.lit("2"))).alias("model_version"), F.lit(0).alias("y_true"), (F.col("id") / 500).alias("y_pred_proba"))
+    df = hot.unionByName(others)
+    assert versions.pair_summary(df).select("n_pairs", "n_patients", "comparable").first() == (2_500_000_200, 201, True)
+    found = {m: versions.delong(df, m).first() for m in ("placement", "delong1988")}
+    assert {r["n_pos"] for r in found.values()} == {2_500_000_000} and found["placement"]["auroc_a"] == pytest.approx(found["delong1988"]["auroc_a"])

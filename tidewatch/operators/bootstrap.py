@@ -1,73 +1,156 @@
 """BCa bootstrap intervals for AUROC, AUPRC and the Brier score.
 
-Rows with equal score and label are interchangeable, so a replicate draws counts for these groups, and
-the jackknife has a value per group. The estimates are always those of the exact scores.
+Rows with equal score and label are interchangeable, so a replicate draws counts for these groups: first how many
+rows fall to each slice of scores and each label, which every task draws alike from the replicate's seed, then
+the groups' counts inside a slice, in the slice's own task. The first draw gives the sums over lower slices
+too, so each task adds its whole part of a statistic. The jackknife is in closed form from cumulative sums.
+Neither brings the scores to the driver or to one task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from dataclasses import dataclass
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import BOOTSTRAP_RESAMPLES, CONFIDENCE, SEED
+from ..functions.ordered import cumulated, score_cuts, with_slices
+from ..session import stored
 from . import ranking
 
 STATISTICS = ("auroc", "auprc", "brier")
+#: Tasks that replicates are spread over where there are few slices.
+TASKS = 64
+
+
+@dataclass(frozen=True)
+class _Placed:
+    """Counts by distinct score with their cumulative sums, stored, and what is known of the whole."""
+
+    groups: DataFrame
+    cuts: list[float]
+    n_pos: int
+    n_neg: int
+    points: dict[str, float | None]
+
+
+def _placed(df: DataFrame) -> _Placed:
+    groups = stored(ranking.score_groups(df), "scores")
+    cuts = score_cuts(groups)
+    placed = stored(cumulated(groups, ["np", "nn"], cuts=cuts), "placed")
+    one = placed.agg(F.coalesce(F.sum("np"), F.lit(0)).alias("p"), F.coalesce(F.sum("nn"), F.lit(0)).alias("n")).first()
+    p, n = one["p"], one["n"]
+    np_, nn, s = F.col("np"), F.col("nn"), F.col("score")
+    sums = placed.agg(
+        F.sum(np_ * (F.col("before_nn") + nn / 2.0)).alias("auroc"), F.sum(_share(np_ * _tp(p), _tp(p) + _fp(n))).alias("auprc"), F.sum(np_ * (1 - s) * (1 - s) + nn * s * s).alias("brier")
+    ).first()
+    over = {"auroc": float(p) * n, "auprc": p, "brier": p + n}
+    return _Placed(placed, cuts, p, n, {m: sums[m] / over[m] if over[m] else None for m in STATISTICS})
+
+
+def _tp(n_pos: int) -> Column:
+    """Positives at a score or above."""
+    return n_pos - F.col("before_np")
+
+
+def _fp(n_neg: int) -> Column:
+    return n_neg - F.col("before_nn")
+
+
+def _share(a: Column, b: Column) -> Column:
+    return F.when(b > 0, a / b).otherwise(0.0)
+
+
+def _left_out(at: _Placed, metric: str) -> DataFrame | None:
+    """n, d: for each score and label, its rows and by how much the statistic changes without one of them. None where that is undefined."""
+    p, n, whole, total = at.n_pos, at.n_neg, at.points[metric], at.n_pos + at.n_neg
+    groups, np_, nn, s = at.groups, F.col("np"), F.col("nn"), F.col("score")
+    if whole is None or total < 2 or metric != "brier" and (p < 2 or metric == "auroc" and n < 2):
+        return None
+    if metric == "brier":
+        pos, neg = (whole - (1 - s) * (1 - s)) / (total - 1), (whole - s * s) / (total - 1)
+    elif metric == "auroc":
+        pos = (whole - (F.col("before_nn") + nn / 2.0) / n) / (p - 1)
+        neg = (whole - (p - F.col("before_np") - np_ / 2.0) / p) / (n - 1)
+    else:
+        tp, fp = _tp(p), _fp(n)
+        parts = groups.select("np", "nn", "score", "before_np", "before_nn", _share(np_ * tp, tp + fp).alias("a"), _share(np_ * tp, tp + fp - 1).alias("b"), _share(np_ * (tp - 1), tp - 1 + fp).alias("c"))
+        groups = cumulated(stored(parts, "parts"), ["a", "b", "c"], cuts=at.cuts)
+        a, b, c = F.col("a"), F.col("b"), F.col("c")
+        above = whole * p - F.col("before_a") - a  # from the higher scores
+        neg = (above + F.col("before_b") + b) / p - whole
+        pos = (above + _share((np_ - 1) * (tp - 1), tp - 1 + fp) + F.col("before_c")) / (p - 1) - whole
+    both = F.array(F.struct(np_.alias("n"), pos.alias("d")), F.struct(nn.alias("n"), neg.alias("d")))
+    return groups.select(F.inline(both)).filter("n > 0")
+
+
+def _moments(at: _Placed, metric: str) -> tuple[float, float, float] | None:
+    """(mean, sum of squares, sum of cubes) of the statistic with one row left out, the sums around the mean."""
+    rows = _left_out(at, metric)
+    if rows is None:
+        return None
+    d, n = F.col("d"), F.col("n")
+    one = rows.agg(F.sum(n * d).alias("m1"), F.sum(n * d * d).alias("m2"), F.sum(n * d * d * d).alias("m3")).first()
+    w = at.n_pos + at.n_neg
+    mean = one["m1"] / w
+    return at.points[metric] + mean, one["m2"] - w * mean**2, one["m3"] - 3 * mean * one["m2"] + 2 * w * mean**3
+
+
+def jackknife_moments(df: DataFrame, names: tuple[str, ...] = STATISTICS) -> DataFrame:
+    """metric, n, estimate, mean, spread, skew of the values with one row left out: mean, n x sum of squares, n^2 x sum of
+    cubes around it. A metric that is undefined without some row has no row."""
+    at = _placed(df)
+    w = at.n_pos + at.n_neg
+    found = {m: x for m in names if (x := _moments(at, m)) is not None}
+    rows = [(m, w, at.points[m], mean, w * square, w * w * cube) for m, (mean, square, cube) in found.items()]
+    return df.sparkSession.createDataFrame(rows, "metric string, n long, estimate double, mean double, spread double, skew double")
+
+
+def _replicates(at: _Placed, resamples: int, seed: int) -> pd.DataFrame:
+    """replicate and its statistics; NaN where undefined."""
+    sliced = with_slices(at.groups.select("score", "np", "nn"), at.cuts)
+    totals = sliced.groupBy("_slice").agg(F.sum("np").alias("np"), F.sum("nn").alias("nn")).toPandas().sort_values("_slice")
+    place = {int(x): i for i, x in enumerate(totals["_slice"])}
+    cells = np.concatenate([totals["np"].to_numpy(float), totals["nn"].to_numpy(float)])
+    size, slices = int(cells.sum()), len(totals)
+    blocks = max(1, min(resamples, TASKS // slices))
+
+    def draw(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("score")
+        at_slice, block = place[int(rows["_slice"].iloc[0])], int(rows["_block"].iloc[0])
+        score, odds = rows["score"].to_numpy(), {c: rows[c].to_numpy(float) for c in ("np", "nn")}
+        found = []
+        for i in range(block, resamples, blocks):
+            top = np.random.default_rng([seed, i]).multinomial(size, cells / cells.sum())
+            top_pos, top_neg = top[:slices], top[slices:]
+            own = np.random.default_rng([seed, i, at_slice + 1])
+            pos, neg = (
+                (own.multinomial(n[at_slice], odds[c] / odds[c].sum()) if odds[c].sum() else np.zeros(len(rows), int)).astype(float) for c, n in (("np", top_pos), ("nn", top_neg))
+            )
+            below = top_neg[:at_slice].sum() + np.cumsum(neg) - neg
+            tp = top_pos[at_slice + 1 :].sum() + np.cumsum(pos[::-1])[::-1]
+            fp = top_neg[at_slice + 1 :].sum() + np.cumsum(neg[::-1])[::-1]
+            found.append((i, float(pos @ (below + neg / 2)), float(pos @ (tp / np.maximum(tp + fp, 1))), float(pos @ (1 - score) ** 2 + neg @ score**2), float(pos.sum()), float(neg.sum())))
+        return pd.DataFrame(found, columns=["replicate", "auroc", "auprc", "brier", "p", "n"])
+
+    dealt = sliced.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    parts = dealt.groupBy("_slice", "_block").applyInPandas(draw, "replicate long, auroc double, auprc double, brier double, p double, n double")
+    sums = parts.groupBy("replicate").agg(*(F.sum(c).alias(c) for c in ("auroc", "auprc", "brier", "p", "n"))).toPandas().sort_values("replicate")
+    with np.errstate(all="ignore"):
+        return pd.DataFrame({"replicate": sums["replicate"], "auroc": sums["auroc"] / (sums["p"] * sums["n"]), "auprc": sums["auprc"] / sums["p"], "brier": sums["brier"] / (sums["p"] + sums["n"])})
 
 
-def _statistic(name: str, score: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> np.ndarray:
-    """Values for each row of counts (replicates x score groups, in rising order of score); NaN where undefined."""
-    p, n = pos.sum(axis=1), neg.sum(axis=1)
-    with np.errstate(all="ignore"):
-        if name == "brier":
-            return (pos @ (1 - score) ** 2 + neg @ score**2) / (p + n)
-        if name == "auroc":
-            below = np.cumsum(neg, axis=1) - neg
-            return np.where((p > 0) & (n > 0), (pos * (below + neg / 2)).sum(axis=1) / (p * n), np.nan)
-        tp, fp = np.cumsum(pos[:, ::-1], axis=1), np.cumsum(neg[:, ::-1], axis=1)
-        precision = np.where(tp + fp > 0, tp / np.maximum(tp + fp, 1), 0)
-        return np.where(p > 0, (pos[:, ::-1] * precision).sum(axis=1) / p, np.nan)
-
-
-def jackknife(name: str, score: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(value with one row left out, number of such rows) for each group and label, in closed form."""
-    p, n = pos.sum(), neg.sum()
-    total = p + n
-    whole = float(_statistic(name, score, pos[None, :], neg[None, :])[0])
-    with np.errstate(all="ignore"):
-        if name == "brier":
-            drop_pos, drop_neg = (total * whole - (1 - score) ** 2) / (total - 1), (total * whole - score**2) / (total - 1)
-        elif name == "auroc":
-            won = (np.cumsum(neg) - neg + neg / 2) / n
-            lost = (p - np.cumsum(pos) + pos / 2) / p
-            drop_pos, drop_neg = (whole * p - won) / (p - 1), (whole * n - lost) / (n - 1)
-        else:
-            np_, nn_ = pos[::-1], neg[::-1]
-            tp, fp = np.cumsum(np_), np.cumsum(nn_)
-            safe = lambda a, b: np.where(b > 0, a / np.where(b > 0, b, 1), 0)
-            a, b, c = safe(np_ * tp, tp + fp), safe(np_ * tp, tp + fp - 1), safe(np_ * (tp - 1), tp - 1 + fp)
-            above = np.cumsum(a) - a
-            b_from, c_after = np.cumsum(b[::-1])[::-1], np.cumsum(c[::-1])[::-1] - c
-            drop_neg = ((above + b_from) / p)[::-1]
-            drop_pos = ((above + safe((np_ - 1) * (tp - 1), tp - 1 + fp) + c_after) / (p - 1))[::-1]
-    return np.concatenate([drop_pos, drop_neg]), np.concatenate([pos, neg])
-
-
-def bca_interval(point: float, replicates: np.ndarray, left_out: np.ndarray, weights: np.ndarray, confidence: float) -> tuple[float, float]:
-    """Bias-corrected and accelerated bounds."""
+def bca_interval(point: float, replicates: np.ndarray, moments: tuple[float, float, float] | None, confidence: float) -> tuple[float, float]:
+    """Bias-corrected and accelerated bounds; without moments, only bias-corrected."""
     normal, r = NormalDist(), len(replicates)
     share = min(max(float((replicates < point).mean()), 1 / (2 * r)), 1 - 1 / (2 * r))
     z0 = normal.inv_cdf(share)
-    used = weights > 0
-    mean = np.average(left_out[used], weights=weights[used])
-    d = mean - left_out[used]
-    spread = float((weights[used] * d**2).sum())
-    a = float((weights[used] * d**3).sum()) / (6 * spread**1.5) if spread > 0 else 0.0
+    _, square, cube = moments or (0.0, 0.0, 0.0)
+    a = -cube / (6 * square**1.5) if square > 0 else 0.0
     bounds = []
     for z in (normal.inv_cdf((1 - confidence) / 2), normal.inv_cdf((1 + confidence) / 2)):
         q = normal.cdf(z0 + (z0 + z) / (1 - a * (z0 + z)))
@@ -75,49 +158,20 @@ def bca_interval(point: float, replicates: np.ndarray, left_out: np.ndarray, wei
     return bounds[0], bounds[1]
 
 
-def intervals(df: DataFrame, names: tuple[str, ...] = STATISTICS, resamples: int = BOOTSTRAP_RESAMPLES, confidence: float = CONFIDENCE, seed: int = SEED, grid: int | None = None) -> list[dict]:
+def intervals(df: DataFrame, names: tuple[str, ...] = STATISTICS, resamples: int = BOOTSTRAP_RESAMPLES, confidence: float = CONFIDENCE, seed: int = SEED) -> list[dict]:
     """metric, estimate, ci_lower, ci_upper, n_valid for each statistic.
 
-    The counts by distinct score (24 bytes each) go to the driver and from there to every task; the
-    replicates are spread over the executors, each with a seed of its own. For tables with more distinct
-    scores than a task's memory holds, ``grid`` rounds the scores of the intervals, and of nothing else,
-    to so many steps.
+    To the driver come the slices' totals (4,096 at most) and a few numbers for each replicate. Equal tables give
+    equal intervals, however their rows are dealt.
     """
-    rows = df.filter("y_pred_proba is not null and y_true is not null")
-    score = F.round(F.col("y_pred_proba") * grid) / grid if grid else F.col("y_pred_proba")
-    y = F.col("y_true")
-    groups = rows.groupBy(score.alias("score")).agg(F.count_if(y == 1).alias("np"), F.count_if(y == 0).alias("nn")).orderBy("score").toPandas()
-    s, pos, neg = groups["score"].to_numpy(dtype=float), groups["np"].to_numpy(dtype=float), groups["nn"].to_numpy(dtype=float)
-    total = int(pos.sum() + neg.sum())
-    if total == 0:
+    at = _placed(df)
+    if not at.n_pos + at.n_neg:
         return [{"metric": n, "estimate": None, "ci_lower": None, "ci_upper": None, "n_valid": 0} for n in names]
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast((s, pos, neg))
-    statistic = _statistic
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, p, n = shared.value
-        odds = np.concatenate([p, n]) / (p.sum() + n.sum())
-        for b in batches:
-            for i in b["id"]:
-                w = np.random.default_rng([seed, int(i)]).multinomial(int(p.sum() + n.sum()), odds).astype(float)[None, :]
-                values = [float(statistic(m, own, w[:, : len(p)], w[:, len(p) :])[0]) for m in names]
-                yield pd.DataFrame({"id": i, "metric": list(names), "value": values})
-
-    points = _points(rows) if grid else {m: float(statistic(m, s, pos[None, :], neg[None, :])[0]) for m in names}
-    drawn = spark.range(resamples, numPartitions=min(resamples, 64)).mapInPandas(draw, "id long, metric string, value double").toPandas()
-    found = []
+    drawn, found = _replicates(at, resamples, seed), []
     for name in names:
-        point = points[name]
-        values = drawn.loc[drawn["metric"] == name, "value"].dropna().to_numpy()
-        low = high = None
-        if np.isfinite(point) and len(values) and total > 1:
-            low, high = (point, point) if np.ptp(values) == 0 else bca_interval(point, values, *jackknife(name, s, pos, neg), confidence)
-        found.append({"metric": name, "estimate": point if np.isfinite(point) else None, "ci_lower": low, "ci_upper": high, "n_valid": len(values)})
+        point, low, high = at.points[name], None, None
+        values = drawn[name].replace([np.inf, -np.inf], np.nan).dropna().to_numpy()
+        if point is not None and len(values) and at.n_pos + at.n_neg > 1:
+            low, high = (point, point) if np.ptp(values) == 0 else bca_interval(point, values, _moments(at, name), confidence)
+        found.append({"metric": name, "estimate": point, "ci_lower": low, "ci_upper": high, "n_valid": len(values)})
     return found
-
-
-def _points(rows: DataFrame) -> dict[str, float]:
-    """The statistics of the exact scores, NaN where undefined."""
-    found = {"auroc": ranking.auroc(rows).first()["auroc"], "auprc": ranking.auprc(rows).first()["auprc"], "brier": ranking.brier(rows).first()["brier"]}
-    return {k: float("nan") if v is None else float(v) for k, v in found.items()}

@@ -4,19 +4,25 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..config import CALIBRATION_BINS, REFERENCE_FRACTION, SITE_MIN_N
 from ..functions import stats
-from ..functions.ordered import cumulated
+from ..functions.ordered import cumulated, score_cuts
 from ..session import stored
 from .split import with_phase
 
 RIDGE = 1e-6
 CLIP = 1e-6
 MAX_STEPS = 200
+#: Cells of the logit in which a first fit sums the scores: so many rows at most for each key.
+CELLS = 16_384
+#: A Newton step this small (over 1 + the point) leaves an error of its square, so no further look is needed.
+LAST_STEP = 1e-6
 
 
 def calibration_bins(df: DataFrame, bins: int = CALIBRATION_BINS, keys: list[str] | None = None) -> DataFrame:
@@ -56,7 +62,7 @@ def _quantiles(groups: DataFrame, shares: list[float]) -> list[float]:
     ranks = sorted({r for q in shares for r in (math.floor(q * (total - 1)), math.ceil(q * (total - 1)))})
     below = F.col("before_n")
     hit = F.filter(F.array(*map(F.lit, ranks)), lambda r: (r >= below) & (r < below + F.col("n")))
-    value = {r["rank"]: r["score"] for r in cumulated(groups, ["n"]).select("score", F.explode(hit).alias("rank")).collect()}
+    value = {r["rank"]: r["score"] for r in cumulated(groups, ["n"], cuts=score_cuts(groups)).select("score", F.explode(hit).alias("rank")).collect()}
     found = []
     for q in shares:
         at = q * (total - 1)
@@ -65,11 +71,56 @@ def _quantiles(groups: DataFrame, shares: list[float]) -> list[float]:
     return found
 
 
+def _first_fits(groups: DataFrame, keys: list[str], kinds: list[StructField]) -> DataFrame:
+    """keys, pos, neg, spread (of p), a, b: a fit to the cells' mean logits, which is off by about the square of a cell's width."""
+    limit = math.log((1 - CLIP) / CLIP)
+    cell = F.floor((F.col("x") / limit + 1) * (CELLS / 2)).alias("_cell")
+    n = F.col("pos") + F.col("neg")
+    cells = groups.groupBy(*keys, cell).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), (F.sum(n * F.col("x")) / F.sum(n)).alias("x"), F.min("p").alias("low"), F.max("p").alias("high"))
+
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        x, pos, neg = (rows[c].to_numpy() for c in ("x", "pos", "neg"))
+        ab = _newton(x, pos, neg)
+        own = {"pos": pos.sum(), "neg": neg.sum(), "spread": rows["high"].max() - rows["low"].min(), "a": ab[0], "b": ab[1]}
+        return pd.DataFrame([{k: rows[k].iloc[0] for k in keys} | own])
+
+    double = [StructField(c, DoubleType()) for c in ("pos", "neg", "spread", "a", "b")]
+    return cells.groupBy(*(keys or [F.lit(0).alias("_all")])).applyInPandas(fit, StructType([*kinds, *double]))
+
+
+def _newton(x: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> tuple[float, float]:
+    """Intercept and slope of the ridged logistic fit to weighted points; (0, 1) where Newton's method finds none."""
+    n = pos + neg
+
+    def loss(ab: np.ndarray) -> float:
+        eta = ab[0] + ab[1] * x
+        return float(pos @ np.logaddexp(0, -eta) + neg @ np.logaddexp(0, eta) + RIDGE * ab @ ab)
+
+    ab = np.array([0.0, 1.0])
+    for _ in range(MAX_STEPS):
+        eta = np.clip(ab[0] + ab[1] * x, -700, 700)
+        q = 1 / (1 + np.exp(-eta))
+        off, bend = n * q - pos, n * q * (1 - q)
+        grad = np.array([off.sum(), off @ x]) + 2 * RIDGE * ab
+        curve = np.array([[bend.sum(), bend @ x], [bend @ x, bend @ x**2]]) + 2 * RIDGE * np.eye(2)
+        step = np.linalg.solve(curve, grad)
+        here, shrink = loss(ab), 1.0
+        while shrink > 1e-10 and not loss(ab - shrink * step) <= here + 1e-12 * abs(here):
+            shrink /= 2
+        ab = ab - shrink * step
+        if not np.isfinite(ab).all():
+            return 0.0, 1.0
+        if np.abs(shrink * step).max() < 1e-10 * (1 + np.abs(ab).max()):
+            break
+    return float(ab[0]), float(ab[1])
+
+
 def intercept_slope(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """keys, intercept, slope of the outcome's logistic fit on the score's logit; NULL with fewer than 3 rows, one class or one score.
 
-    Newton's method on the ridged loss: rows are counted by score once, and each step is one aggregate
-    of these counts; the driver holds two numbers for each key.
+    Rows are counted by score once. Sums over CELLS cells of the logit give each key a first fit, in its own
+    task; from there Newton's method on the ridged loss takes one aggregate of the exact counts a step, and one
+    step is enough as a rule. The driver holds a few numbers for each key.
     """
     keys = keys or []
     p = stats.clip(F.col("y_pred_proba"), CLIP, 1 - CLIP)
@@ -79,9 +130,10 @@ def intercept_slope(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     spark = df.sparkSession
     kinds = [df.schema[k] for k in keys]
     fitted = StructType([*kinds, StructField("a", DoubleType()), StructField("b", DoubleType())])
-    sized = groups.groupBy(*keys).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), (F.max("p") - F.min("p")).alias("spread")).collect()
+    sized = _first_fits(groups, keys, kinds).collect()
     every = [tuple(r[k] for k in keys) for r in sized]
-    wanted = {tuple(r[k] for k in keys) for r in sized if r["pos"] and r["neg"] and r["pos"] + r["neg"] >= 3 and r["spread"] > 1e-12}
+    starts = {tuple(r[k] for k in keys): (r["a"], r["b"]) for r in sized if r["pos"] and r["neg"] and r["pos"] + r["neg"] >= 3 and r["spread"] > 1e-12}
+    wanted = set(starts)
 
     def look(points: dict[tuple, tuple[float, float]]) -> dict[tuple, tuple[float, ...]]:
         """Loss, its slope and its curvature at a point for each key."""
@@ -102,26 +154,30 @@ def intercept_slope(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
             out[k] = (r["loss"] + RIDGE * (a * a + b * b), r["g0"] + 2 * RIDGE * a, r["g1"] + 2 * RIDGE * b, r["h0"] + 2 * RIDGE, r["h1"], r["h2"] + 2 * RIDGE)
         return out
 
-    at = dict.fromkeys(wanted, (0.0, 1.0))
+    at = dict(starts)
     here = look(at) if at else {}
     moving, shrink = set(wanted), dict.fromkeys(wanted, 1.0)
     for _ in range(MAX_STEPS):
         if not moving:
             break
-        tried, size = {}, {}
+        tried, size, last = {}, {}, set()
         for k in moving:
             _, g0, g1, h0, h1, h2 = here[k]
             det = h0 * h2 - h1 * h1
             step = ((h2 * g0 - h1 * g1) / det, (h0 * g1 - h1 * g0) / det)
             tried[k] = tuple(c - shrink[k] * s for c, s in zip(at[k], step, strict=True))
             size[k] = max(abs(shrink[k] * s) for s in step)
+            if size[k] < LAST_STEP * (1 + max(map(abs, at[k]))):
+                at[k] = tried.pop(k)
+                last.add(k)
+        moving -= last
+        if not tried:
+            break
         for k, seen in look(tried).items():
-            if seen[0] > here[k][0] + 1e-12 * abs(here[k][0]) and shrink[k] > 1e-10:
+            if not seen[0] <= here[k][0] + 1e-12 * abs(here[k][0]) and shrink[k] > 1e-10:
                 shrink[k] /= 2
                 continue
             at[k], here[k], shrink[k] = tried[k], seen, 1.0
-            if size[k] < 1e-10 * (1 + max(map(abs, at[k]))):
-                moving.discard(k)
     done = [(*k, *(at[k] if k in at and all(map(math.isfinite, at[k])) else (None, None))) for k in every]
     return spark.createDataFrame(done, StructType([*kinds, StructField("intercept", DoubleType()), StructField("slope", DoubleType())]))
 

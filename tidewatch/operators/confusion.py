@@ -73,15 +73,14 @@ def stratified(df: DataFrame, stratifiers: list[str] | tuple[str, ...] = STRATIF
     and its rates NULL.
     """
     present = [c for c in stratifiers if c in df.columns]
-    pairs = F.array(*(F.struct(F.lit(c).alias("stratifier"), F.col(c).cast("string").alias("level")) for c in present))
-    slim = df.filter("y_true is not null and y_pred_binary is not null").groupBy(*present, "y_true", "y_pred_binary").agg(F.count("*").alias("w"))
-    long = slim.select("y_true", "y_pred_binary", "w", F.inline(pairs)).filter("level is not null")
-    y, p, w = F.col("y_true"), F.col("y_pred_binary"), F.col("w")
+    return stratified_counts(df.filter("y_true is not null and y_pred_binary is not null").groupBy(*present).agg(*counts()), present, min_n)
 
-    def cell(a: int, b: int) -> Column:
-        return F.coalesce(F.sum(F.when((y == a) & (p == b), w)), F.lit(0))
 
-    found = long.groupBy("stratifier", "level").agg(F.sum("w").alias("n"), cell(1, 1).alias("tp"), cell(0, 1).alias("fp"), cell(0, 0).alias("tn"), cell(1, 0).alias("fn"))
+def stratified_counts(slim: DataFrame, present: list[str], min_n: int = SUBGROUP_MIN_N) -> DataFrame:
+    """The same from counts (n, tp, fp, tn, fn) by all stratifiers."""
+    pairs = F.array(*(F.struct(F.lit(c).alias("stratifier"), F.col(c).cast("string").alias("level")) for c in present))
+    cells = ("n", "tp", "fp", "tn", "fn")
+    found = slim.select(*cells, F.inline(pairs)).filter("level is not null").groupBy("stratifier", "level").agg(*(F.sum(c).alias(c) for c in cells)).filter("n > 0")
     enough = F.col("n") >= min_n
     found = found.withColumns({c: F.when(enough, F.col(c)).otherwise(0) for c in ("tp", "fp", "tn", "fn")})
     r = rates()

@@ -7,19 +7,20 @@ from pyspark.sql import functions as F
 
 from ..config import CUSUM_THRESHOLD, HISTOGRAM_BINS, REFERENCE_FRACTION, ROLLING_MIN_SAMPLES, ROLLING_WINDOW_DAYS, AlertThresholds
 from ..functions import stats
-from ..functions.ordered import cumulated
+from ..functions.ordered import cumulated, score_cuts
 from ..session import stored
 from .ranking import grouped_auroc
-from .split import with_phase
+from .split import phase_counts
 
 PSI_FLOOR = 1e-6
 KL_FLOOR = 1e-10
 
 
 def histogram(phased: DataFrame, bins: int = HISTOGRAM_BINS, weight: str | None = None) -> DataFrame:
-    """bin, reference, current: counts in left-closed bins of equal width, for every bin; ``weight`` names a column that counts rows."""
+    """bin, reference, current: counts in left-closed bins of equal width, for every bin; ``weight`` names a column that counts rows. A column ``bin`` of ``phased`` stands."""
     p, w = F.col("phase"), F.col(weight) if weight else F.lit(1)
-    own = phased.groupBy(stats.left_closed_bin(F.col("y_pred_proba"), bins).alias("bin")).agg(
+    place = F.col("bin") if "bin" in phased.columns else stats.left_closed_bin(F.col("y_pred_proba"), bins)
+    own = phased.groupBy(place.alias("bin")).agg(
         *(F.sum(F.when(p == x, w).otherwise(0)).alias(x) for x in ("reference", "current"))
     )
     spine = phased.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
@@ -46,12 +47,14 @@ def score_drift(phased: DataFrame, bins: int = HISTOGRAM_BINS, minor: float | No
     return found.select("reference_n", "current_n", "psi", level.alias("psi_level"), "kl_divergence")
 
 
-def distances(phased: DataFrame) -> DataFrame:
-    """wasserstein, ks_statistic, reference_n, current_n from the two distribution functions; NULL if a side is empty."""
-    p = F.col("phase")
-    groups = phased.filter("y_pred_proba is not null").groupBy(F.col("y_pred_proba").alias("score")).agg(F.count_if(p == "reference").alias("r"), F.count_if(p == "current").alias("c"))
+def distances(phased: DataFrame, weight: str | None = None) -> DataFrame:
+    """wasserstein, ks_statistic, reference_n, current_n from the two distribution functions; NULL if a side is empty. ``weight`` names a column that counts rows."""
+    p, w = F.col("phase"), F.col(weight) if weight else F.lit(1)
+    side = lambda x: F.sum(F.when(p == x, w).otherwise(0))
+    groups = phased.filter("y_pred_proba is not null").groupBy(F.col("y_pred_proba").alias("score")).agg(side("reference").alias("r"), side("current").alias("c"))
+    groups = stored(groups, "scores")
     totals = groups.agg(F.sum("r").alias("rn"), F.sum("c").alias("cn"))
-    up = cumulated(groups, ["r", "c"]).crossJoin(F.broadcast(totals))
+    up = cumulated(groups, ["r", "c"], cuts=score_cuts(groups)).crossJoin(F.broadcast(totals))
     gap = F.try_divide((F.col("before_r") + F.col("r")).cast("double"), F.col("rn")) - F.try_divide((F.col("before_c") + F.col("c")).cast("double"), F.col("cn"))
     # the gap holds from a score to the next one; its area follows from summing score differences by parts:
     # the integral is the sum of |gap| x (next - score), and the gap before a score is known at that score
@@ -62,8 +65,14 @@ def distances(phased: DataFrame) -> DataFrame:
 
 def drift_report(df: DataFrame, fraction: float = REFERENCE_FRACTION, bins: int = HISTOGRAM_BINS) -> DataFrame:
     """One row: sizes, PSI and its level, KL divergence, Wasserstein distance, KS statistic."""
-    phased = with_phase(df, fraction, "drift")
-    return score_drift(phased, bins).crossJoin(F.broadcast(distances(phased).select("wasserstein", "ks_statistic")))
+    counted = score_counts(df, fraction)
+    return score_drift(counted, bins, weight="n").crossJoin(F.broadcast(distances(counted, "n").select("wasserstein", "ks_statistic")))
+
+
+def score_counts(df: DataFrame, fraction: float = REFERENCE_FRACTION, bins: int | None = None) -> DataFrame:
+    """phase, y_pred_proba (or bin, if ``bins`` is given), n rows: in one scan, and one of the boundary's day."""
+    by = {"bin": stats.left_closed_bin(F.col("y_pred_proba"), bins)} if bins else {"y_pred_proba": F.col("y_pred_proba")}
+    return phase_counts(df, {"phase": (fraction, "drift")}, by, {"n": F.lit(1)})[0]
 
 
 def rolling_auroc(df: DataFrame, window_days: int = ROLLING_WINDOW_DAYS, min_samples: int = ROLLING_MIN_SAMPLES) -> DataFrame:
@@ -92,7 +101,7 @@ def rolling_auroc(df: DataFrame, window_days: int = ROLLING_WINDOW_DAYS, min_sam
     copies = groups.withColumn("window", F.explode(F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<long>"))))
     copies = copies.filter((F.col("_age") >= starts(F.col("window"))) & (F.col("_age") < starts(F.col("window")) + window_days))
     counts = stored(copies.groupBy("window", "score").agg(F.sum("np").alias("np"), F.sum("nn").alias("nn")), "windows")
-    own = grouped_auroc(counts, ["window"]).withColumn("n", F.col("n_pos") + F.col("n_neg"))
+    own = grouped_auroc(counts, ["window"], score_cuts(counts)).withColumn("n", F.col("n_pos") + F.col("n_neg"))
     spine = spark.range(count).withColumnRenamed("id", "window")
     center = F.lit(span["first"]).cast(df.schema["study_date"].dataType) + F.make_dt_interval((starts(F.col("window")) + step).cast("int"))
     joined = spine.join(own, "window", "left").withColumn("n", F.coalesce("n", F.lit(0)))

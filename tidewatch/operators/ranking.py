@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordered import cumulated
+from ..functions.ordered import cumulated, score_cuts, with_slices
+from ..session import stored
 
 
 def score_groups(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -20,10 +21,10 @@ def auroc(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return grouped_auroc(score_groups(df, keys), keys)
 
 
-def grouped_auroc(groups: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """The same from counts (keys, score, np, nn)."""
+def grouped_auroc(groups: DataFrame, keys: list[str] | None = None, cuts: list[float] | None = None) -> DataFrame:
+    """The same from counts (keys, score, np, nn); with the ``cuts`` of a stored table these are not stored again."""
     keys = keys or []
-    ranked = cumulated(groups, ["nn"], keys)
+    ranked = cumulated(groups, ["nn"], keys, cuts=cuts)
     won = F.sum(F.col("np") * (F.col("before_nn") + F.col("nn") / 2.0))
     found = ranked.groupBy(*keys).agg(F.coalesce(F.sum("np"), F.lit(0)).alias("n_pos"), F.coalesce(F.sum("nn"), F.lit(0)).alias("n_neg"), won.alias("won"))
     return found.select(*keys, "n_pos", "n_neg", F.try_divide("won", F.col("n_pos").cast("double") * F.col("n_neg")).alias("auroc"))
@@ -44,10 +45,11 @@ def _totals(groups: DataFrame) -> DataFrame:
 
 def roc_points(df: DataFrame, drop_collinear: bool = True) -> DataFrame:
     """threshold, fpr, tpr from (NULL threshold, 0, 0) on. Inner points of a straight stretch are left out."""
-    groups = score_groups(df)
-    down = cumulated(groups, ["np", "nn"], descending=True).select("score", (F.col("before_np") + F.col("np")).alias("tp"), (F.col("before_nn") + F.col("nn")).alias("fp"), "np", "nn")
+    groups = stored(score_groups(df), "scores")
+    cuts = score_cuts(groups)
+    down = cumulated(groups, ["np", "nn"], descending=True, cuts=cuts).select("score", (F.col("before_np") + F.col("np")).alias("tp"), (F.col("before_nn") + F.col("nn")).alias("fp"), "np", "nn")
     if drop_collinear:  # a corner is where the step to the next point differs from the step to this one
-        sliced = down.withColumn("_slice", F.floor(F.col("score") * 4096))
+        sliced = with_slices(down, cuts)
         # the next point of a slice's last row is the first of the next slice
         inner = Window.partitionBy("_slice").orderBy(F.desc("score"))
         firsts = sliced.withColumn("_row", F.row_number().over(inner)).filter("_row = 1").select("_slice", F.col("np").alias("f_np"), F.col("nn").alias("f_nn"))
@@ -63,8 +65,8 @@ def roc_points(df: DataFrame, drop_collinear: bool = True) -> DataFrame:
 
 def pr_points(df: DataFrame) -> DataFrame:
     """threshold, precision, recall for each distinct score, and the end point (NULL, 1, 0)."""
-    groups = score_groups(df)
-    down = cumulated(groups, ["np", "nn"], descending=True)
+    groups = stored(score_groups(df), "scores")
+    down = cumulated(groups, ["np", "nn"], descending=True, cuts=score_cuts(groups))
     tp, fp = F.col("before_np") + F.col("np"), F.col("before_nn") + F.col("nn")
     points = down.crossJoin(F.broadcast(_totals(groups))).select(F.col("score").alias("threshold"), (tp / (tp + fp)).alias("precision"), F.try_divide(tp.cast("double"), F.col("pos")).alias("recall"))
     end = df.sparkSession.range(1).select(F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))

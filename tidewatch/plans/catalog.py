@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import REFERENCE_FRACTION
-from ..operators import alerts, calibration, confusion, drift, missing, multiclass, ranking, split, versions
+from ..config import HISTOGRAM_BINS, REFERENCE_FRACTION, STRATIFIERS
+from ..operators import alerts, bootstrap, calibration, confusion, drift, missing, multiclass, ranking, split, versions
 from ..session import stored
 from ..sources import adapters, validate
 from . import analysis, oracle
@@ -27,6 +27,11 @@ def _monitoring(operator: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: rounded(operator(m.monitoring(spark, sf_dir)))
 
 
+def _kept(operator: Callable[[DataFrame], DataFrame]) -> Query:
+    """For operators that look at the table several times: its columns are joined and written once, in one scan of the given tables."""
+    return lambda spark, sf_dir: rounded(operator(stored(m.monitoring(spark, sf_dir), "monitored")))
+
+
 def _multiclass(operator: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: rounded(operator(m.multiclass(spark, sf_dir)))
 
@@ -45,23 +50,27 @@ def _split_counts(df: DataFrame) -> DataFrame:
 
 
 def _psi(df: DataFrame) -> DataFrame:
-    return drift.score_drift(split.with_phase(df)).select("reference_n", "current_n", "psi", "psi_level")
+    return drift.score_drift(drift.score_counts(df, bins=HISTOGRAM_BINS), weight="n").select("reference_n", "current_n", "psi", "psi_level")
 
 
 def _kl(df: DataFrame) -> DataFrame:
-    return drift.score_drift(split.with_phase(df)).select("kl_divergence")
+    return drift.score_drift(drift.score_counts(df, bins=HISTOGRAM_BINS), weight="n").select("kl_divergence")
 
 
 def _distances(df: DataFrame) -> DataFrame:
-    return drift.distances(split.with_phase(df))
+    return drift.distances(drift.score_counts(df), "n")
 
 
 def alert_values(df: DataFrame) -> DataFrame:
-    """One row of the values that the stop rules look at: from counts by both phases and score, and by stratum."""
-    phased = split.with_phases(df, {f"_{k}": v for k, v in KINDS.items()})
-    y = F.col("y_true")
-    counts = phased.groupBy("_baseline", "_drift", "y_pred_proba").agg(F.count_if(y == 1).alias("np"), F.count_if(y == 0).alias("nn"), *confusion.counts())
-    counts = stored(counts, "alert-counts")
+    """One row of the values that the stop rules look at: counts by both phases and score, and by stratum, come from one scan."""
+    y, p = F.col("y_true"), F.col("y_pred_binary")
+    strata = [c for c in STRATIFIERS if c in df.columns]
+    kinds, by = {f"_{k}": v for k, v in KINDS.items()}, {"y_pred_proba": F.col("y_pred_proba"), "y_true": y, "y_pred_binary": p}
+    counts, by_strata = split.phase_counts(df, kinds, by, {"w": F.lit(1)}, [*strata, "y_true", "y_pred_binary"])
+    w = F.col("w")
+    of = lambda x, name: F.coalesce(F.sum(F.when(x, w)), F.lit(0)).alias(name)
+    cells = [of((y == a) & (p == b), name) for name, a, b in (("tp", 1, 1), ("fp", 0, 1), ("tn", 0, 0), ("fn", 1, 0))]
+    counts = stored(counts.groupBy(*kinds, "y_pred_proba").agg(F.sum("w").alias("n"), of(y == 1, "np"), of(y == 0, "nn"), *cells), "alert-counts")
     phase = F.col("_baseline").alias("phase")
     groups = counts.filter("y_pred_proba is not null").groupBy(phase, F.col("y_pred_proba").alias("score")).agg(F.sum("np").alias("np"), F.sum("nn").alias("nn"))
     pick = lambda phase: F.max(F.when(F.col("phase") == phase, F.col("auroc")))
@@ -70,7 +79,9 @@ def alert_values(df: DataFrame) -> DataFrame:
     now = counts.filter("_baseline = 'current'").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "tp", "fp", "tn", "fn")))
     now = now.select(rates["sensitivity"].alias("current_sensitivity"), rates["specificity"].alias("current_specificity"))
     psi = drift.score_drift(counts.withColumn("phase", F.col("_drift")), weight="n").select("psi")
-    gap = confusion.largest_gap(confusion.stratified(df)).select(F.col("gap").alias("subgroup_gap"))
+    by_strata = by_strata.filter(y.isNotNull() & p.isNotNull()).groupBy(*strata).agg(F.sum("w").alias("n"), *cells)
+    strata_rows = confusion.stratified_counts(by_strata, strata)
+    gap = confusion.largest_gap(strata_rows).select(F.col("gap").alias("subgroup_gap"))
     for other in (now, psi, gap):  # single rows
         one = one.crossJoin(F.broadcast(other))
     return one
@@ -194,18 +205,19 @@ def queries() -> dict[str, Query]:
         "auprc": _monitoring(ranking.auprc),
         "roc_points": _monitoring(ranking.roc_points),
         "pr_points": _monitoring(ranking.pr_points),
+        "jackknife_moments": _monitoring(bootstrap.jackknife_moments),
         "brier_ece": _monitoring(calibration.summary),
         "reliability_bins": _monitoring(calibration.reliability_curve),
         "calibration_fit": _monitoring(calibration.intercept_slope),
-        "reference_current_split": _monitoring(_split_counts),
+        "reference_current_split": _kept(_split_counts),
         "psi": _monitoring(_psi),
         "kl_divergence": _monitoring(_kl),
         "wasserstein_ks": _monitoring(_distances),
         "rolling_auroc": _monitoring(drift.rolling_auroc),
         "cusum": _monitoring(lambda df: drift.cusum(drift.rolling_auroc(df))),
         "score_histogram": _monitoring(drift.score_histogram),
-        "site_calibration_drift": _monitoring(lambda df: calibration.site_calibration(df, with_fit=False)),
-        "site_calibration_fit": _monitoring(calibration.site_calibration),
+        "site_calibration_drift": _kept(lambda df: calibration.site_calibration(df, with_fit=False)),
+        "site_calibration_fit": _kept(calibration.site_calibration),
         "version_pairs_join": _monitoring(_version_frame),
         "delong_components": _monitoring(lambda df: versions.delong(df).select("version_a", "version_b", "n_pos", "n_neg", "auroc_a", "auroc_b", "auc_diff", "var_a", "var_b", "cov_ab", "se_diff", "z")),
         "delong_1988": _monitoring(lambda df: versions.delong(df, "delong1988").select("version_a", "version_b", "auroc_a", "auroc_b", "se_diff")),
@@ -219,9 +231,9 @@ def queries() -> dict[str, Query]:
         "multiclass_violations": _multiclass_violations,
         "profile_columns": _monitoring(_filled),
         "alert_messages": _monitoring(_alert_messages),
-        "summary_metrics": _monitoring(_summary),
-        "drift_frame": _monitoring(_drift_frame),
-        "version_comparison": _monitoring(_version_rows),
+        "summary_metrics": _kept(_summary),
+        "drift_frame": _kept(_drift_frame),
+        "version_comparison": _kept(_version_rows),
         "reliability_quantile_bins": _monitoring(lambda df: calibration.reliability_curve(df, strategy="quantile")),
     }
 

@@ -79,6 +79,24 @@ DOWN = """pts AS (
     sum(p) OVER () AS pos, sum(q) OVER () AS neg
   FROM pts WINDOW w AS (ORDER BY s DESC ROWS UNBOUNDED PRECEDING)
 )"""
+#: The ranking statistics with one row left out, by what the row's score and label take away.
+LEFT_OUT = """parts AS (
+  SELECT *, coalesce(p * tp / nullif(CAST(tp + fp AS DOUBLE), 0), 0) AS a, coalesce(p * tp / nullif(CAST(tp + fp - 1 AS DOUBLE), 0), 0) AS b,
+    coalesce(p * (tp - 1) / nullif(CAST(tp - 1 + fp AS DOUBLE), 0), 0) AS c, coalesce((p - 1) * (tp - 1) / nullif(CAST(tp - 1 + fp AS DOUBLE), 0), 0) AS own,
+    neg - fp + q / 2e0 AS won, tp - p + p / 2e0 AS lost FROM down
+), whole AS (
+  SELECT sum(p * won) AS pairs, sum(a) AS area, sum(p * (1 - s) * (1 - s) + q * s * s) AS squares, max(pos) AS pos, max(neg) AS neg FROM parts
+), placed AS (
+  SELECT parts.*, coalesce(sum(a) OVER (ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above,
+    sum(b) OVER (ORDER BY s ROWS UNBOUNDED PRECEDING) AS from_here, coalesce(sum(c) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS after FROM parts
+), left_out AS (
+  SELECT 'auroc' AS metric, p AS w, (pairs - won) / (CAST(whole.pos - 1 AS DOUBLE) * whole.neg) AS v, pairs / (CAST(whole.pos AS DOUBLE) * whole.neg) AS estimate FROM placed, whole
+  UNION ALL SELECT 'auroc', q, (pairs - lost) / (CAST(whole.neg - 1 AS DOUBLE) * whole.pos), pairs / (CAST(whole.pos AS DOUBLE) * whole.neg) FROM placed, whole
+  UNION ALL SELECT 'auprc', p, (above + own + after) / (whole.pos - 1), area / whole.pos FROM placed, whole
+  UNION ALL SELECT 'auprc', q, (above + from_here) / whole.pos, area / whole.pos FROM placed, whole
+  UNION ALL SELECT 'brier', p, (squares - (1 - s) * (1 - s)) / (whole.pos + whole.neg - 1), squares / (whole.pos + whole.neg) FROM placed, whole
+  UNION ALL SELECT 'brier', q, (squares - s * s) / (whole.pos + whole.neg - 1), squares / (whole.pos + whole.neg) FROM placed, whole
+), means AS (SELECT metric, sum(w) AS n, max(estimate) AS estimate, sum(w * v) / sum(w) AS mean FROM left_out WHERE w > 0 GROUP BY metric)"""
 SHARES = f"""bins AS (SELECT {_left_bin(10)} AS bin, count_if(phase='reference') AS r, count_if(phase='current') AS c FROM phased GROUP BY 1),
 shares AS (SELECT g.i AS bin, coalesce(r, 0) / CAST(sum(r) OVER () AS DOUBLE) AS r, coalesce(c, 0) / CAST(sum(c) OVER () AS DOUBLE) AS c, sum(r) OVER () AS rn, sum(c) OVER () AS cn
   FROM (SELECT unnest(range(10)) AS i) g LEFT JOIN bins ON g.i = bins.bin)"""
@@ -195,6 +213,9 @@ def statements() -> dict[str, str]:
         "label_space_union": _with(mc) + "SELECT count(DISTINCT x) AS n_labels FROM (SELECT t AS x FROM mc UNION ALL SELECT p FROM mc)",
         "auroc": _with(mon) + f"SELECT {INT('n_pos')} AS n_pos, {INT('n_neg')} AS n_neg, {_r('auroc')} AS auroc FROM " + _auroc("mon"),
         "auprc": _with(mon, DOWN) + f"SELECT {_r('sum(p * tp / CAST(tp + fp AS DOUBLE)) / max(pos)')} AS auprc FROM down",
+        "jackknife_moments": _with(mon, DOWN, LEFT_OUT) + f"""SELECT metric, {INT('max(n)')} AS n, {_r("max(means.estimate)")} AS estimate, {_r("max(mean)")} AS mean,
+            {_r('max(n) * sum(w * (v - mean) * (v - mean))')} AS spread, {_r('CAST(max(n) AS DOUBLE) * max(n) * sum(w * (v - mean) * (v - mean) * (v - mean))')} AS skew
+            FROM left_out JOIN means USING (metric) WHERE w > 0 GROUP BY metric""",
         "roc_points": _with(mon, DOWN) + f"SELECT {_r('s')} AS threshold, {_r('fp / CAST(neg AS DOUBLE)')} AS fpr, {_r('tp / CAST(pos AS DOUBLE)')} AS tpr FROM down WHERE np IS NULL OR np <> p OR nq <> q UNION ALL SELECT NULL, 0e0, 0e0",
         "pr_points": _with(mon, DOWN) + f"SELECT {_r('s')} AS threshold, {_r('tp / CAST(tp + fp AS DOUBLE)')} AS precision, {_r('tp / CAST(pos AS DOUBLE)')} AS recall FROM down UNION ALL SELECT NULL, 1e0, 0e0",
         "brier_ece": _with(mon, f"cb AS (SELECT {_right_bin(10)} AS bin, count(*) AS n, avg(CAST(y_true AS DOUBLE)) AS o, avg(y_pred_proba) AS p FROM mon GROUP BY 1)") + f"SELECT (SELECT count(*) FROM mon) AS n, {_r('(SELECT avg((y_pred_proba - y_true) * (y_pred_proba - y_true)) FROM mon)')} AS brier, {_r('sum(n * abs(o - p)) / sum(n)')} AS ece FROM cb",

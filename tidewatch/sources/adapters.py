@@ -55,9 +55,20 @@ def normalized_metadata(df: DataFrame) -> DataFrame:
 
 
 def first_per_key(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
-    """The first row of each key in the given order."""
-    ranked = df.withColumn("_nth", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
-    return ranked.filter("_nth = 1").drop("_nth")
+    """The row of each key that is first by the columns of ``order``: smallest values, nulls first; of ties a checksum of the row decides.
+
+    It is a minimum for each key, which tasks take before they shuffle: a key of many rows costs no task
+    more, and no row is sorted.
+    """
+    rows, check = F.struct(*(quoted(c) for c in df.columns)), F.xxhash64(*(quoted(c) for c in df.columns))
+    place = F.struct(*(x.alias(f"o{i}") for i, x in enumerate([*order, check])))
+    best = df.groupBy(quoted(key).alias("_key")).agg(F.min_by(rows, place).alias("_row"))
+    return best.select(*(F.col("_row").getField(c).alias(c) for c in df.columns))
+
+
+def nulls_last(c: Column) -> list[Column]:
+    """Two columns whose rising order is that of ``c`` with nulls last."""
+    return [c.isNull(), c]
 
 
 def with_metadata(predictions: DataFrame, metadata: DataFrame, order: list[Column]) -> DataFrame:
@@ -81,7 +92,7 @@ def adapt_predictions(
     found = normalized_predictions(predictions, threshold, model_version)
     if metadata is not None:
         meta = normalized_metadata(metadata)
-        order = metadata_order or [quoted(c).asc_nulls_last() for c in meta.columns]
+        order = metadata_order or [x for c in meta.columns for x in nulls_last(quoted(c))]
         found = with_metadata(found, meta, order)
     return validate.validate(in_order(found), profile)
 
@@ -112,7 +123,7 @@ def adapt_detection_labels(labels: DataFrame, predictions: DataFrame | None = No
         if "age_group" not in meta.columns and "PatientAge" in meta.columns:
             meta = meta.withColumn("age_group", age_band(quoted("PatientAge")))
         given = [c for c in ("study_date", "sex", "age_group", "modality", "scanner_manufacturer", "site", "race_ethnicity") if c in meta.columns]
-        meta = first_per_key(meta.select(F.col("patient_id").cast("string").alias("patient_id"), *given), "patient_id", [F.col(c).asc_nulls_last() for c in given] or [F.lit(1)])
+        meta = first_per_key(meta.select(F.col("patient_id").cast("string").alias("patient_id"), *given), "patient_id", [x for c in given for x in nulls_last(F.col(c))])
         out = out.join(meta, "patient_id", "left")
     if "study_date" not in given:
         place = _positions(out.select("patient_id"))
