@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..config import ANALYSIS_RESAMPLES, CONFIDENCE, REFERENCE_FRACTION, SUBGROUP_MIN_N, AlertThresholds, Profile
 from ..functions import stats
 from ..operators import alerts, bootstrap, calibration, confusion, drift, missing, multiclass, ranking, split, versions
-from ..sources import records, tables, validate
+from ..sources import records, storage, tables, validate
 
 TITLES = {"sensitivity": "Sensitivity", "specificity": "Specificity", "ppv": "PPV", "npv": "NPV", "accuracy": "Accuracy", "f1": "F1", "prevalence": "Prevalence"}
 
@@ -178,15 +178,25 @@ def run(
     return MonitoringAnalysis(table.persist(), plan.thresholds if plan else thresholds or AlertThresholds(), plan, tuple(reviews), confidence, size, fraction, resamples)
 
 
-def write_outputs(analysis: MonitoringAnalysis, folder: str | Path, audit_log: str | Path | None = None, actor: str = "tidewatch") -> dict[str, Path]:
-    paths = {k: Path(folder) / v for k, v in OUTPUTS.items()}
-    for name, frame in analysis.frames().items():
-        tables.write_small_csv(frame, paths[name])
-    paths["json"].write_text(json.dumps(analysis.summary_dict, indent=2), encoding="utf-8")
+def _written(spark: SparkSession, folder: str | Path, texts: dict[str, str], names: dict[str, str]) -> dict[str, str | Path]:
+    """The outputs in their folder; paths are text where they have a scheme."""
+    kind = str if storage.is_uri(folder) else Path
+    paths = storage.write_texts(spark, folder, {names[k]: text for k, text in texts.items()})
+    return {k: kind(paths[names[k]]) for k in texts}
+
+
+def write_outputs(analysis: MonitoringAnalysis, folder: str | Path, audit_log: str | Path | None = None, actor: str = "tidewatch") -> dict[str, str | Path]:
+    """The eight outputs, on the driver's disk or, if ``folder`` has a scheme, on the cluster's storage.
+
+    All of them are computed and staged before the first is in its place, so a failure leaves the folder as it was.
+    """
+    texts = {name: tables.small_csv(frame) for name, frame in analysis.frames().items()}
+    texts["json"] = json.dumps(analysis.summary_dict, indent=2)
+    paths = _written(analysis.spark, folder, texts, OUTPUTS)
     if audit_log:
         report = analysis.alert_report
         details = {"output_dir": str(folder), "alerts": len(report.alerts), "critical_alerts": report.n_critical}
-        records.append_event(audit_log, records.artifact_event("analysis_outputs_written", actor, paths["json"], details))
+        records.append_event(audit_log, records.artifact_event("analysis_outputs_written", actor, paths["json"], details, texts["json"]), analysis.spark)
     return paths
 
 
@@ -229,10 +239,12 @@ def run_multiclass(df: DataFrame, profile: Profile | str = Profile.PUBLIC) -> Mu
     return MulticlassAnalysis(validate.validate(df, profile, multiclass=True).persist(), Profile(profile))
 
 
-def write_multiclass(analysis: MulticlassAnalysis, folder: str | Path, audit_log: str | Path | None = None, actor: str = "tidewatch") -> dict[str, Path]:
-    paths = {k: tables.write_small_csv(v, Path(folder) / f"{k}.csv") for k, v in analysis.frames().items()}
-    paths["json"] = Path(folder) / "multiclass_summary.json"
-    paths["json"].write_text(json.dumps(analysis.summary_dict, indent=2, allow_nan=False), encoding="utf-8")
+def write_multiclass(analysis: MulticlassAnalysis, folder: str | Path, audit_log: str | Path | None = None, actor: str = "tidewatch") -> dict[str, str | Path]:
+    texts = {k: tables.small_csv(v) for k, v in analysis.frames().items()}
+    texts["json"] = json.dumps(analysis.summary_dict, indent=2, allow_nan=False)
+    spark = analysis.table.sparkSession
+    paths = _written(spark, folder, texts, {k: "multiclass_summary.json" if k == "json" else f"{k}.csv" for k in texts})
     if audit_log:
-        records.append_event(audit_log, records.artifact_event("multiclass_outputs_written", actor, paths["json"], {"output_dir": str(folder)}))
+        event = records.artifact_event("multiclass_outputs_written", actor, paths["json"], {"output_dir": str(folder)}, texts["json"])
+        records.append_event(audit_log, event, spark)
     return paths

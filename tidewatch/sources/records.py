@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import hashlib
 import json
+import uuid
 from collections.abc import Iterable
 from dataclasses import asdict, dataclass, field, fields
 from datetime import UTC, datetime
@@ -14,6 +15,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 
 from ..config import STRATIFIERS, SUBGROUP_MIN_N, AlertThresholds
+from . import storage
 
 SCHEMA_VERSION = 1
 
@@ -199,21 +201,35 @@ def file_sha256(path: str | Path) -> str:
         return hashlib.file_digest(f, "sha256").hexdigest()
 
 
-def artifact_event(event_type: str, actor: str, artifact: str | Path, details: dict | None = None) -> AuditEvent:
-    return AuditEvent(event_type, actor, str(artifact), file_sha256(artifact), details=details or {})
+def artifact_event(event_type: str, actor: str, artifact: str | Path, details: dict | None = None, content: str | None = None) -> AuditEvent:
+    """An event about a file; ``content`` is its text where the file isn't on the driver's disk."""
+    digest = file_sha256(artifact) if content is None else hashlib.sha256(content.encode()).hexdigest()
+    return AuditEvent(event_type, actor, str(artifact), digest, details=details or {})
 
 
-def append_event(path: str | Path, event: AuditEvent) -> Path:
-    """One more line of the log, keys sorted."""
-    path = Path(path)
-    path.parent.mkdir(parents=True, exist_ok=True)
-    with path.open("a", encoding="utf-8") as f:
-        f.write(json.dumps(asdict(event), sort_keys=True) + "\n")
-    return path
+def append_event(path: str | Path, event: AuditEvent, spark: SparkSession | None = None) -> str | Path:
+    """One more event of the log, keys sorted.
+
+    A local path is a file of lines. A path with a scheme is a folder on the cluster's storage (``spark`` is
+    needed) with one object an event, which several writers may add to at once.
+    """
+    line = json.dumps(asdict(event), sort_keys=True)
+    if storage.is_uri(path):
+        if spark is None:
+            raise ValueError("a log on the cluster's storage needs the session")
+        storage.Folder(spark, path).write({f"{event.created_at.replace(':', '-')}-{uuid.uuid4().hex}.json": line + "\n"})
+        return path
+    storage.append_line(Path(path), line)
+    return Path(path)
 
 
-def read_log(path: str | Path) -> tuple[dict, ...]:
-    """The log's events; none where there is no file."""
+def read_log(path: str | Path, spark: SparkSession | None = None) -> tuple[dict, ...]:
+    """The log's events, in order of time where each is an object; none where there is no log."""
+    if storage.is_uri(path):
+        if spark is None:
+            raise ValueError("a log on the cluster's storage needs the session")
+        folder = storage.Folder(spark, path)
+        return tuple(json.loads(folder.read(name)) for name in folder.names())
     path = Path(path)
     return tuple(json.loads(x) for x in path.read_text(encoding="utf-8").splitlines() if x.strip()) if path.exists() else ()
 
@@ -222,7 +238,7 @@ AUDIT_SCHEMA = "event_type string, actor string, artifact string, artifact_sha25
 
 
 def log_frame(spark: SparkSession, path: str) -> DataFrame:
-    """A log of any size as a table."""
+    """A log of any size as a table, whether a file of lines or a folder of events."""
     return spark.read.schema(AUDIT_SCHEMA).json(path)
 
 
