@@ -130,6 +130,35 @@ def test_a_text_that_is_nobodys_copy_stays(spark, find):
     assert kept == sorted([(1, a), (2, b), (2, c), (5, "")])
 
 
+# --- language identification of very long texts -------------------------------------------------
+
+
+def _model(labels, seed=0):
+    rng = np.random.default_rng(seed)
+    return langid.Model([f"l{i:02}" for i in range(labels)], rng.normal(0, 1, (1 << langid.HASH_BITS, labels)), rng.normal(0, 1, (labels, labels)), {})
+
+
+@pytest.mark.parametrize("labels", [2, 5])
+def test_windows_give_the_whole_texts_posteriors(labels):
+    label = langid.Labeller(_model(labels))
+    words = [f"w{'abcdefgh'[i * 7 % 8]}{'xyz'[i % 3]}" * (1 + i % 4) for i in range(1003)]
+    whole = label.shares([words])[0]
+    for block in (1, 7, 500, 1002):
+        label.block = block
+        assert label.shares([words])[0] == pytest.approx(whole, rel=1e-9)
+
+
+def test_a_very_long_text_takes_bounded_memory():
+    import tracemalloc
+
+    label = langid.Labeller(_model(50))
+    words = ["".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(50_000)] * 2
+    tracemalloc.start()
+    label([" ".join(words)])
+    assert tracemalloc.get_traced_memory()[1] < 120e6  # whole, scores and messages would take 40 MB each, several times
+    tracemalloc.stop()
+
+
 # --- line dedup --------------------------------------------------------------------------------
 
 

@@ -11,7 +11,7 @@ import re
 import warnings
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,10 +32,10 @@ SAMPLE_DOCS_PER_LANG, SAMPLE_DOCS = 200, 20_000
 SAMPLE_MAX_CHARS, SAMPLE_CHARS = 20_000, 20_000_000
 #: Languages that the model can tell apart; of more, the most frequent are learned, with a warning.
 MAX_LANGS = 250
-#: Words whose scores a worker keeps; the table starts afresh when full.
-CACHE_WORDS = 250_000
-#: Words that go through forward-backward at a time (one longer document goes alone).
-BLOCK_WORDS = 200_000
+#: Words whose scores a worker keeps, and these times labels; the table starts afresh when full.
+CACHE_WORDS, CACHE_CELLS = 250_000, 4_000_000
+#: Words that go through forward-backward at a time, and these times labels; a longer document goes alone, in windows.
+BLOCK_WORDS, BLOCK_CELLS = 200_000, 1_000_000
 
 
 @dataclass(frozen=True)
@@ -184,6 +184,8 @@ class Labeller:
     def __init__(self, model: Model) -> None:
         self.model, self.table = model, np.zeros((0, len(model.labels)))
         self.known: dict[str, int] = {}
+        k = max(1, len(model.labels))
+        self.block, self.kept = max(1, min(BLOCK_WORDS, BLOCK_CELLS // k)), max(1, min(CACHE_WORDS, CACHE_CELLS // k))
 
     def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
@@ -192,7 +194,7 @@ class Labeller:
         at = 0
         while at < len(docs):
             longest, end = len(docs[at][1]), at + 1
-            while end < len(docs) and (end - at + 1) * longest <= BLOCK_WORDS:
+            while end < len(docs) and (end - at + 1) * longest <= self.block:
                 end += 1
             for (i, _), share in zip(docs[at:end], self.shares([w for _, w in docs[at:end]]), strict=True):
                 best = int(np.argmax(share))
@@ -200,14 +202,19 @@ class Labeller:
             at = end
         return names, scores
 
-    def word_posteriors(self, docs: list[list[str]]) -> np.ndarray:
-        """(steps, documents, labels) for documents in falling order of length."""
-        if len(self.known) > CACHE_WORDS:
+    def _learn(self, words: Iterable[str]) -> None:
+        """Scores of the words into the table."""
+        if len(self.known) > self.kept:
             self.known, self.table = {}, np.zeros((0, len(self.model.labels)))
-        fresh = list({w for d in docs for w in d if w not in self.known})
+        fresh = list({w for w in words if w not in self.known})
         if fresh:
             self.known.update(zip(fresh, range(len(self.table), len(self.table) + len(fresh)), strict=True))
-            self.table = np.concatenate([self.table, emissions(fresh, self.model)])
+            step = max(1, self.block // 8)  # a word has some twenty features, each with a weight a label
+            self.table = np.concatenate([self.table, *(emissions(fresh[i : i + step], self.model) for i in range(0, len(fresh), step))])
+
+    def word_posteriors(self, docs: list[list[str]]) -> np.ndarray:
+        """(steps, documents, labels) for documents in falling order of length."""
+        self._learn(w for d in docs for w in d)
         sizes = np.array([len(d) for d in docs])
         grid = np.zeros((sizes[0], len(docs), len(self.model.labels)))
         get = self.known.__getitem__
@@ -216,7 +223,45 @@ class Labeller:
         active = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left")
         return posteriors(grid, self.model.transitions, active)[0]
 
+    def _odds(self, words: list[str]) -> np.ndarray:
+        self._learn(words)
+        scores = self.table[np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))]
+        return np.exp(scores - scores.max(axis=1, keepdims=True))
+
+    def long_share(self, words: list[str]) -> np.ndarray:
+        """The mean posterior of one document's words, whatever its length.
+
+        Forward messages are kept where windows begin only, and each window's are made again on the way back, so
+        memory holds one window; the result is that of forward-backward over the whole.
+        """
+        move = np.exp(self.model.transitions - self.model.transitions.max())
+        starts = range(0, len(words), self.block)
+
+        def forward(odds: np.ndarray, before: np.ndarray | None) -> np.ndarray:
+            alpha = np.empty_like(odds)
+            for t in range(len(odds)):
+                now = odds[t] if before is None else (before @ move) * odds[t]
+                alpha[t] = before = now / now.sum()
+            return alpha
+
+        entering: list[np.ndarray | None] = [None]
+        for at in starts[:-1]:
+            entering.append(forward(self._odds(words[at : at + self.block]), entering[-1])[-1])
+        k = len(move)
+        total, back = np.zeros(k), np.full(k, 1.0 / k)
+        for at, before in zip(reversed(starts), reversed(entering), strict=True):
+            odds = self._odds(words[at : at + self.block])
+            alpha = forward(odds, before)
+            for t in range(len(odds) - 1, -1, -1):
+                both = alpha[t] * back
+                total += both / both.sum()
+                back = (odds[t] * back) @ move.T
+                back /= back.sum()
+        return total / len(words)
+
     def shares(self, docs: list[list[str]]) -> np.ndarray:
+        if len(docs[0]) > self.block:  # such a document comes alone
+            return self.long_share(docs[0])[None, :]
         return self.word_posteriors(docs).sum(axis=0) / np.array([len(d) for d in docs])[:, None]
 
 
@@ -255,7 +300,7 @@ def identify(docs: DataFrame, model: Model, prediction: str = "lang_pred", score
     """``docs`` with two more columns: the predicted language of ``text`` and its mean word posterior.
 
     Null texts and texts without a letter are ``und`` with score 0; ties go to the label that sorts
-    first; repeated rows get equal results; a very long text is labelled alone, whole; a model without
+    first; repeated rows get equal results; a very long text is labelled alone, whole, in bounded memory; a model without
     labels calls everything ``und``; an empty table gives no rows; other columns pass through, and a
     clashing name gets an underscore.
     """
