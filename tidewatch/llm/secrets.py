@@ -42,6 +42,9 @@ REACH = 64
 _SENSITIVE = re.compile("|".join(map(re.escape, SENSITIVE)), re.IGNORECASE | re.ASCII)
 _TOKEN = re.compile(r"[A-Za-z0-9+/_=-]+")
 _CASES, _CAPITALS = re.compile("[a-z][A-Z]"), re.compile("[A-Z]{2}")
+#: Names in code: words, humps and short numbers, joined by _ or - or by capitals; a hump has two letters at least.
+_HUMPS = "(?:[a-z]{2,}|[A-Z][a-z]+)(?:[A-Z][a-z]+)*[0-9]{0,2}"
+_NAME = re.compile(f"(?:{_HUMPS}|[A-Z]{{2,}}[0-9]{{0,2}}|[a-z][0-9]{{1,2}}|[0-9]{{1,4}})(?:[_-](?:{_HUMPS}|[A-Z]{{2,}}[0-9]{{0,2}}|[a-z][0-9]{{1,2}}|[0-9]{{1,4}}))*+")
 #: The fewest characters of a candidate, and those from which a mixture of two kinds of characters is enough.
 SHORT, LONG = 8, 16
 #: Parts of identifiers: runs of letters, which no candidate is made of alone.
@@ -70,8 +73,8 @@ def sensitive_places(text: str) -> list[tuple[int, int]]:
 
 
 def unlike_words(token: str) -> bool:
-    """Whether a token mixes digits and letters, or switches case as no name does; long ones may mix any two kinds."""
-    if len(token) < SHORT:
+    """Whether a token mixes digits and letters, or switches case as no name does; long ones may mix any two kinds. Names in code are like words."""
+    if len(token) < SHORT or _NAME.fullmatch(token):
         return False
     digit, lower, upper = any(map(str.isdigit, token)), any(map(str.islower, token)), any(map(str.isupper, token[1:]))
     switches = len(_CASES.findall(token))
