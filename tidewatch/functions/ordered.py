@@ -27,8 +27,8 @@ def score_cuts(groups: DataFrame, score: str = "score", slice_rows: int = SLICE_
     wanted = min(MOST_SLICES, -(-groups.count() // slice_rows))
     if wanted < 2:
         return []
-    shares = F.expr(f"transform(sequence(1, {MOST_SLICES - 1}), i -> cast(i as double) / {MOST_SLICES})")
-    at = groups.agg(F.percentile_approx(score, shares, _ACCURACY)).first()[0] or []
+    shares = ", ".join(f"{i / MOST_SLICES!r}d" for i in range(1, MOST_SLICES))
+    at = groups.agg(F.expr(f"percentile_approx(`{score}`, array({shares}), {_ACCURACY})")).first()[0] or []
     picked = {at[round(i * MOST_SLICES / wanted) - 1] for i in range(1, wanted)}
     return sorted(c for c in picked if c == c)
 
