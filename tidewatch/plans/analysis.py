@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from functools import cached_property
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import ANALYSIS_RESAMPLES, CONFIDENCE, REFERENCE_FRACTION, SUBGROUP_MIN_N, AlertThresholds, Profile
@@ -23,6 +23,15 @@ def round4(x: float | None) -> float | None:
     return None if x is None or x != x or x in (float("inf"), float("-inf")) else round(float(x), 4)
 
 
+def header(df: DataFrame, positives: Column | None = None) -> DataFrame:
+    """n, n_positive (with an aggregate that counts them), first and last day as text, the sorted model versions: one row."""
+    day = lambda x: F.date_format(x, "yyyy-MM-dd")
+    found = [] if positives is None else [F.coalesce(positives, F.lit(0)).alias("n_positive")]
+    return df.agg(
+        F.count("*").alias("n"), *found, day(F.min("study_date")).alias("start_date"), day(F.max("study_date")).alias("end_date"), F.array_sort(F.collect_set("model_version")).alias("model_versions")
+    )
+
+
 @dataclass
 class MonitoringAnalysis:
     """Frames are built on first use; those of a few rows are gathered, the table itself never is."""
@@ -135,13 +144,12 @@ class MonitoringAnalysis:
     def summary_dict(self) -> dict:
         s = {r["metric"]: r["estimate"] for r in self.summary}
         d = self.drift_values
-        one = self.table.agg(F.count("*").alias("n"), F.sum("y_true").alias("p"), F.min("study_date").alias("a"), F.max("study_date").alias("b"), F.array_sort(F.collect_set("model_version")).alias("v")).first()
-        date = lambda x: x.strftime("%Y-%m-%d") if x else None
+        one = header(self.table, F.sum("y_true")).first()
         return {
-            "n": one["n"], "n_positive": one["p"] or 0, "start_date": date(one["a"]), "end_date": date(one["b"]), "auroc": s["AUROC"], "auprc": s["AUPRC"], "sensitivity": s["Sensitivity"],
+            "n": one["n"], "n_positive": one["n_positive"], "start_date": one["start_date"], "end_date": one["end_date"], "auroc": s["AUROC"], "auprc": s["AUPRC"], "sensitivity": s["Sensitivity"],
             "specificity": s["Specificity"], "calibration_intercept": s["Calibration intercept"], "calibration_slope": s["Calibration slope"], "psi": round4(d["psi"]), "psi_level": d["psi_level"],
             "score_wasserstein": round4(d["wasserstein"]), "score_ks_statistic": round4(d["ks_statistic"]), "score_ks_p_value": round4(d["ks_p_value"]), "alerts": len(self.alert_report.alerts),
-            "critical_alerts": self.alert_report.n_critical, "warning_alerts": self.alert_report.n_warning, "model_versions": list(one["v"]), "monitoring_plan": self.plan.to_dict() if self.plan else None,
+            "critical_alerts": self.alert_report.n_critical, "warning_alerts": self.alert_report.n_warning, "model_versions": list(one["model_versions"]), "monitoring_plan": self.plan.to_dict() if self.plan else None,
         }
 
     def frames(self) -> dict[str, DataFrame]:
@@ -228,11 +236,11 @@ class MulticlassAnalysis:
 
     @cached_property
     def summary_dict(self) -> dict:
-        one = self.table.agg(F.min("study_date").alias("a"), F.max("study_date").alias("b"), F.array_sort(F.collect_set("model_version")).alias("v")).first()
+        one = header(self.table).first()
         frames = {k: [r.asDict() for r in v.collect()] for k, v in self.frames().items()}
         found = {r["metric"]: r["value"] for r in frames["multiclass_summary"]}
         found |= {"labels": [r["label"] for r in frames["multiclass_per_class"]], "per_class": frames["multiclass_per_class"], "confusion": frames["multiclass_confusion"]}
-        return found | {"start_date": one["a"].strftime("%Y-%m-%d"), "end_date": one["b"].strftime("%Y-%m-%d"), "schema_profile": str(self.profile), "model_versions": list(one["v"])}
+        return found | {"start_date": one["start_date"], "end_date": one["end_date"], "schema_profile": str(self.profile), "model_versions": list(one["model_versions"])}
 
 
 def run_multiclass(df: DataFrame, profile: Profile | str = Profile.PUBLIC) -> MulticlassAnalysis:

@@ -182,6 +182,14 @@ def _version_rows(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, ", ".join(f"{c} {'double' if c[0] in 'sa' else 'string'}" for c in columns))
 
 
+def _header(df: DataFrame) -> DataFrame:
+    return analysis.header(df, F.sum("y_true")).withColumn("model_versions", F.array_join("model_versions", ","))
+
+
+def _multiclass_header(df: DataFrame) -> DataFrame:
+    return analysis.header(df).withColumn("model_versions", F.array_join("model_versions", ","))
+
+
 def _version_frame(df: DataFrame) -> DataFrame:
     return versions.pair_summary(df)
 
@@ -231,6 +239,8 @@ def queries() -> dict[str, Query]:
         "multiclass_violations": _multiclass_violations,
         "profile_columns": _monitoring(_filled),
         "alert_messages": _monitoring(_alert_messages),
+        "summary_header": _monitoring(_header),
+        "multiclass_header": _multiclass(_multiclass_header),
         "summary_metrics": _kept(_summary),
         "drift_frame": _kept(_drift_frame),
         "version_comparison": _kept(_version_rows),

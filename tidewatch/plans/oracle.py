@@ -211,6 +211,8 @@ def statements() -> dict[str, str]:
         "multiclass_per_class": _with(mc, CLASSES) + "SELECT label, support, predicted, tp, fp, fn, tn, " + ", ".join(f"{_r(c)} AS {c}" for c in ("sensitivity", "specificity", "ppv", "npv", "f1")) + " FROM met",
         "multiclass_summary": _with(mc, CLASSES) + " UNION ALL ".join(f"SELECT '{k}' AS metric, {_r(v)} AS value FROM met" for k, v in summary.items()),
         "label_space_union": _with(mc) + "SELECT count(DISTINCT x) AS n_labels FROM (SELECT t AS x FROM mc UNION ALL SELECT p FROM mc)",
+        "summary_header": _with(mon) + f"SELECT count(*) AS n, {INT('sum(y_true)')} AS n_positive, strftime(min(study_date), '%Y-%m-%d') AS start_date, strftime(max(study_date), '%Y-%m-%d') AS end_date, string_agg(DISTINCT model_version, ',' ORDER BY model_version) AS model_versions FROM mon",
+        "multiclass_header": "SELECT count(*) AS n, strftime(min(o_orderdate), '%Y-%m-%d') AS start_date, strftime(max(o_orderdate), '%Y-%m-%d') AS end_date, 'v1.0' AS model_versions FROM orders",
         "auroc": _with(mon) + f"SELECT {INT('n_pos')} AS n_pos, {INT('n_neg')} AS n_neg, {_r('auroc')} AS auroc FROM " + _auroc("mon"),
         "auprc": _with(mon, DOWN) + f"SELECT {_r('sum(p * tp / CAST(tp + fp AS DOUBLE)) / max(pos)')} AS auprc FROM down",
         "jackknife_moments": _with(mon, DOWN, LEFT_OUT) + f"""SELECT metric, {INT('max(n)')} AS n, {_r("max(means.estimate)")} AS estimate, {_r("max(mean)")} AS mean,
