@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -71,8 +71,11 @@ def _quantiles(groups: DataFrame, shares: list[float]) -> list[float]:
     return found
 
 
-def _first_fits(groups: DataFrame, keys: list[str], kinds: list[StructField]) -> DataFrame:
-    """keys, pos, neg, spread (of p), a, b: a fit to the cells' mean logits, which is off by about the square of a cell's width."""
+def _first_fits(groups: DataFrame, keys: list[str], kinds: list[StructField]) -> list[Row]:
+    """keys, pos, neg, spread (of p), a, b: a fit to the cells' mean logits, which is off by about the square of a cell's width.
+
+    Without keys there are CELLS rows at most, which the driver fits itself.
+    """
     limit = math.log((1 - CLIP) / CLIP)
     cell = F.floor((F.col("x") / limit + 1) * (CELLS / 2)).alias("_cell")
     n = F.col("pos") + F.col("neg")
@@ -85,7 +88,10 @@ def _first_fits(groups: DataFrame, keys: list[str], kinds: list[StructField]) ->
         return pd.DataFrame([{k: rows[k].iloc[0] for k in keys} | own])
 
     double = [StructField(c, DoubleType()) for c in ("pos", "neg", "spread", "a", "b")]
-    return cells.groupBy(*(keys or [F.lit(0).alias("_all")])).applyInPandas(fit, StructType([*kinds, *double]))
+    if not keys:
+        rows = cells.toPandas()
+        return [Row(**r) for r in fit(rows).to_dict("records")] if len(rows) else [Row(pos=0.0, neg=0.0, spread=0.0, a=0.0, b=1.0)]
+    return cells.groupBy(*keys).applyInPandas(fit, StructType([*kinds, *double])).collect()
 
 
 def _newton(x: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> tuple[float, float]:
@@ -130,16 +136,18 @@ def intercept_slope(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     spark = df.sparkSession
     kinds = [df.schema[k] for k in keys]
     fitted = StructType([*kinds, StructField("a", DoubleType()), StructField("b", DoubleType())])
-    sized = _first_fits(groups, keys, kinds).collect()
+    sized = _first_fits(groups, keys, kinds)
     every = [tuple(r[k] for k in keys) for r in sized]
     starts = {tuple(r[k] for k in keys): (r["a"], r["b"]) for r in sized if r["pos"] and r["neg"] and r["pos"] + r["neg"] >= 3 and r["spread"] > 1e-12}
     wanted = set(starts)
 
     def look(points: dict[tuple, tuple[float, float]]) -> dict[tuple, tuple[float, ...]]:
         """Loss, its slope and its curvature at a point for each key."""
-        at = spark.createDataFrame([(*k, *ab) for k, ab in points.items()], fitted)
-        same = [groups[k].eqNullSafe(at[k]) for k in keys]
-        near = groups.join(F.broadcast(at), same) if same else groups.crossJoin(F.broadcast(at))
+        if keys:
+            at = spark.createDataFrame([(*k, *ab) for k, ab in points.items()], fitted)
+            near = groups.join(F.broadcast(at), [groups[k].eqNullSafe(at[k]) for k in keys])
+        else:
+            near = groups.withColumns({name: F.lit(v) for name, v in zip("ab", points[()], strict=True)})
         head = [groups[k] for k in keys]
         eta, x, n = F.col("a") + F.col("b") * F.col("x"), F.col("x"), F.col("pos") + F.col("neg")
         q = 1 / (1 + F.exp(-eta))
