@@ -737,3 +737,23 @@ def test_scores_match_counts(spark):
 def test_scores_of_an_empty_table(odd):
     assert ctw.score(odd.filter("1 = 0")).count() == 0
     assert ctw.score(odd).count() == len(ODD)
+
+
+def test_texts_are_coded_as_one_string(spark):
+    docs = [*enumerate(["the cat sat on the mat", "a cat sat on a hat", "the hat sat", "on the cat\x00 the mat", "", "the the the"] * 4), (50, "on  THE\thatter")]
+    pieces = [b" " + b"".join(w + b" " for w in t.encode().lower().replace(b"\0", b"\1").split()) + b"\n" for _, t in docs]
+    spots = [(int.from_bytes(p[max(0, i - 6) : i + 1]), k) for k, p in enumerate(pieces) for i in range(1, len(p))]
+    training = Counter(key for key, k in spots if zlib.crc32(str(docs[k][0]).encode()) % 7 != 2)
+    keys = np.array(sorted({key for key, _ in spots}))
+    n = np.array([training[key] for key in keys.tolist()])
+    levels = ctw.grow(keys, n, 6, 2)
+    symbols, sums = np.zeros((256, 256)), np.zeros((3, 256, 256))
+    np.add.at(symbols, (keys >> 8 & 255, keys & 255), n)
+    codes, roots = ctw.roots_summed(levels)
+    sums[:, codes >> 8, codes & 255] = roots
+    logs = dict(zip(keys.tolist(), ctw.key_logs(keys, levels, ctw.build_top(symbols, sums), 6), strict=True))
+    want = {docs[k][0]: sum(logs[key] for key, own in spots if own == k) for k in range(len(docs))}
+    for size in (48_000_000, 60):
+        found = {r["doc_id"]: r["score"] for r in ctw.score(frame(spark, docs), block_bytes=size).collect()}
+        assert found == pytest.approx(want, abs=1e-4)
+    assert found[50] > -20  # short of 14 bytes at chance, 34: contexts reach over blanks

@@ -2,35 +2,43 @@
 
 Every byte is eight binary decisions; each decision has a tree of contexts (the bytes before it), a
 Krichevsky-Trofimov estimate in each node, and weights that mix the estimates of all depths. A text is
-scored as its token sequence: each word in lower case (A-Z) with a blank after it, then one end; the
-contexts of a word's bytes reach back to the blank before it. So a word has one code length wherever it
-stands, and texts meet the model through distinct words per block of documents.
-
-Every context that stands before LEAST training bytes is a node, so the tree grows with the corpus. It is
-dealt over tasks by the ROOT latest bytes of the contexts; a task builds its subtrees from the leaves up,
-and the driver holds the nodes above them alone, at most 257 contexts.
+coded as one string: its words in lower case (A-Z), each with a blank after it, then one end; contexts
+reach back over blanks into the words before.
+
+What a text needs of the tree are its windows, a byte and the context before it. A block of documents
+lists its distinct windows once, in buckets; equal windows of all blocks are summed, built into the tree
+and scored once, and the lists get the scores back. Every context that stands before LEAST training bytes
+is a node, so the tree grows with the corpus. It is dealt over tasks by the ROOT latest bytes of the
+contexts; a task builds its subtrees from the leaves up, and the driver holds the nodes above them alone,
+at most 257 contexts.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 DEPTH, ROOT, LEAST = 6, 2, 2
-#: Bytes of words that a task's part of the tree is built from, about; words laid out and keys scored at a time.
-PART_ROWS, AT_ONCE = 600_000, 100_000
-#: Bytes of text whose distinct words share a dictionary (one longer document makes a block of its own).
+#: Windows that a task's part of the tree is built from, about; windows scored at a time.
+PART_ROWS, AT_ONCE = 150_000, 100_000
+#: Bytes laid out at a time, so that a very long text needs little memory.
+SLICE = 1 << 20
+#: Bytes of text whose distinct words and windows are listed together (one longer document makes a block of its own).
 BLOCK_BYTES = 48_000_000
+#: Windows that a block gathers before it sums equal ones.
+LISTED = 1_500_000
+#: Windows are dealt by a hash of their first bytes, words by theirs, into so many buckets.
+BUCKETS = 512
 END = b"\n"
 HELD_OUT_MODULUS, HELD_OUT_REMAINDER = 7, 2
 LOG_PI = float(np.log(np.pi))
@@ -185,122 +193,165 @@ def key_logs(keys: np.ndarray, levels: dict[int, Level], top: Top, depth: int, r
     return np.log10(p).reshape(-1, 8).sum(axis=1)
 
 
+def windows(pieces: list[bytes], depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(context << 8 | byte, number of the piece) for the bytes of all pieces in a row, but each one's first, which is context alone.
+
+    A zero byte counts as byte 1, for 0 means that a context reaches no further back.
+    """
+    sizes = np.array([len(x) for x in pieces]) + depth - 1
+    data = b"".join([bytes(depth - 1) + x.replace(b"\0", b"\1") for x in pieces]) + bytes(8)
+    every = np.ndarray(len(data) - 7, ">u8", data, strides=(1,))  # the eight bytes from each place on
+    coded = np.ones(len(data) - 8, dtype=bool)
+    coded[(np.cumsum(sizes) - sizes)[:, None] + np.arange(depth)] = False
+    piece = np.repeat(np.arange(len(pieces), dtype=np.int32), sizes)
+    for at in range(0, len(coded), SLICE):
+        place = np.flatnonzero(coded[at : at + SLICE]) + at
+        yield (every[place - depth].astype(np.uint64) >> np.uint64(8 * (7 - depth))).astype(np.int64), piece[place]
+
+
 def laid_out(words: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For the coded bytes of all words in a row: the byte, its context key, and each word's first place.
+    """For the coded bytes of all words, each as a text of its own: the byte, its context key, and each word's first place.
 
-    A word is coded with the blank after it; the end of a text has none. A zero byte counts as byte 1,
-    for 0 means that a context reaches no further back.
+    A word is coded with the blank after it; the end of a text has none.
     """
     pieces = [b" " + w if w == END else b" " + w + b" " for w in words]
-    sizes = np.array([len(x) for x in pieces])
-    data = np.frombuffer(b"".join(pieces), dtype=np.uint8).astype(np.int64)
-    data[data == 0] = 1
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    within = np.arange(len(data)) - np.repeat(starts, sizes)
-    coded = np.flatnonzero(within)
-    key, back = np.zeros(len(coded), dtype=np.int64), within[coded]
-    for k in range(1, depth + 1):
-        key |= np.where(back >= k, data[np.maximum(coded - k, 0)] << 8 * (k - 1), 0)
-    return data[coded], key, starts - np.arange(len(words))
+    key = np.concatenate([x for x, _ in windows(pieces, depth)])
+    sizes = np.array([len(x) - 1 for x in pieces])
+    return key & 255, key >> 8, np.cumsum(sizes) - sizes
 
 
-# --- the tables ----------------------------------------------------------------------------------
+def _piece(text: bytes) -> bytes:
+    """What is coded of a text whose words are joined by blanks: after a blank, each word with its blank, and the end."""
+    return b" " + text + b" " + END if text else b" " + END
 
 
-def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per block of documents: its distinct words with their training counts, and its documents
-    as places and counts in that dictionary."""
-    common.short_batches(docs.sparkSession)
-    doc_type = pa.struct([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64()), ("at", pa.binary()), ("n", pa.binary())])
-    schema = pa.schema([("block", pa.int64()), ("words", pa.list_(pa.binary())), ("train", pa.list_(pa.int64())), ("docs", pa.list_(doc_type))])
+# --- lists of windows ----------------------------------------------------------------------------
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, nth = TaskContext.get().partitionId(), 0
-        index: dict[bytes, int] = {}
-        rows: list[dict] = []
-        size = 0
-
-        def block() -> pa.RecordBatch:
-            train = np.zeros(len(index), dtype=np.int64)
-            for r in rows:
-                if not r["held_out"]:
-                    np.add.at(train, np.frombuffer(r["at"], dtype="<u4"), np.frombuffer(r["n"], dtype="<u4"))
-            return pa.RecordBatch.from_pylist([{"block": part << 32 | nth, "words": list(index), "train": train.tolist(), "docs": rows}], schema=schema)
 
-        for b in batches:
-            for doc, data in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                counts = Counter((data or b"").lower().split())  # for bytes: A-Z, and splits at x20 and x09-x0D alone
-                counts[END] = 1
-                at = np.fromiter((index.setdefault(w, len(index)) for w in counts), dtype="<u4", count=len(counts))
-                n = np.fromiter(counts.values(), dtype="<u4", count=len(counts))
-                held = zlib.crc32(b"" if doc is None else str(doc).encode()) % HELD_OUT_MODULUS == HELD_OUT_REMAINDER
-                n_bytes = sum((len(w) + (w != END)) * k for w, k in counts.items())
-                rows.append({"doc_id": doc, "held_out": held, "n_tokens": int(n.sum()), "n_bytes": n_bytes, "at": at.tobytes(), "n": n.tobytes()})
-                size += len(data or b"")
-                if size >= block_bytes:
-                    yield block()
-                    index, rows, size, nth = {}, [], 0, nth + 1
-        if rows:
-            yield block()
+def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and the sum of ``n`` for each."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[first], np.add.reduceat(n[order], first)
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Whole numbers with their bytes of equal weight side by side, which the shuffle's codec then shrinks."""
+    return x.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
 
-    kind = "block long, words array<binary>, train array<long>, docs array<struct<doc_id: long, held_out: boolean, n_tokens: long, n_bytes: long, at: binary, n: binary>>"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, kind)
 
+def unpacked(x: bytes) -> np.ndarray:
+    return np.frombuffer(x, dtype=np.uint8).reshape(8, -1).T.copy().view("<i8").ravel()
 
-def _spots(vocabulary: DataFrame, depth: int, by_word: bool) -> DataFrame:
-    """(root, key, wid, n) for every byte of every word: its context and symbol, the word and its training count;
-    or, with no words, summed by key in each task. Contexts shorter than ROOT belong to the top and may go anywhere."""
+
+def bucket_of(keys: np.ndarray) -> np.ndarray:
+    return ((keys >> 24).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64) % BUCKETS
+
+
+# --- the tables ----------------------------------------------------------------------------------
+
+
+def blocks(docs: DataFrame, depth: int = DEPTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Rows of two kinds for each block of documents: some of its documents, with their texts as coded; and buckets of
+    its distinct windows and words in order, with their training counts."""
+    common.short_batches(docs.sparkSession)
+    doc_type = pa.struct([("doc_id", pa.int64()), ("held_out", pa.bool_())])
+    schema = pa.schema([("block", pa.int64()), ("docs", pa.list_(doc_type)), ("texts", pa.binary()), ("bucket", pa.int32()), *((c, pa.binary()) for c in ("keys", "n", "words", "train"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            whole = pa.Table.from_batches(held)
-            held.clear()
-            symbol, context, firsts = laid_out(whole.column(0).to_pylist(), depth)
-            sizes = np.diff(np.append(firsts, len(symbol)))
-            wid, n = (np.repeat(whole.column(k).to_numpy(), sizes) for k in (1, 2))
-            key = context << 8 | symbol
-            if not by_word:
-                key, where = np.unique(key, return_inverse=True)
-                n = np.bincount(where, n, len(key)).astype(np.int64)
-                wid = key & 255
-            root = np.where(key >> 8 >= 1 << 8 * (ROOT - 1), key >> 8 & (1 << 8 * ROOT) - 1, -1 - (wid & 1023))
-            for at in range(0, len(key), AT_ONCE):
-                yield pa.record_batch([pa.array(x[at : at + AT_ONCE]) for x in (root, key, wid, n)], names=["root", "key", "wid", "n"])
+        common.drop_worker_cache()
+        part, nth, size = TaskContext.get().partitionId(), 0, 0
+        counts: dict[bytes, int] = {}
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            return summed(*(np.concatenate(x) for x in zip(*found, strict=True)))
+
+        def rows(some: list[dict]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([{"block": part << 32 | nth} | x for x in some], schema=schema)
+
+        def listed() -> Iterator[pa.RecordBatch]:
+            keys, n = merged()
+            bucket = bucket_of(keys)
+            order = np.argsort(bucket.astype(np.uint16), kind="stable")
+            ends = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
+            dealt: list[list[bytes]] = [[] for _ in range(BUCKETS)]
+            for w in sorted(counts):
+                dealt[zlib.crc32(w) % BUCKETS].append(w)
+            some = []
+            for k, words in enumerate(dealt):
+                own = order[ends[k] : ends[k + 1]]
+                row = {"bucket": k}
+                if len(own):
+                    row |= {"keys": packed(np.diff(keys[own], prepend=0)), "n": packed(n[own])}
+                if words:
+                    row |= {"words": b" ".join(words), "train": packed(np.array([counts[w] for w in words]))}
+                if len(row) > 1:
+                    some.append(row)
+            for at in range(0, len(some), 32):
+                yield rows(some[at : at + 32])
+
+        def taken(some: list[dict]) -> Iterator[pa.RecordBatch]:
+            held = np.array([x["held_out"] for x in some])
+            texts = [x.pop("text") for x in some]
+            for key, owner in windows([_piece(x) for x in texts], depth):
+                out = held[owner]
+                found.append(np.unique(key[~out], return_counts=True))
+                alone = np.unique(key[out])
+                found.append((alone, np.zeros(len(alone), dtype=np.int64)))
+            if sum(len(x) for x, _ in found[1:]) > LISTED:
+                found[:] = [merged()]
+            yield rows([{"docs": some, "texts": zstandard.compress(END.join(texts))}])
 
         for b in batches:
-            if b.num_rows:
-                held.append(b)
-            if sum(x.num_rows for x in held) >= AT_ONCE:
-                yield from flush()
-        if held:
-            yield from flush()
-
-    made = vocabulary.select("word", "wid", "c").mapInArrow(run, "root long, key long, wid long, n long")
-    return made if by_word else made.drop("wid")
+            some, some_bytes = [], 0
+            for doc, data in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), strict=True):
+                words = (data.as_py() or b"").lower().split()  # for bytes: A-Z, and splits at x20 and x09-x0D alone
+                held = zlib.crc32(b"" if doc is None else str(doc).encode()) % HELD_OUT_MODULUS == HELD_OUT_REMAINDER
+                some.append({"doc_id": doc, "held_out": held, "text": b" ".join(words)})
+                for w in (*words, END):
+                    counts[w] = counts.get(w, 0) + (not held)
+                size, some_bytes = size + len(some[-1]["text"]), some_bytes + len(some[-1]["text"])
+                if size >= block_bytes or some_bytes >= SLICE:
+                    yield from taken(some)
+                    some, some_bytes = [], 0
+                if size >= block_bytes:
+                    yield from listed()
+                    counts, found, size, nth = {}, [], 0, nth + 1
+            if some:
+                yield from taken(some)
+        if found:
+            yield from listed()
+
+    kind = "block long, docs array<struct<doc_id: long, held_out: boolean>>, texts binary, bucket int, keys binary, n binary, words binary, train binary"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, kind)
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], names: list[str]) -> list[np.ndarray]:
-    parts = [[b.column(k).to_numpy() for k in names] for b in batches if b.num_rows]
-    return [np.concatenate([np.zeros(0, np.int64), *(p[k] for p in parts)]) for k in range(len(names))]
+def _gathered(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of a task's part in order, and their training counts."""
+    parts = [[b.column(k).to_numpy() for k in ("key", "n")] for b in batches if b.num_rows]
+    key, n = (np.concatenate([np.zeros(0, np.int64), *(p[k] for p in parts)]) for k in range(2))
+    order = np.argsort(key)
+    return key[order], n[order]
 
 
-def word_logs(vocabulary: DataFrame, depth: int = DEPTH, least: int = LEAST) -> DataFrame:
-    """(wid, log) for (word, wid, c): log10 probability of each word under the tree of all words' training counts c.
+def window_logs(counts: DataFrame, depth: int = DEPTH, least: int = LEAST) -> DataFrame:
+    """(bucket, key, log) for distinct windows (key, n): log10 probability of the byte after its context, under the tree of all training counts n.
 
     The tree is built twice, once for what the top needs of it and once to score, rather than kept.
+    Contexts shorter than ROOT belong to the top and may go anywhere.
     """
-    spark = vocabulary.sparkSession
-    size = vocabulary.agg(F.sum(F.length("word") + 1)).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_ROWS))
-
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, n = _gathered(batches, ["key", "n"])
-        if not len(key):
+    spark = counts.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-counts.count() // PART_ROWS))
+    context = F.shiftright("key", 8)
+    root = F.when(context >= 1 << 8 * (ROOT - 1), context.bitwiseAND((1 << 8 * ROOT) - 1)).otherwise(-1 - F.col("key").bitwiseAND(1023))
+    rooted = counts.select(root.alias("root"), "key", "n")
+
+    def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, n = _gathered(batches)
+        if not len(keys):
             return
-        keys, where = np.unique(key, return_inverse=True)
-        n = np.bincount(where, n, len(keys))
         codes, sums = roots_summed(grow(keys, n, depth, least))
         latest, where = np.unique((keys >> 8 & 255) << 8 | keys & 255, return_inverse=True)
         kind = np.repeat(["roots", "symbols"], [len(codes), len(latest)])
@@ -308,8 +359,8 @@ def word_logs(vocabulary: DataFrame, depth: int = DEPTH, least: int = LEAST) ->
         columns = (np.concatenate([codes, latest]), *(np.concatenate([a, b]) for a, b in zip(sums, (np.bincount(where, n, len(latest)), zeros, zeros), strict=True)))
         yield pa.record_batch([pa.array(kind.tolist(), pa.string()), *map(pa.array, columns)], names=["kind", "code", "a", "b", "c"])
 
-    seen = _spots(vocabulary.filter("c > 0"), depth, False).repartition(parts, "root")
-    top_rows = seen.mapInArrow(summed, "kind string, code long, a double, b double, c double").groupBy("kind", "code").agg(*(F.sum(x).alias(x) for x in "abc")).collect()
+    seen = rooted.filter("n > 0").repartition(parts, "root")
+    top_rows = seen.mapInArrow(roots, "kind string, code long, a double, b double, c double").groupBy("kind", "code").agg(*(F.sum(x).alias(x) for x in "abc")).collect()
     symbols, sums = np.zeros((256, 256)), np.zeros((3, 256, 256))
     for r in top_rows:
         if r["kind"] == "roots":
@@ -319,56 +370,106 @@ def word_logs(vocabulary: DataFrame, depth: int = DEPTH, least: int = LEAST) ->
     shared = spark.sparkContext.broadcast(build_top(symbols, sums))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, wid, n = _gathered(batches, ["key", "wid", "n"])
-        if not len(key):
+        keys, n = _gathered(batches)
+        if not len(keys):
             return
-        keys, place = np.unique(key, return_inverse=True)
-        levels = grow(keys, np.bincount(place, n, len(keys)), depth, least)
-        logs = np.concatenate([key_logs(keys[at : at + AT_ONCE], levels, shared.value, depth) for at in range(0, len(keys), AT_ONCE)])
-        own, where = np.unique(wid, return_inverse=True)
-        total = np.bincount(where, logs[place], len(own)).astype(np.float32)
-        for at in range(0, len(own), AT_ONCE):
-            yield pa.record_batch([pa.array(own[at : at + AT_ONCE]), pa.array(total[at : at + AT_ONCE])], names=["wid", "log"])
+        levels = grow(keys, n, depth, least)
+        for at in range(0, len(keys), AT_ONCE):
+            some = keys[at : at + AT_ONCE]
+            yield pa.record_batch([pa.array(bucket_of(some).astype(np.int32)), pa.array(some), pa.array(key_logs(some, levels, shared.value, depth).astype(np.float32))], names=["bucket", "key", "log"])
 
-    dealt = _spots(vocabulary, depth, True).repartition(parts, "root")
-    return dealt.mapInArrow(scored, "wid long, log float").groupBy("wid").agg(F.sum("log").alias("log"))
+    return rooted.repartition(parts, "root").mapInArrow(scored, "bucket int, key long, log float")
+
+
+def word_logs(vocabulary: DataFrame, depth: int = DEPTH, least: int = LEAST) -> DataFrame:
+    """(wid, log) for (word, wid, c): log10 probability of each word as a text of its own, under the tree of all words' training counts c."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                symbol, context, firsts = laid_out(b.column(0).to_pylist(), depth)
+                sizes = np.diff(np.append(firsts, len(symbol)))
+                yield pa.record_batch([pa.array(context << 8 | symbol), *(pa.array(np.repeat(b.column(k).to_numpy(), sizes)) for k in (1, 2))], names=["key", "wid", "n"])
+
+    spots = vocabulary.select("word", "wid", "c").mapInArrow(run, "key long, wid long, n long")
+    logs = window_logs(spots.groupBy("key").agg(F.sum("n").alias("n")), depth, least)
+    return spots.join(logs, "key").groupBy("wid").agg(F.sum("log").alias("log"))
+
+
+def _all_counts(lists: pa.Table) -> pa.Table:
+    keys = np.concatenate([np.cumsum(unpacked(x.as_py())) for x in lists.column("keys")])
+    keys, n = summed(keys, np.concatenate([unpacked(x.as_py()) for x in lists.column("n")]))
+    return pa.table({"key": keys, "n": n})
+
+
+def _word_counts(lists: pa.Table) -> pa.Table:
+    """Each list of a bucket's words with their counts in all blocks, and once the training tokens and distinct words of the bucket."""
+    own, count = [x.as_py().split(b" ") for x in lists.column("words")], dict[bytes, int]()
+    for words, train in zip(own, lists.column("train"), strict=True):
+        for w, k in zip(words, unpacked(train.as_py()).tolist(), strict=True):
+            count[w] = count.get(w, 0) + k
+    c = [packed(np.array([count[w] for w in words])) for words in own]
+    seen = [k for k in count.values() if k]
+    once = lambda x: pa.array([x] + [0] * (len(own) - 1), pa.int64())
+    return pa.table({"block": lists.column("block"), "words": lists.column("words"), "c": pa.array(c, pa.binary()), "tokens": once(sum(seen)), "distinct": once(len(seen))})
+
+
+def _answered(lists: pa.Table, logs: pa.Table) -> pa.Table:
+    """Each list of a bucket with the scores of its windows."""
+    keys, log = logs.column("key").to_numpy(), logs.column("log").to_numpy()
+    order = np.argsort(keys)
+    keys, log = keys[order], log[order]
+    found = [log[np.searchsorted(keys, np.cumsum(unpacked(x.as_py())))].tobytes() for x in lists.column("keys")]
+    return pa.table({"block": lists.column("block"), "keys": lists.column("keys"), "logs": pa.array(found, pa.binary())})
 
 
 def score(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte for every row.
 
     base_score is the add-one word model's, score the context-tree model's log10 probability of the
-    text's tokens, bits_per_byte that as code length. Both models learn from the rows that are not held
+    text, coded as one string, bits_per_byte that as code length. Both models learn from the rows that are not held
     out (crc32 of the id modulo 7 is not 2; a null id counts as the empty text). Null and empty texts
     hold the end alone; repeated rows count each time; a very long text is a block of its own; with no
     training rows the models are uniform; an empty table gives no rows; other columns are not read.
     """
-    made = common.stored(blocks(docs, block_bytes), "blocks")
-    entries = made.select("block", F.posexplode(F.arrays_zip("words", "train")).alias("at", "x")).select("block", "at", F.col("x.words").alias("word"), F.col("x.train").alias("n"))
-    counted = entries.groupBy("word").agg(F.sum("n").alias("c")).withColumn("wid", F.monotonically_increasing_id())
-    vocabulary = common.stored(counted, "vocabulary")
-    tokens, distinct = vocabulary.filter("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    scored = common.stored(vocabulary.join(word_logs(vocabulary, depth, least), "wid").select("word", "c", "log"), "scored")
+    made = common.stored(blocks(docs, depth, block_bytes), "blocks")
+    of_words = made.filter("words is not null").select("block", "bucket", "words", "train")
+    known = common.stored(of_words.groupBy("bucket").applyInArrow(_word_counts, "block long, words binary, c binary, tokens long, distinct long"), "known")
+    tokens, distinct = known.agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in ("tokens", "distinct"))).first()
     floor = float(np.log10(tokens + distinct + 1))
-    looked_up = entries.select(F.col("block").alias("of_block"), "at", "word").join(scored, "word").select("of_block", "at", "c", "log")
-    texts = made.select("block", F.explode("docs").alias("d")).select("block", "d.*")
+    lists = made.filter("keys is not null").select("block", "bucket", "keys", "n")
+    counts = common.stored(lists.groupBy("bucket").applyInArrow(_all_counts, "key long, n long"), "windows")
+    logs = window_logs(counts, depth, least)
+    answers = lists.drop("n").groupBy("bucket").cogroup(logs.groupBy("bucket")).applyInArrow(_answered, "block long, keys binary, logs binary")
+    looked_up = known.select(F.col("block").alias("of_block"), "words", "c").unionByName(answers.withColumnRenamed("block", "of_block"), allowMissingColumns=True)
+    texts = made.filter("docs is not null").select("block", "docs", "texts")
     kind = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
 
+    names = [x.split()[0] for x in kind.split(", ")]
+    types = [pa.int64(), pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 3]
+
     def total(left: pa.Table, right: pa.Table) -> pa.Table:
-        at = right.column("at").to_numpy()
-        c, log = np.zeros(len(at)), np.zeros(len(at))
-        c[at], log[at] = right.column("c").to_numpy(), right.column("log").to_numpy()
-        base = np.log10(c + 1) - floor
-        out: list[list] = [[], [], []]
-        for a, n in zip(left.column("at").to_pylist(), left.column("n").to_pylist(), strict=True):
-            a, n = np.frombuffer(a, dtype="<u4"), np.frombuffer(n, dtype="<u4").astype(np.int64)
-            for column, x in zip(out, (int(n[c[a] > 0].sum()), float(n @ base[a]), float(n @ log[a])), strict=True):
-                column.append(x)
-        bits = -np.array(out[2]) / np.log10(2) / left.column("n_bytes").to_numpy()
-        return pa.table({
-            "doc_id": left.column("doc_id"), "held_out": left.column("held_out"), "n_tokens": left.column("n_tokens"), "n_known": pa.array(out[0], pa.int64()),
-            "train_tokens": pa.array(np.full(len(bits), tokens, dtype=np.int64)), "base_score": pa.array(out[1], pa.float64()), "score": pa.array(out[2], pa.float64()), "bits_per_byte": pa.array(bits),
-        })
+        count: dict[bytes, int] = {}
+        of_words = right.filter(right.column("words").is_valid())
+        for words, c in zip(of_words.column("words"), of_words.column("c"), strict=True):
+            count.update(zip(words.as_py().split(b" "), unpacked(c.as_py()).tolist(), strict=True))
+        lists = right.filter(right.column("keys").is_valid())
+        keys = np.concatenate([np.cumsum(unpacked(x.as_py())) for x in lists.column("keys")])
+        log = np.concatenate([np.frombuffer(x.as_py(), dtype=np.float32) for x in lists.column("logs")])
+        order = np.argsort(keys)
+        keys, log = keys[order], log[order]
+        out: list[tuple] = []
+        for docs, texts in zip(left.column("docs"), left.column("texts"), strict=True):
+            pieces = [_piece(x) for x in zstandard.decompress(texts.as_py()).split(END)]
+            sums = np.zeros(len(pieces))
+            for key, owner in windows(pieces, depth):
+                own, where = np.unique(key, return_inverse=True)
+                sums += np.bincount(owner, log[np.searchsorted(keys, own)][where], len(pieces))
+            for doc, x, found in zip(docs.as_py(), pieces, sums.tolist(), strict=True):
+                c = np.array([count[w] for w in (*x.split(), END)])
+                base = float(np.log10(c + 1.0).sum()) - len(c) * floor
+                out.append((doc["doc_id"], doc["held_out"], len(c), int((c > 0).sum()), tokens, base, found, -found / float(np.log10(2)) / (len(x) - 1)))
+        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
     return texts.groupBy("block").cogroup(looked_up.groupBy("of_block")).applyInArrow(total, kind)
 
