@@ -504,3 +504,16 @@ def test_a_patient_with_very_many_rows(spark):
     assert versions.pair_summary(df).select("n_pairs", "n_patients", "comparable").first() == (2_500_000_200, 201, True)
     found = {m: versions.delong(df, m).first() for m in ("placement", "delong1988")}
     assert {r["n_pos"] for r in found.values()} == {2_500_000_000} and found["placement"]["auroc_a"] == pytest.approx(found["delong1988"]["auroc_a"])
+
+
+@pytest.mark.parametrize("tied", [100_000, 10])
+@pytest.mark.parametrize("method", ["placement", "delong1988"])
+def test_delong_partitions_follow_the_rows(spark, two_versions, monkeypatch, method, tied):
+    df, rows = two_versions
+    want = versions.delong(df, method).first()
+    monkeypatch.setattr(versions, "TIED", tied)
+    monkeypatch.setattr(versions, "TASK_ROWS", len(rows) // 40)
+    again = versions.delong(df, method)
+    plan = again._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(patient_id" in plan and ", 40), REPARTITION_BY_NUM" in plan
+    assert again.first().asDict() == pytest.approx(want.asDict())

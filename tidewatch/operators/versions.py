@@ -16,6 +16,8 @@ from ..session import stored
 KEYS = ("version_a", "version_b")
 #: Pairs at one score that one task may order.
 TIED = 100_000
+#: Rows of a DeLong test that one task sorts or sums by patient, about: the number of partitions follows from the table's size.
+TASK_ROWS = 100_000
 
 
 def _sides(found: DataFrame, columns: list[str]) -> DataFrame:
@@ -54,9 +56,12 @@ def delong(df: DataFrame, method: str = "placement") -> DataFrame:
         raise ValueError("method is placement or delong1988")
     full = df.filter("y_true is not null and y_pred_proba is not null and patient_id is not null").select("patient_id", "model_version", "y_true", "y_pred_proba")
     full = stored(full, "paired")
-    counted = stored(_counted(full), "counted")
-    wanted = F.broadcast(pair_summary(full, counted).filter("comparable").select(*KEYS))  # as many rows as there are pairs of versions
-    rows = full.repartition(F.col("patient_id").cast("string")).select(F.col("patient_id").cast("string").alias("patient_id"), F.col("model_version").alias("version"), F.col("y_true").alias("y"), F.col("y_pred_proba").alias("score"))
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-full.count() // TASK_ROWS))
+    dealt = full.withColumn("patient_id", F.col("patient_id").cast("string")).repartition(parts, "patient_id")
+    counted = stored(_counted(dealt), "counted")
+    summary = pair_summary(full, counted.repartition(parts, "patient_id"))
+    wanted = F.broadcast(summary.filter("comparable").select(*KEYS))  # as many rows as there are pairs of versions
+    rows = dealt.select("patient_id", F.col("model_version").alias("version"), F.col("y_true").alias("y"), F.col("y_pred_proba").alias("score"))
     of, at = Window.partitionBy("version", "patient_id"), Window.partitionBy("version", "patient_id", "score")
     rows = rows.withColumns({"n": F.count("*").over(of), "first": F.row_number().over(of.orderBy("score")) - 1}).withColumns({"m": F.count("*").over(at), "r": F.col("first") - F.min("first").over(at) + 1})
     others = counted.select("patient_id", F.col("version").alias("other"), F.col("n").alias("times"))
@@ -67,10 +72,10 @@ def delong(df: DataFrame, method: str = "placement") -> DataFrame:
     groups = stored(keyed.groupBy(*keys, "side", "score").agg(F.sum(F.when(y == 1, F.col("times")).otherwise(0)).alias("np"), F.sum(F.when(y == 0, F.col("times")).otherwise(0)).alias("nn")), "groups")
     totals = F.broadcast(groups.filter("side = 'a'").groupBy(*keys).agg(F.sum("np").alias("n_pos"), F.sum("nn").alias("n_neg")))
     placed = stored(cumulated(groups, ["np", "nn"], [*keys, "side"], cuts=score_cuts(groups)), "placed").join(totals, keys)
-    return _finished((_placement if method == "placement" else _delong1988)(keyed, placed), keys)
+    return _finished((_placement if method == "placement" else _delong1988)(keyed, placed, parts), keys)
 
 
-def _tie_offsets(cells: DataFrame, keys: list[str], most: int) -> DataFrame:
+def _tie_offsets(cells: DataFrame, keys: list[str], most: int, parts: int) -> DataFrame:
     """``cells`` (keys, score, patient_id, pairs) with before: the pairs of earlier patients at the same score.
 
     Where a score has more than TIED pairs, cells are dealt by range and summed within their part, and the parts'
@@ -80,13 +85,13 @@ def _tie_offsets(cells: DataFrame, keys: list[str], most: int) -> DataFrame:
     score = [*keys, "score"]
     if most <= TIED:
         upto = Window.partitionBy(*score).orderBy("patient_id").rowsBetween(Window.unboundedPreceding, -1)
-        return cells.select(*score, "patient_id", F.coalesce(F.sum("pairs").over(upto), F.lit(0)).alias("before"))
-    dealt = stored(cells.repartitionByRange(*score, "patient_id").withColumn("_part", F.spark_partition_id()), "ties")
+        return cells.repartition(parts, *score).select(*score, "patient_id", F.coalesce(F.sum("pairs").over(upto), F.lit(0)).alias("before"))
+    dealt = stored(cells.repartitionByRange(parts, *score, "patient_id").withColumn("_part", F.spark_partition_id()), "ties")
     earlier = lambda w: F.coalesce(F.sum("pairs").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    own = dealt.withColumn("_own", earlier(Window.partitionBy("_part", *score).orderBy("patient_id")))
-    parts = dealt.groupBy("_part", *score).agg(F.sum("pairs").alias("pairs"))
-    parts = parts.select("_part", *score, earlier(Window.partitionBy(*score).orderBy("_part")).alias("_others"))
-    return own.join(parts, ["_part", *score]).select(*score, "patient_id", (F.col("_own") + F.col("_others")).alias("before"))
+    own = dealt.repartition(parts, "_part", *score).withColumn("_own", earlier(Window.partitionBy("_part", *score).orderBy("patient_id")))
+    totals = dealt.groupBy("_part", *score).agg(F.sum("pairs").alias("pairs"))
+    totals = totals.select("_part", *score, earlier(Window.partitionBy(*score).orderBy("_part")).alias("_others"))
+    return own.join(totals, ["_part", *score]).select(*score, "patient_id", (F.col("_own") + F.col("_others")).alias("before"))
 
 
 def _both_sides(sums: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
@@ -95,19 +100,20 @@ def _both_sides(sums: DataFrame, by: list[str], columns: list[str]) -> DataFrame
     return sums.groupBy(*by).agg(*(pick(s, c) for s in "ab" for c in columns))
 
 
-def _placement(keyed: DataFrame, placed: DataFrame) -> DataFrame:
+def _placement(keyed: DataFrame, placed: DataFrame, parts: int) -> DataFrame:
     """A pair's value on side a is x + y * k for its row on side a and the number k of earlier rows of the patient on side b, and the other way round."""
     keys, cell = list(KEYS), [*KEYS, "side", "score"]
     positives = keyed.filter("y = 1")
-    cells = positives.groupBy(*cell, "patient_id").agg((F.max("m") * F.max("times")).alias("pairs"))
-    ties = _tie_offsets(cells, [*KEYS, "side"], placed.agg(F.max("np")).first()[0] or 0)
+    cells = positives.repartition(parts, "patient_id").groupBy(*cell, "patient_id").agg((F.max("m") * F.max("times")).alias("pairs"))
+    ties = _tie_offsets(cells, [*KEYS, "side"], placed.agg(F.max("np")).first()[0] or 0, parts)
     above, reached = F.col("n_pos") - F.col("before_np") - F.col("np"), F.col("n_neg") - F.col("before_nn")
-    rows = positives.join(placed, cell).join(ties, [*cell, "patient_id"])
+    at = [*cell, "patient_id"]
+    rows = positives.join(placed, cell).repartition(parts, *at).join(ties.repartition(parts, *at), at)
     x, y, k = F.col("x"), F.col("y"), F.col("first").cast("double")
     rows = rows.withColumns({"x": (above + F.col("before") + F.col("r")) / F.col("n_pos") - reached / F.col("n_neg"), "y": F.col("m") / F.col("n_pos"), "lost": (reached - F.col("nn") / 2.0) / F.col("n_neg")})
-    parts = {"rows": F.lit(1), "x": x, "xx": x * x, "y": y, "yy": y * y, "xy": x * y, "k": k, "kk": k * k, "xk": x * k, "yk": y * k, "lost": F.col("lost")}
-    sums = rows.groupBy(*keys, "patient_id", "side").agg(*(F.sum(v).alias(c) for c, v in parts.items()), F.max("n_pos").alias("p"), F.max("n_neg").alias("n"))
-    both = _both_sides(sums, [*keys, "patient_id"], [*parts, "p", "n"])
+    terms = {"rows": F.lit(1), "x": x, "xx": x * x, "y": y, "yy": y * y, "xy": x * y, "k": k, "kk": k * k, "xk": x * k, "yk": y * k, "lost": F.col("lost")}
+    sums = rows.repartition(parts, "patient_id").groupBy(*keys, "patient_id", "side").agg(*(F.sum(v).alias(c) for c, v in terms.items()), F.max("n_pos").alias("p"), F.max("n_neg").alias("n"))
+    both = _both_sides(sums, [*keys, "patient_id"], [*terms, "p", "n"])
     c = F.col
     values = {}
     for s, o in ("ab", "ba"):
@@ -124,12 +130,13 @@ def _placement(keyed: DataFrame, placed: DataFrame) -> DataFrame:
     )
 
 
-def _delong1988(keyed: DataFrame, placed: DataFrame) -> DataFrame:
+def _delong1988(keyed: DataFrame, placed: DataFrame, parts: int) -> DataFrame:
     keys, c = list(KEYS), F.col
     rows = keyed.filter("y in (0, 1)").join(placed, [*keys, "side", "score"])
     won = (c("before_nn") + c("nn") / 2.0) / c("n_neg")
     lost = 1 - (c("before_np") + c("np") / 2.0) / c("n_pos")
     rows = rows.withColumn("v", F.when(c("y") == 1, won).otherwise(lost))
+    rows = rows.select(*keys, "side", "patient_id", "y", "v", "n_pos", "n_neg").repartition(parts, "patient_id")
     sums = rows.groupBy(*keys, "patient_id", "y", "side").agg(F.count("*").alias("rows"), F.sum("v").alias("v"), F.sum(c("v") * c("v")).alias("vv"), F.max("n_pos").alias("p"), F.max("n_neg").alias("n"))
     both = _both_sides(sums, [*keys, "patient_id", "y"], ["rows", "v", "vv", "p", "n"])
     one = both.groupBy(*keys, "y").agg(
