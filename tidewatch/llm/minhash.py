@@ -1,4 +1,4 @@
-"""Near copies by word shingles: MinHash bands propose pairs, the shingle sets themselves decide."""
+"""Near copies by word shingles: SimHash probes and MinHash bands propose pairs, the shingle sets themselves decide."""
 
 from __future__ import annotations
 
@@ -11,12 +11,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, simhash
 
 SHINGLE_WORDS = 5
 LEAST_SIMILARITY = 0.8
 #: Two sets at Jaccard similarity 0.8 share a band with probability 1 - (1 - 0.8 ** ROWS) ** BANDS = 0.99995.
 BANDS, ROWS = 25, 5
+#: Bits in which the fingerprints of two sets may differ for SimHash to propose the pair; each of three partitions takes one flip.
+RADIUS = 5
 #: Shingles hashed at a time, so that a very long text needs little memory.
 CHUNK = 4096
 
@@ -53,22 +55,23 @@ def _lists(found: list[np.ndarray]) -> pa.ListArray:
 
 
 def signatures(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, set_id, n, keys) for every row: its shingle set's hash, size and bands."""
+    """(doc_id, set_id, n, fp, keys) for every row: its shingle set's hash, size, SimHash fingerprint and bands."""
     common.short_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.drop_worker_cache()
         for b in batches:
-            ids, n, keys = [], [], []
+            ids, n, fps, keys = [], [], [], []
             for x in b.column(1).cast(pa.binary()):
                 found = shingles(x.as_py() or b"", size)
                 ids.append(_set_id(found))
                 n.append(len(found))
+                fps.append(simhash.of_hashes(found))
                 keys.append(band_keys(found))
-            yield pa.record_batch([b.column(0), pa.array(ids, pa.int64()), pa.array(n, pa.int64()), _lists(keys)], names=["doc_id", "set_id", "n", "keys"])
+            yield pa.record_batch([b.column(0), pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(fps, pa.int64()), _lists(keys)], names=["doc_id", "set_id", "n", "fp", "keys"])
 
     rows = docs.select(common.comparable_id(docs), "text")
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, set_id long, n long, keys array<long>")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, set_id long, n long, fp long, keys array<long>")
 
 
 def shingle_sets(texts: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
@@ -116,17 +119,34 @@ def _prefix_pairs(sets: DataFrame, left: DataFrame, least: float) -> DataFrame:
     return probes.join(other, near).select(F.col("set_id").alias("x"), "y")
 
 
+def fingerprint_pairs(classes: DataFrame, radius: int, least: float) -> DataFrame:
+    """(x, y): sets whose fingerprints differ in ``radius`` bits at most and whose sizes may reach the similarity.
+
+    Of the sets with one fingerprint each meets the first of them, which alone meets those of other fingerprints.
+    """
+    firsts = classes.groupBy("fp").agg(F.min(F.struct("set_id", "n")).alias("first")).select("fp", F.col("first.set_id").alias("y"), F.col("first.n").alias("m"))
+    firsts = common.stored(firsts, "firsts")
+    same = classes.join(firsts, "fp").filter("set_id <> y").select(F.col("set_id").alias("x"), "n", "y", "m")
+    near = simhash.candidates(firsts.select("fp"), radius=radius)
+    near = near.join(firsts.select(F.col("fp").alias("u"), F.col("y").alias("x"), F.col("m").alias("n")), "u")
+    near = near.join(firsts.withColumnRenamed("fp", "v"), "v").select("x", "n", "y", "m")
+    return same.unionByName(near).filter(_may_meet(F.col("n"), F.col("m"), least)).select("x", "y")
+
+
 def links(docs: DataFrame, classes: DataFrame, size: int, least: float) -> DataFrame:
-    """(u, v): verified edges that connect all sets whose bands meet, directly or through others.
+    """(u, v): verified edges that connect all sets whose fingerprints or bands meet, directly or through others.
 
-    ``classes`` holds one row a set. Each bucket's members are first compared to one of them, another
-    in each bucket; then the members that are not connected yet are joined by their rarest shingles.
+    ``classes`` holds one row a set. SimHash proposes the sets within ``RADIUS`` bits. A similarity of 0.8
+    is about ten bits, so the rest is left to MinHash: each bucket's members are compared to one of them,
+    another in each bucket; then the members that are not connected yet are joined by their rarest shingles.
     So a large group of near copies costs rows in proportion to its size, and no pair is passed over.
     """
     members = classes.select("set_id", "n", F.explode("keys").alias("key")).withColumn("turn", F.xxhash64("set_id", "key"))
     buckets = members.groupBy("key").agg(F.min("turn").alias("first"), F.count("*").alias("held")).filter("held > 1")
     shared = common.stored(members.join(buckets.select("key", "first"), "key"), "shared")
-    wanted = common.stored(shared.select("set_id").distinct(), "wanted")
+    probed = common.stored(fingerprint_pairs(classes, RADIUS, least), "probed")
+    taking_part = shared.select("set_id").unionByName(probed.select(F.explode(F.array("x", "y")).alias("set_id")))
+    wanted = common.stored(taking_part.distinct(), "wanted")
     ids = classes.join(wanted, "set_id", "left_semi").select("first_id").distinct()
     texts = docs.select(common.comparable_id(docs), "text")
     texts = texts.join(ids, texts["doc_id"].eqNullSafe(ids["first_id"]), "left_semi")
@@ -138,7 +158,7 @@ def links(docs: DataFrame, classes: DataFrame, size: int, least: float) -> DataF
 
     heads = shared.filter("turn = first").select("key", F.col("set_id").alias("y"), F.col("n").alias("m"))
     star = shared.filter("turn <> first").join(heads, "key").filter(_may_meet(F.col("n"), F.col("m"), least))
-    star = common.stored(ordered(star.select(F.col("set_id").alias("x"), "y")), "star")
+    star = common.stored(ordered(star.select(F.col("set_id").alias("x"), "y").unionByName(probed)), "star")
     found = common.stored(similar(star, sets, least), "near")
     roots = common.connected_components(found)
     placed = shared.join(roots, shared["set_id"] == roots["node"], "left").select("key", "set_id", "n", F.coalesce("root", "set_id").alias("root"))
@@ -157,7 +177,7 @@ def near_copies(docs: DataFrame, size: int = SHINGLE_WORDS, least: float = LEAST
     of each other; rows with a null doc_id take part but never name a component.
     """
     rows = common.stored(signatures(docs, size), "signatures")
-    classes = common.stored(rows.groupBy("set_id").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("keys").alias("keys")), "classes")
+    classes = common.stored(rows.groupBy("set_id").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "classes")
     roots = common.connected_components(links(docs, classes, size, least))
     placed = classes.join(roots, classes["set_id"] == roots["node"], "left").select("set_id", "first_id", F.coalesce("root", "set_id").alias("root"))
     placed = common.stored(placed, "placed")

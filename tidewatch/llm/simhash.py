@@ -43,12 +43,28 @@ def simhash(data: bytes, size: int = SHINGLE_WORDS) -> int:
     for at in range(0, n, CHUNK):
         part = words[at : min(at + CHUNK, n) + size - 1]
         shingles = map(b" ".join, zip(*(part[k:] for k in range(size)), strict=False))
-        hashes = np.frombuffer(b"".join(map(xxhash.xxh64_digest, shingles, repeat(42))), dtype=np.uint8).reshape(-1, 8)
-        counts += np.bincount((hashes + _OFFSETS).ravel(), minlength=2048).reshape(8, 256)
+        counts += _byte_counts(np.frombuffer(b"".join(map(xxhash.xxh64_digest, shingles, repeat(42))), dtype=np.uint8))
+    return _majority(counts, n)
+
+
+def _byte_counts(hashes: np.ndarray) -> np.ndarray:
+    """How often each byte value stands at each of the eight places of big-endian hashes."""
+    return np.bincount((hashes.reshape(-1, 8) + _OFFSETS).ravel(), minlength=2048).reshape(8, 256)
+
+
+def _majority(counts: np.ndarray, n: int) -> int:
     ones = (counts @ _BYTE_BITS).ravel()
     return int(np.packbits(2 * ones > n).view(">i8")[0])
 
 
+def of_hashes(hashes: np.ndarray) -> int:
+    """The fingerprint of 64-bit shingle hashes, as a signed long; of none it is 0."""
+    counts = np.zeros((8, 256), dtype=np.int64)
+    for at in range(0, len(hashes), CHUNK):
+        counts += _byte_counts(hashes[at : at + CHUNK].astype(">u8").view(np.uint8))
+    return _majority(counts, len(hashes))
+
+
 def fingerprints(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
     """(doc_id, fp) for every row; a null text counts as empty and has fingerprint 0."""
     common.short_batches(docs.sparkSession)
@@ -158,6 +174,33 @@ def links(fps: DataFrame, groups: int = PARTITIONS, radius: int = MAX_DIFFERENT_
     """
     if radius != 2:
         raise ValueError("the one-bit variants of large buckets are exact for a radius of 2")
+    _, probed, hot, pairs = _met(fps, groups, radius)
+    if hot.isEmpty():
+        return pairs
+    near_hot = probed.join(hot, ["part", "key"], "left_semi").select(F.col("probe").alias("fp")).distinct()
+    flips = F.array(*(F.lit(_signed(m)) for m in [0, *(1 << b for b in range(BITS))]))
+    sent = common.stored(near_hot.select("fp", F.explode(flips).alias("m")).select("fp", F.col("fp").bitwiseXOR(F.col("m")).alias("variant")), "variants")
+    first = sent.groupBy("variant").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low <> high").select("variant", "low")
+    return pairs.unionByName(sent.join(first, "variant").filter("fp <> low").select(F.col("fp").alias("u"), F.col("low").alias("v")).distinct())
+
+
+def candidates(fps: DataFrame, groups: int = PARTITIONS, radius: int = MAX_DIFFERENT_BITS) -> DataFrame:
+    """(u, v): the pairs of distinct fingerprints within ``radius`` bits, for radii of up to 3 * groups - 1.
+
+    In a bucket of more than BUCKET_PAIRS fingerprints each probe meets the bucket's smallest one alone,
+    so a caller that wants all links has to find those of such buckets in another exact way.
+    """
+    index, probed, hot, pairs = _met(fps, groups, radius)
+    if hot.isEmpty():
+        return pairs
+    heads = index.join(hot, ["part", "key"], "left_semi").groupBy("part", "key").agg(F.min("fp").alias("fp"))
+    apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("probe")))
+    crowded = probed.join(heads, ["part", "key"]).filter((F.col("probe") != F.col("fp")) & (apart <= radius))
+    return pairs.unionByName(crowded.select(F.col("probe").alias("u"), F.col("fp").alias("v")))
+
+
+def _met(fps: DataFrame, groups: int, radius: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(index, probes, large buckets, verified pairs of all other buckets) under the plan for this radius."""
     probes, index = [], []
     for i, (bits, threshold) in enumerate(plan(fps, groups, radius)):
         key = F.col("fp").bitwiseAND(_signed(sum(1 << b for b in bits)))
@@ -173,13 +216,7 @@ def links(fps: DataFrame, groups: int = PARTITIONS, radius: int = MAX_DIFFERENT_
         .join(index.alias("i"), (F.col("p.part") == F.col("i.part")) & (F.col("p.key") == F.col("i.key")) & (F.col("probe") != F.col("fp")) & (apart <= radius))
         .select(F.col("probe").alias("u"), F.col("fp").alias("v"))
     )
-    if hot.isEmpty():
-        return pairs
-    near_hot = probed.join(hot, ["part", "key"], "left_semi").select(F.col("probe").alias("fp")).distinct()
-    flips = F.array(*(F.lit(_signed(m)) for m in [0, *(1 << b for b in range(BITS))]))
-    sent = common.stored(near_hot.select("fp", F.explode(flips).alias("m")).select("fp", F.col("fp").bitwiseXOR(F.col("m")).alias("variant")), "variants")
-    first = sent.groupBy("variant").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low <> high").select("variant", "low")
-    return pairs.unionByName(sent.join(first, "variant").filter("fp <> low").select(F.col("fp").alias("u"), F.col("low").alias("v")).distinct())
+    return index, probed, hot, pairs
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
