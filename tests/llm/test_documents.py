@@ -9,12 +9,13 @@ import re
 import zlib
 from collections import Counter
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pytest
 import xxhash
 
-from tidewatch.llm import ctw, langid, licenses, linededup, minhash, mixing, packing, secrets, simhash
+from tidewatch.llm import common, ctw, langid, licenses, linededup, minhash, mixing, packing, secrets, simhash
 
 LONG = " ".join(f"word{i % 977} licence{i % 13}" for i in range(30_000))
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, lang_pred string, component_id string, length string"
@@ -355,6 +356,37 @@ def test_full_word_table_makes_room(monkeypatch):
     assert len(words.known) < 40
 
 
+def test_word_table_stays_small_within_a_batch(monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(packing, "CACHE_WORDS", 20_000)
+    words = packing.WordTokenizer(str(public_tokenizers.path(packing.TOKENIZER)))
+    texts = [" ".join(f"word{i} new{k}x{i}, often{i % 7}" for i in range(300)) for k in range(1000)]
+    found = words.encode(texts)
+    for k in (0, 499, 999):
+        assert np.frombuffer(found[k], dtype="<u4").tolist() == words.tokenizer.encode(texts[k], add_special_tokens=False).ids
+    assert len(found) == 1000 and len(words.known) + len(words.older) < 200_000  # 600,000 of words with and without commas
+
+
+@pytest.mark.skipif(not Path("/proc/self/smaps_rollup").exists(), reason="memory can't be read here")
+def test_dropped_worker_cache_goes_back_to_the_system():
+    def held():
+        return int(re.search(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) / 1024
+
+    common.drop_worker_cache()
+    before, last = held(), []
+
+    def make():
+        found = [np.ones(60_000, dtype=np.int8) for _ in range(2500)]
+        last.append(np.ones(60_000, dtype=np.int8))  # what stands above them stays, so the C library gives nothing back by itself
+        return found
+
+    common.worker_cache("blocks", make)
+    full = held()
+    common.drop_worker_cache()
+    assert full > before + 100 and held() < before + 40
+
+
 def test_histogram_plans():
     rng = np.random.default_rng(8)
     for lengths in (rng.integers(1, 65, 300), np.array([64] * 9 + [33] * 5 + [31] * 5 + [1]), rng.integers(20, 45, 200), np.array([7])):

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 from collections.abc import Callable, Iterable
 from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..session import forget, scratch, shared_dir, ship_package, stored
 
-__all__ = ["comparable_id", "connected_components", "forget", "free_name", "id_remainder", "plain", "read_table", "scratch", "shared_dir", "short_batches", "stored", "whole_row", "worker_cache"]
+__all__ = ["comparable_id", "connected_components", "forget", "free_name", "give_back", "id_remainder", "plain", "read_table", "scratch", "shared_dir", "short_batches", "stored", "whole_row", "worker_cache"]
 T = TypeVar("T")
 #: What the two bounds are where a session sets none.
 _BATCH_DEFAULTS = ("10000", "67108864b")
@@ -50,6 +53,14 @@ def drop_worker_cache() -> None:
     if _kept:
         _kept.clear()
         gc.collect()
+    give_back()
+
+
+def give_back() -> None:
+    """Memory that a worker has freed goes back to the system; else Arrow and the C library hold it as long as the worker lives."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError, TypeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

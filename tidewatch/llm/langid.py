@@ -319,6 +319,8 @@ def identify(docs: DataFrame, model: Model, prediction: str = "lang_pred", score
             texts = b.column(place).to_pylist()
             found, scores = label(texts) if model.labels else ([UNKNOWN] * len(texts), [0.0] * len(texts))
             yield pa.record_batch([*b.columns, pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=names)
+        del label
+        common.give_back()
 
     schema = StructType([*docs.schema.fields, StructField(prediction, StringType()), StructField(score, DoubleType())])
     return docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).mapInArrow(run, schema)  # names there must not hold dots

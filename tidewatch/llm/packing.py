@@ -28,8 +28,10 @@ from . import common
 SEQUENCE_TOKENS = 2048
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 0
-#: A worker keeps the ids of up to twice as many words.
-CACHE_WORDS = 400_000
+#: A worker keeps the ids of up to twice as many words, and twice those of a block.
+CACHE_WORDS = 200_000
+#: Characters of texts that are split and looked up at a time (a longer text goes alone), and words that the tokenizer gets at a time.
+BLOCK_CHARS, ENCODE_WORDS = 500_000, 10_000
 #: Rounds of solving and rounding, and price updates in each.
 ROUNDS, UPDATES = 6, 40
 
@@ -77,16 +79,28 @@ class WordTokenizer:
         # a word of plain lower-case letters and a stop is a token run for each: no normalisation can join them
         ended = {w for w in fresh if w[-1] in ".," and w[:-1].isalpha() and not _WIDE.search(w) and w == w.lower()}
         plain = sorted((fresh - ended) | {x for w in ended for x in (w[:-1], w[-1]) if x not in known})
-        known.update(zip(plain, self._encode(plain), strict=True))
+        for at in range(0, len(plain), ENCODE_WORDS):
+            part = plain[at : at + ENCODE_WORDS]
+            known.update(zip(part, self._encode(part), strict=True))
         for w in ended:
             known[w] = known[w[:-1]] + known[w[-1]]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if not self.by_word:
             return self._encode([x or "" for x in texts])
-        split = []
+        found, block, held = [], [], 0
         for text in texts:
             text = text or ""
+            if block and held + len(text) > BLOCK_CHARS:
+                found += self._look_up(block)
+                block, held = [], 0
+            block.append(text)
+            held += len(text)
+        return found + self._look_up(block)
+
+    def _look_up(self, texts: list[str]) -> list[bytes]:
+        split = []
+        for text in texts:
             # for these characters Python and the tokenizer lower alike; it lowers the others itself, and finds special tokens before
             if "<|" not in text and (text.isascii() or not _WIDE.search(text)):
                 text = text.lower()
