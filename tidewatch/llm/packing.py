@@ -29,9 +29,9 @@ SEQUENCE_TOKENS = 2048
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 0
 #: A worker keeps the ids of up to twice as many words, and twice those of a block.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
 #: Characters of texts that are split and looked up at a time (a longer text goes alone), and words that the tokenizer gets at a time.
-BLOCK_CHARS, ENCODE_WORDS = 500_000, 10_000
+BLOCK_CHARS, ENCODE_WORDS = 1_000_000, 10_000
 #: Rounds of solving and rounding, and price updates in each.
 ROUNDS, UPDATES = 6, 40
 
