@@ -336,6 +336,38 @@ def test_token_ids_are_those_of_whole_texts():
             assert np.frombuffer(found, dtype="<u4").tolist() == words.tokenizer.encode(text or "", add_special_tokens=False).ids, repr(text)
 
 
+def test_narrow_words_go_to_the_model_alone():
+    import public_tokenizers
+
+    words = packing.WordTokenizer(str(public_tokenizers.path(packing.TOKENIZER)))
+    whole, normalised = words.tokenizer, []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **more):
+            normalised.extend(texts)
+            return whole.encode_batch_fast(texts, **more)
+
+    words.tokenizer = Counted()
+    narrow = [chr(c) for c in range(0x250) if max(chr(c).lower()) < "\u0250"]  # İ and some others are wide in lower case
+    texts = [f"{a} a{a}b {a}1{b}2 '{a} x'{a}{b} {a}{a}.{b}'s {b}'LL,{a}" for a, b in zip(narrow, random.Random(8).sample(narrow, len(narrow)), strict=True)]
+    texts += ["Größe, l'été: 12½ m²", "", "don't. 555-8389 $$$ word.*** 0531b3cf,"]
+    for text, found in zip(texts, words.encode(texts), strict=True):
+        assert np.frombuffer(found, dtype="<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
+    assert not normalised
+    assert words.encode(["İ, VELİ 中文"]) and sorted(normalised) == ["VELİ", "İ,", "中文"]
+
+
+def test_one_long_text_does_not_fill_the_word_table(monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(packing, "CACHE_WORDS", 2000)
+    monkeypatch.setattr(packing, "SLICE_WORDS", 1000, raising=False)
+    words = packing.WordTokenizer(str(public_tokenizers.path(packing.TOKENIZER)))
+    text = " ".join(f"new{k}x often{k % 7}" for k in range(20_000))
+    assert np.frombuffer(words.encode([text])[0], dtype="<u4").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(words.known) + len(words.older) < 10_000
+
+
 def test_tokenizers_of_other_shapes_get_whole_texts():
     import public_tokenizers
 

@@ -8,13 +8,13 @@ placed best fit. The programme's size depends on the sequence length alone, not
 
 from __future__ import annotations
 
-import gc
 import json
 import os
 import re
 import zlib
-from collections.abc import Iterator
-from itertools import accumulate, chain, pairwise
+from codecs import charmap_decode
+from collections.abc import Callable, Iterator
+from itertools import count
 from pathlib import Path
 
 import numpy as np
@@ -28,10 +28,8 @@ from . import common
 SEQUENCE_TOKENS = 2048
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 0
-#: A worker keeps the ids of up to twice as many words, and twice those of a block.
-CACHE_WORDS = 400_000
-#: Characters of texts that are split and looked up at a time (a longer text goes alone), and words that the tokenizer gets at a time.
-BLOCK_CHARS, ENCODE_WORDS = 1_000_000, 10_000
+#: A worker keeps the ids of up to twice as many words, and twice those that it looks up at a time.
+CACHE_WORDS, SLICE_WORDS = 400_000, 10_000
 #: Rounds of solving and rounding, and price updates in each.
 ROUNDS, UPDATES = 6, 40
 
@@ -39,6 +37,19 @@ ROUNDS, UPDATES = 6, 40
 _WHITE = re.compile("[\t-\r \x85\xa0  -     　]+")
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
 _WIDE = re.compile("[^\x00-ɏ]")
+#: The tokenizer's own split (:func:`splits_at_blanks`) of words without such wide characters: \\d has only decimal digits, so other numbers are listed.
+_RUNS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[^\\W\\d_²³¹¼½¾]+|[\\d²³¹¼½¾]|[\\W_]+")
+
+
+class _Table(dict[str, bytes]):
+    """Makes what it does not hold."""
+
+    def __init__(self, make: Callable[[str], bytes]) -> None:
+        self.make = make
+
+    def __missing__(self, word: str) -> bytes:
+        found = self[word] = self.make(word)
+        return found
 
 
 class WordTokenizer:
@@ -56,62 +67,72 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.by_word = splits_at_blanks(json.loads(self.tokenizer.to_str()))
-        self.known: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.code = [k.to_bytes(4, "little") for k in range(max(self.tokenizer.get_vocab().values(), default=-1) + 1)]
+        self.byte_signs = byte_signs()
+        self.known: dict[str, bytes] = _Table(self._learn)
         self.older: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        flat = np.fromiter(chain.from_iterable(ids), dtype="<u4").tobytes()
-        ends = [4 * n for n in accumulate(map(len, ids), initial=0)]
-        return [flat[a:b] for a, b in pairwise(ends)]
-
-    def _learn(self, words: set[str]) -> None:
-        """Put the ids of all words into the table."""
-        if len(self.known) > CACHE_WORDS:
-            self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        fresh = words.difference(known)
-        again = older.keys() & fresh
-        known.update(zip(again, map(older.__getitem__, again), strict=True))
-        fresh -= again
-        if not fresh:
-            return
-        # a word of plain lower-case letters and a stop is a token run for each: no normalisation can join them
-        ended = {w for w in fresh if w[-1] in ".," and w[:-1].isalpha() and not _WIDE.search(w) and w == w.lower()}
-        plain = sorted((fresh - ended) | {x for w in ended for x in (w[:-1], w[-1]) if x not in known})
-        for at in range(0, len(plain), ENCODE_WORDS):
-            part = plain[at : at + ENCODE_WORDS]
-            known.update(zip(part, self._encode(part), strict=True))
-        for w in ended:
-            known[w] = known[w[:-1]] + known[w[-1]]
+        code = self.code
+        return [b"".join([code[k] for k in e.ids]) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, word: str) -> bytes:
+        """The ids of a word that the table has not."""
+        if (found := self.older.get(word)) is not None:
+            return found
+        if not _plain(word):
+            return self._encode([word])[0]
+        runs = [word] if word.isalpha() else _RUNS.findall(word)
+        return b"".join([self.known[x] for x in runs]) if len(runs) > 1 else self._run(word)
+
+    def _run(self, run: str) -> bytes:
+        """The ids of what is one run in the tokenizer's own split."""
+        code = self.code
+        signs, _ = charmap_decode(run.encode(), "strict", self.byte_signs)
+        return b"".join([code[t.id] for t in self.model.tokenize(signs)])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if not self.by_word:
             return self._encode([x or "" for x in texts])
-        found, block, held = [], [], 0
-        for text in texts:
-            text = text or ""
-            if block and held + len(text) > BLOCK_CHARS:
-                found += self._look_up(block)
-                block, held = [], 0
-            block.append(text)
-            held += len(text)
-        return found + self._look_up(block)
-
-    def _look_up(self, texts: list[str]) -> list[bytes]:
-        split = []
-        for text in texts:
-            # for these characters Python and the tokenizer lower alike; it lowers the others itself, and finds special tokens before
-            if "<|" not in text and (text.isascii() or not _WIDE.search(text)):
-                text = text.lower()
-            split.append([w for w in _WHITE.split(text) if w] if any(c in text for c in _SEPARATORS) else text.split())
-        gc.disable()  # nothing here makes cycles, and the table's many objects make collections slow
-        try:
-            self._learn(set().union(*split))
-            known = self.known
-            return [b"".join([known[w] for w in words]) for words in split]
-        finally:
-            gc.enable()
+        return [self._look_up(x or "") for x in texts]
+
+    def _look_up(self, text: str) -> bytes:
+        # for these characters Python and the tokenizer lower alike; it lowers the others itself, and finds special tokens before
+        lowered = "<|" not in text and _narrow(text)
+        if lowered:
+            text = text.lower()
+        words = [w for w in _WHITE.split(text) if w] if any(c in text for c in _SEPARATORS) else text.split()
+        found = []
+        for at in range(0, len(words), SLICE_WORDS):
+            if len(self.known) > CACHE_WORDS:
+                self.known, self.older = _Table(self._learn), self.known
+            part = words[at : at + SLICE_WORDS]
+            if not lowered:  # most words here are the tokenizer's, which gets them together
+                fresh = [w for w in set(part) if w not in self.known and w not in self.older and not _plain(w)]
+                self.known.update(zip(fresh, self._encode(fresh), strict=True))
+            found.append(b"".join(map(self.known.__getitem__, part)))
+        return b"".join(found)
+
+
+def _narrow(text: str) -> bool:
+    """Whether no character is wide; texts within Latin-1 are told apart without a search."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return not _WIDE.search(text)
+    return True
+
+
+def _plain(word: str) -> bool:
+    """Whether a word is normal as it stands, so that the runs in it can go to the model directly."""
+    return (word.isascii() or not _WIDE.search(word)) and word == word.lower() and "<|" not in word
+
+
+def byte_signs() -> str:
+    """By byte, the character that byte-level models have for it: the byte's own in Latin-1 if it shows there, or one of the next."""
+    shown, others = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}, count(0x100)
+    return "".join(chr(b if b in shown else next(others)) for b in range(256))
 
 
 def splits_at_blanks(shape: dict) -> bool:
